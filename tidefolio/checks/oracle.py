@@ -334,17 +334,19 @@ ORACLES: dict[str, str] = {
                count(DISTINCT symbol) AS unique_assets, min(date) AS first_date, max(date) AS last_date
         FROM snapshot"""),
     "dense_daily_snapshot": sql("totals prices", f"""
-        , days AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01',
-                                                      INTERVAL 1 DAY)) AS DATE) AS day),
-        spans AS (SELECT *, coalesce(lead(date) OVER (PARTITION BY user_id, symbol ORDER BY date),
-                                     DATE '2001-08-02') AS until FROM totals),
-        quotes AS (SELECT *, coalesce(lead(date) OVER (PARTITION BY symbol ORDER BY date),
-                                      DATE '2001-08-02') AS until FROM prices),
-        quoted AS (SELECT symbol, day, close FROM quotes JOIN days ON day >= date AND day < until)
-        SELECT s.symbol, q.day AS date, count(*) AS holders, {dsum('held')} AS quantity_held,
+        , spans AS (SELECT *, lead(date) OVER (PARTITION BY user_id, symbol ORDER BY date) AS until FROM totals),
+        quotes AS (SELECT *, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS until FROM prices),
+        held_days AS (
+            SELECT symbol, held, cost, unnest(generate_series(CAST(date AS TIMESTAMP),
+                coalesce(until - INTERVAL 1 DAY, TIMESTAMP '2001-08-01'), INTERVAL 1 DAY)) AS day
+            FROM spans WHERE held > 0),
+        quoted_days AS (
+            SELECT symbol, close, unnest(generate_series(CAST(date AS TIMESTAMP),
+                coalesce(until - INTERVAL 1 DAY, TIMESTAMP '2001-08-01'), INTERVAL 1 DAY)) AS day
+            FROM quotes)
+        SELECT symbol, CAST(day AS DATE) AS date, count(*) AS holders, {dsum('held')} AS quantity_held,
                {dsum('held * close', 2)} AS market_value, {dsum('held * close - cost', 2)} AS unrealized_pnl
-        FROM spans s JOIN quoted q ON s.symbol = q.symbol AND q.day >= s.date AND q.day < s.until
-        WHERE held > 0 GROUP BY s.symbol, q.day"""),
+        FROM held_days JOIN quoted_days USING (symbol, day) GROUP BY symbol, day"""),
     "asset_correlation": sql("prices", """
         , returns AS (SELECT symbol, date, close / before - 1 AS r FROM (
               SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS before FROM prices)

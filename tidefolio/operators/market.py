@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -86,15 +84,24 @@ def _block_moments(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     return out[wanted]
 
 
-def asset_correlation(prices: DataFrame, blocks: int = 1, days_per_task: int = 512) -> DataFrame:
+SYMBOLS_PER_BLOCK = 500
+
+
+def _blocks_for(prices: DataFrame) -> int:
+    symbols = prices.agg(F.approx_count_distinct("symbol")).first()[0]
+    return max(1, -(-symbols // SYMBOLS_PER_BLOCK))
+
+
+def asset_correlation(prices: DataFrame, blocks: int | None = None, days_per_task: int = 512) -> DataFrame:
     """Pearson correlation of daily returns of every two symbols, on common dates.
 
     A blocked matrix product: symbols fall into ``blocks``, dates into runs, and
     each (block, block, run) multiplies its two return matrices. What leaves a
     task is one row of moments per pair of symbols, not one per pair and date,
-    and a task never sees more than two blocks over one run of dates. Use about
-    one block per thousand symbols.
+    and a task never sees more than two blocks over one run of dates. Without
+    ``blocks`` the symbols are counted first, which starts a job.
     """
+    blocks = blocks or _blocks_for(prices)
     block = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
     run = F.floor(F.unix_date("date") / days_per_task)
     returns = daily_returns(prices).filter(F.col("symbol").isNotNull()).select(
