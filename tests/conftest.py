@@ -1,4 +1,6 @@
+import contextlib
 import datetime as dt
+import io
 import sys
 from pathlib import Path
 
@@ -32,10 +34,21 @@ def rows(df, *order):
     return [r.asDict() for r in df.orderBy(*order).collect()] if order else [r.asDict() for r in df.collect()]
 
 
+@contextlib.contextmanager
+def settings(spark, **values):
+    """Change session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def plan_of(df) -> str:
     """The plan text, as ``explain`` prints it."""
-    import contextlib
-    import io
     text = io.StringIO()
     with contextlib.redirect_stdout(text):
         df.explain("formatted")

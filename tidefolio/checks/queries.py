@@ -36,6 +36,15 @@ def query(build: Callable[[TestTables], DataFrame]) -> Callable[[TestTables], Da
     return build
 
 
+def stored_prices(t: TestTables) -> DataFrame:
+    """Prices as the table a lake has, not as a plan below each join."""
+    return written(t.prices(), "prices")
+
+
+def stored_assets(t: TestTables) -> DataFrame:
+    return written(t.assets(), "assets")
+
+
 # Scans and dimensions
 
 @query
@@ -114,13 +123,13 @@ def cumulative_incremental(t: TestTables) -> DataFrame:
 
 @query
 def holdings_priced(t: TestTables) -> DataFrame:
-    priced = positions.priced(positions.positions(t.transactions()), t.prices())
+    priced = positions.priced(positions.positions(t.transactions()), stored_prices(t))
     return priced.select("user_id", "symbol", "date", "quantity_held", "total_cost_basis", "market_price")
 
 
 def _pnl(t: TestTables) -> DataFrame:
     held = positions.in_doubles(positions.positions(t.transactions()))
-    return positions.pnl(positions.priced(held, t.prices()))
+    return positions.pnl(positions.priced(held, stored_prices(t)))
 
 
 @query
@@ -146,7 +155,7 @@ def realized_pnl(t: TestTables) -> DataFrame:
 
 @query
 def portfolio_snapshot(t: TestTables) -> DataFrame:
-    return positions.snapshot(t.transactions(), t.prices())
+    return positions.snapshot(t.transactions(), stored_prices(t))
 
 
 @query
@@ -157,30 +166,30 @@ def surrogate_keys(t: TestTables) -> DataFrame:
 
 @query
 def latest_snapshot(t: TestTables) -> DataFrame:
-    facts = written(positions.snapshot(t.transactions(), t.prices()), "snapshot")
+    facts = written(positions.snapshot(t.transactions(), stored_prices(t)), "snapshot")
     return positions.on_latest_date(facts)
 
 
 @query
 def latest_position(t: TestTables) -> DataFrame:
-    return positions.latest(positions.snapshot(t.transactions(), t.prices()), BATCH_UNTIL)
+    return positions.latest(positions.snapshot(t.transactions(), stored_prices(t)), BATCH_UNTIL)
 
 
 @query
 def top_portfolios(t: TestTables) -> DataFrame:
-    return positions.top_portfolios(positions.snapshot(t.transactions(), t.prices()))
+    return positions.top_portfolios(positions.snapshot(t.transactions(), stored_prices(t)))
 
 
 @query
 def snapshot_stats(t: TestTables) -> DataFrame:
-    return positions.stats(positions.snapshot(t.transactions(), t.prices()))
+    return positions.stats(positions.snapshot(t.transactions(), stored_prices(t)))
 
 
 @query
 def dense_daily_snapshot(t: TestTables) -> DataFrame:
     """Every position on every day, summed per symbol and day."""
-    prices = written(t.prices(), "prices")
-    dense = positions.dense_snapshot(positions.positions(t.transactions()), prices, LAST_DATE)
+    totals = positions.positions(t.transactions())
+    dense = positions.dense_snapshot(totals, stored_prices(t), LAST_DATE)
     return dense.groupBy("symbol", "date").agg(
         F.count(F.lit(1)).alias("holders"),
         exact_sum("quantity_held").alias("quantity_held"),
@@ -311,13 +320,13 @@ def upgrade_eligible_users(t: TestTables) -> DataFrame:
 @query
 def price_lookup_default(t: TestTables) -> DataFrame:
     trades = t.transactions().select("tx_id", "symbol", "date", "quantity")
-    return accruals.with_price(trades, t.prices(), t.assets())
+    return accruals.with_price(trades, stored_prices(t), stored_assets(t))
 
 
 @query
 def trade_valuation(t: TestTables) -> DataFrame:
     trades = t.transactions().select("tx_id", "symbol", "date", "quantity")
-    return accruals.value_trades(trades, t.prices(), t.assets())
+    return accruals.value_trades(trades, stored_prices(t), stored_assets(t))
 
 
 @query
@@ -343,7 +352,7 @@ def _warehouse(t: TestTables) -> dict[str, DataFrame | None]:
         "dim_user": t.suspect_users(),
         "dim_asset": t.assets(),
         "dim_date": tables.scan_if_present(t.spark, f"{t.folder}/no_such_table.parquet"),
-        "fact_portfolio_daily": written(positions.snapshot(t.transactions(), t.prices()), "snapshot"),
+        "fact_portfolio_daily": written(positions.snapshot(t.transactions(), stored_prices(t)), "snapshot"),
         "fact_reward_daily": written(_summary(t), "rewards"),
         "raw_transactions": t.suspect_transactions(),
         "raw_prices": t.prices(),

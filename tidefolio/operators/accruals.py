@@ -13,7 +13,12 @@ FEE_RATE = 0.001
 
 
 def with_price(trades: DataFrame, prices: DataFrame, assets: DataFrame) -> DataFrame:
-    """Add the close of the trade's symbol and date, else the symbol's base price."""
+    """Add the close of the trade's symbol and date, else the symbol's base price.
+
+    Trades are joined unreduced, so ``prices`` and ``assets`` should be stored
+    tables: broadcast below Catalyst's threshold, and above it joined by shuffles
+    whose hot symbols AQE splits.
+    """
     close = prices.select("symbol", "date", "close")
     base = assets.select("symbol", "base_price")
     return (trades.join(close, ["symbol", "date"], "left")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidefolio.operators.keysets import only_in
+
 
 def write_table(df: DataFrame, path: str) -> None:
     """Replace an unpartitioned table."""
@@ -25,16 +27,17 @@ def write_by_date(df: DataFrame, path: str, column: str = "date", only_given_dat
 
 def new_dates(source: DataFrame, target: DataFrame, column: str = "date") -> DataFrame:
     """Dates that the source has and the target does not have yet."""
-    return source.select(column).distinct().join(target.select(column).distinct(), column, "left_anti")
+    return only_in(source, target, column)
 
 
 def new_rows(source: DataFrame, target: DataFrame, column: str = "date") -> DataFrame:
     """Source rows of dates that the target does not have yet.
 
-    The list of dates is bounded by the calendar and mostly broadcast; on a table
-    laid out by date it prunes the source's folders at run time.
+    The dates are broadcast: a calendar bounds them (a century has 36,525). On a
+    table laid out by date they prune the source's folders at run time.
     """
-    return source.join(new_dates(source, target, column), column, "left_semi").select(*source.columns)
+    dates = F.broadcast(new_dates(source, target, column))
+    return source.join(dates, column, "left_semi").select(*source.columns)
 
 
 def compact(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:

@@ -101,8 +101,10 @@ def priced(positions: DataFrame, prices: DataFrame) -> DataFrame:
     """Add the day's close; days without a price are dropped.
 
     No broadcast hint: prices grow with days times symbols. Catalyst broadcasts
-    them below its threshold (statically for a stored table, at run time
-    otherwise); above it AQE splits a symbol-day that holds too many positions.
+    them below its threshold; above it AQE splits a symbol-day that holds too
+    many positions. Both need ``prices`` to be a stored table (``storage.written``
+    makes a derived one so): its size is known, and its shuffle is one that AQE's
+    skew join handles, which an aggregate right below the join is not.
     """
     close = prices.select("symbol", "date", F.col("close").alias("market_price"))
     return positions.join(close, ["symbol", "date"])
@@ -169,9 +171,9 @@ def dense_snapshot(totals: DataFrame, prices: DataFrame, last_date: str) -> Data
     Holdings and prices stay as of their latest day. Each row is stretched over
     the days it is valid for, on the partitioning and order that the running
     totals already have: no calendar join and no second pass to fill gaps.
-    Hand in ``prices`` that are stored (or cheap): both sides are joined by
-    (symbol, date) after the stretch, and only a price table known to be below
-    the broadcast threshold spares the shuffle of the stretched positions.
+    The join with ``prices`` comes after the stretch, so that they be stored
+    matters even more than in :func:`priced`: only a table known to be below the
+    broadcast threshold spares the shuffle of the stretched positions.
     """
     held = in_doubles(_every_day(totals.drop("num_trades"), POSITION, last_date))
     quoted = _every_day(prices.select("symbol", "date", "close"), ("symbol",), last_date)

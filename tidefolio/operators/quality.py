@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefolio.functions.tiers import TIERS
+from tidefolio.operators.keysets import only_in
 
 RESULT = "check string, table string, status string, value bigint, threshold bigint, details string"
 PASS, FAIL = "PASS", "FAIL"
@@ -153,14 +154,8 @@ def run_checks(spark: SparkSession, tables: Mapping[str, DataFrame | None],
 
 
 def orphans(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Distinct keys of ``fact`` that ``dim`` lacks; NULL counts as a key.
-
-    Keys are made distinct before the join, so a key with a third of all rows
-    is one row by then, and no key set is brought to the driver.
-    """
-    have = dim.select(F.col(key).alias("_known")).distinct()
-    want = fact.select(key).distinct()
-    return want.join(have, want[key].eqNullSafe(have["_known"]), "left_anti")
+    """Distinct keys of ``fact`` that ``dim`` lacks; NULL counts as a key."""
+    return only_in(fact, dim, key)
 
 
 def integrity(spark: SparkSession, tables: Mapping[str, DataFrame | None], name: str,
