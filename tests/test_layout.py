@@ -66,6 +66,13 @@ def test_clustering_splits_a_hot_key(spark):
     assert all(a["hi"] <= b["lo"] for a, b in zip(spans, spans[1:]))
 
 
+def test_clustering_splits_copies(spark):
+    df = spark.range(20_000, numPartitions=8).select(F.lit(7).alias("k"))
+    with settings(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        sizes = [r["count"] for r in layout.cluster(df, "k").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 10_000
+
+
 def test_merge(spark):
     batch = spark.createDataFrame([("a", 1.0, "x"), ("b", 2.0, "y")], "k string, n double, s string")
     live = spark.createDataFrame([("b", 0.5, None), ("c", 3.0, "z")], "k string, n double, s string")

@@ -3,11 +3,11 @@ import os
 
 import pytest
 from pyspark.sql import functions as F
-from tests.conftest import day, rows
+from tests.conftest import at, day, rows
 
-from tidefolio.operators import layout, quality
+from tidefolio.operators import layout, quality, serving
 from tidefolio.plans import __main__ as command
-from tidefolio.plans import portfolio, quality as quality_job, reconciliation, rewards
+from tidefolio.plans import portfolio, quality as quality_job, realtime, reconciliation, rewards
 from tidefolio.plans.lake import Lake
 from tidefolio.sources.dimensions import calendar, listed_assets
 from tidefolio.sources.testtables import TestTables
@@ -101,3 +101,29 @@ def test_reconciliation_job(spark, lake):
 
 def test_listed_assets(spark):
     assert listed_assets(spark).count() == 10
+
+
+def test_realtime_job_lands_and_follows(spark):
+    lake = Lake(new_path(spark, "stream"))
+
+    def arrive(ticks, trades):
+        spark.createDataFrame([(i, s, at(t), p, 1.0) for i, s, t, p in ticks], realtime.TICK) \
+            .write.mode("append").parquet(lake.incoming("ticks"))
+        spark.createDataFrame([(i, u, "A", k, q, v / q, v, 0.0, at(t)) for i, u, k, q, v, t in trades], realtime.TRADE) \
+            .write.mode("append").parquet(lake.incoming("transactions"))
+        realtime.run(spark, lake.base, buckets=2)
+
+    arrive([(1, "A", "2024-01-01 00:00:05", 10.0), (1, "A", "2024-01-01 00:00:05", 10.0)],
+           [("t1", "u", "buy", 3.0, 3000.0, "2024-01-01 00:00:00")])
+    arrive([(2, "A", "2024-01-01 00:00:20", 12.0), (3, "A", "2024-01-03 00:00:00", 11.0)],
+           [("t2", "u", "sell", 1.0, 12.0, "2024-01-01 00:00:10"), ("t3", "v", "buy", 1.0, 1.0, "2024-01-05 00:00:00")])
+
+    read = spark.read.parquet
+    assert read(lake.raw("ticks")).count() == 3 and read(lake.raw("transactions")).count() == 3
+    bar = rows(read(lake.realtime("ohlcv_1m")))
+    assert [(r["open"], r["close"], r["num_ticks"]) for r in bar] == [(10.0, 12.0, 2)]
+    assert rows(read(lake.realtime("reward_tier")).filter("date = '2024-01-02'"))[0]["tier"] == "silver"
+    log = read(lake.realtime("portfolio_pnl"))
+    last = {r["user_id"]: (r["quantity_held"], r["price"])
+            for r in rows(serving.latest_view(log, ["user_id", "symbol"], ["version"]))}
+    assert last == {"u": (2.0, 11.0), "v": (1.0, 11.0)}

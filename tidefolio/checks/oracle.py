@@ -152,7 +152,8 @@ VIEWS["enriched"] = (["daily_rewards", "rolled", "users"], f"""
             LEFT JOIN rolled s ON r.user_id = s.user_id AND r.date = s.date
             LEFT JOIN users u ON r.user_id = u.user_id)""")
 VIEWS["summary"] = (["enriched"], f"""
-        SELECT user_id, user_tier, country, date, cashback_earned, cashback_spend, cashback_count,
+        SELECT md5(concat_ws(chr(31), user_id, date)) AS reward_summary_id,
+               user_id, user_tier, country, date, cashback_earned, cashback_spend, cashback_count,
                staking_earned, staked_value, staking_count, total_reward_value, daily_buy_spend,
                rolling_30d_spend, {trailing('total_reward_value', 30, 4)} AS rolling_30d_rewards,
                suggested_tier,

@@ -57,8 +57,11 @@ def compact(df: DataFrame, path: str, partition_by: str | None = None) -> DataFr
 def cluster(df: DataFrame, *columns: str) -> DataFrame:
     """Sort rows into files by ``columns`` so that reads on them skip row groups.
 
-    Ranges are cut by the columns and then by a hash of the row: a key with a
-    third of all rows covers several files instead of one.
+    Ranges are cut by the columns, then by a hash of the row, then by the input
+    partition: a key with a third of all rows covers several files instead of
+    one, even if those rows are copies of each other. All three are the same
+    when a lost task runs again.
     """
-    spread = F.xxhash64(*df.columns)
-    return df.repartitionByRange(*columns, spread).sortWithinPartitions(*columns)
+    spread = df.withColumns({"_hash": F.xxhash64(*df.columns), "_part": F.spark_partition_id()})
+    ranged = spread.repartitionByRange(*columns, "_hash", "_part")
+    return ranged.sortWithinPartitions(*columns).drop("_hash", "_part")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidefolio.functions import tiers
 from tidefolio.functions.amounts import exact_sum
+from tidefolio.functions.keys import surrogate_key
 from tidefolio.operators.positions import BUY
 
 CASHBACK, STAKING = "cashback", "staking"
@@ -137,7 +138,7 @@ def upgrade(rows: DataFrame, order: str = "ordinal") -> DataFrame:
 
 
 SUMMARY_COLUMNS = (
-    "user_id", "user_tier", "country", "date",
+    "reward_summary_id", "user_id", "user_tier", "country", "date",
     "cashback_earned", "cashback_spend", "cashback_count",
     "staking_earned", "staked_value", "staking_count",
     "total_reward_value", "daily_buy_spend", "rolling_30d_spend", "rolling_30d_rewards",
@@ -174,7 +175,8 @@ def summary(rewards: DataFrame, trades: DataFrame, users: DataFrame, days: int =
         F.coalesce(spent.cast("double"), F.lit(0.0)).alias("rolling_30d_spend"),
         F.round(_over("total_reward_value", window), 4).cast("double").alias("rolling_30d_rewards"),
     ).filter(F.col("_reward"))
-    return upgrade(suggest_tier(with_user(rows, users)), order).select(*SUMMARY_COLUMNS)
+    facts = upgrade(suggest_tier(with_user(rows, users)), order)
+    return facts.withColumn("reward_summary_id", surrogate_key(*USER_DAY)).select(*SUMMARY_COLUMNS)
 
 
 def by_tier(summary: DataFrame) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 import argparse
 import sys
 
-from tidefolio.plans import portfolio, quality, reconciliation, rewards
+from tidefolio.plans import portfolio, quality, realtime, reconciliation, rewards
 from tidefolio.session import session
 
 
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidefolio")
-    parser.add_argument("job", choices=["portfolio", "rewards", "quality", "reconciliation"])
+    parser.add_argument("job", choices=["portfolio", "rewards", "quality", "reconciliation", "realtime"])
     parser.add_argument("--base", required=True, help="folder with raw/, warehouse/ and so on")
     parser.add_argument("--incremental", action="store_true", help="portfolio: new days only")
     parser.add_argument("--since", help="first day to compute again")
     parser.add_argument("--realtime-log", help="reconciliation: change log of the live view")
+    parser.add_argument("--every", help="realtime: keep running, with this trigger interval")
     given = parser.parse_args(arguments)
     spark = session(f"tidefolio {given.job}")
     try:
@@ -25,6 +26,10 @@ def main(arguments: list[str] | None = None) -> int:
             print(rewards.run(spark, given.base, since=given.since))
         elif given.job == "quality":
             print(quality.run(spark, given.base))
+        elif given.job == "realtime":
+            realtime.run(spark, given.base, given.every)
+            if given.every:
+                spark.streams.awaitAnyTermination()
         else:
             reconciliation.run(spark, given.base, given.realtime_log)
     except quality.QualityError as failure:

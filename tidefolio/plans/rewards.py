@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from tidefolio.functions.keys import surrogate_key
 from tidefolio.operators import layout, rewards
 from tidefolio.plans.lake import Lake, counted
 from tidefolio.sources.tables import scan
@@ -25,7 +24,6 @@ def run(spark: SparkSession, base: str, days: int = 30, since: str | None = None
     facts = rewards.summary(earned, trades, scan(spark, lake.warehouse("dim_user")), days)
     if since is not None:
         facts = facts.filter(F.col("date") >= F.lit(since).cast("date"))
-    facts = facts.withColumn("reward_summary_id", surrogate_key("user_id", "date"))
     facts, seen = counted(facts)
     layout.write_by_date(facts, lake.warehouse("fact_reward_daily"), only_given_dates=since is not None)
     return seen.get

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def stream(spark: SparkSession, path: str, schema: T.StructType | None = None,
+def stream(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
            files_per_trigger: int | None = None) -> DataFrame:
     """Stream of the Parquet files under ``path``."""
     reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
