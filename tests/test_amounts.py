@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidefolio.functions.amounts import exact_sum
+from tidefolio.functions.amounts import exact_add, exact_sum, split_sum, to_decimal
 
 AMOUNTS = st.lists(
     st.one_of(st.none(), st.decimals(-10 ** 7, 10 ** 7, places=8, allow_nan=False)), min_size=1, max_size=40)
@@ -14,17 +14,24 @@ AMOUNTS = st.lists(
 @settings(max_examples=15, deadline=None)
 def test_sum_is_the_decimal_sum(spark, amounts):
     df = spark.createDataFrame([(None if a is None else float(a),) for a in amounts], "x double").repartition(3)
-    got = df.agg(exact_sum("x").alias("s")).first()[0]
+    got, near = df.agg(split_sum("x").alias("s"), exact_sum("x").alias("d")).select(to_decimal("s"), "d").first()
     # 8 decimals below 1e7 have 15 digits: the double stands for exactly this decimal.
     known = [a for a in amounts if a is not None]
     assert got == (sum(known, Decimal(0)) if known else None)
+    assert near == (float(got) if known else None)
 
 
 def test_sum_of_cents_does_not_drift(spark):
     df = spark.range(100_000).select(F.lit(0.1).alias("x"))
-    assert df.agg(exact_sum("x")).first()[0] == Decimal("10000.00000000")
+    assert df.agg(exact_sum("x")).first()[0] == 10000.0
 
 
 def test_large_amounts_do_not_overflow(spark):
     df = spark.createDataFrame([(1e15,), (2e15,), (0.25,)], "x double")
-    assert df.agg(exact_sum("x")).first()[0] == Decimal("3000000000000000.25")
+    assert df.agg(exact_sum("x")).first()[0] == 3000000000000000.25
+
+
+def test_addition_is_exact_before_rounding(spark):
+    df = spark.createDataFrame([(3.0, 0.12345), (0.1, 0.2), (1.0, None)], "a double, b double")
+    got = [r[0] for r in df.select(exact_add(F.col("a"), F.col("b"))).collect()]
+    assert got == [3.12345, 0.3, None]

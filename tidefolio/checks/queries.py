@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefolio.functions.amounts import as_doubles, exact_sum
+from tidefolio.functions.amounts import as_decimals, as_doubles, exact_sum, split_sum
 from tidefolio.functions.keys import surrogate_key
 from tidefolio.operators import accruals, layout, market, positions, quality, rewards, serving
 from tidefolio.sources import dimensions, streams, tables
@@ -395,7 +395,7 @@ def dq_orphan_users(t: TestTables) -> DataFrame:
 @query
 def dq_orphan_assets(t: TestTables) -> DataFrame:
     mean = t.table("part").agg(
-        (exact_sum("p_retailprice").cast("double") / F.count("p_retailprice")).alias("mean"))
+        (exact_sum("p_retailprice") / F.count("p_retailprice")).alias("mean"))
     dear = t.assets().filter(F.col("base_price") >= mean.scalar())
     return quality.orphans(t.transactions(), dear, "symbol")
 
@@ -470,15 +470,16 @@ def clustered_layout(t: TestTables) -> DataFrame:
 @query
 def merge_batch_realtime(t: TestTables) -> DataFrame:
     trades = t.transactions()
-    batch = positions.latest(positions.positions(trades), BATCH_UNTIL).select(
+    batch = as_decimals(positions.latest(positions.positions(trades), BATCH_UNTIL)).select(
         *positions.POSITION, "quantity_held", "total_cost_basis", F.col("date").alias("updated_on"))
     since = positions.sign(trades.filter(F.col("date") > F.lit(BATCH_UNTIL).cast("date")))
-    realtime = since.groupBy(*positions.POSITION).agg(
-        exact_sum("signed_quantity").alias("quantity_held"),
-        exact_sum("signed_cost").alias("total_cost_basis"),
-        F.max("date").alias("updated_on"))
-    return serving.merge(batch, realtime, positions.POSITION,
-                         add=["quantity_held", "total_cost_basis"], replace=["updated_on"])
+    realtime = as_decimals(since.groupBy(*positions.POSITION).agg(
+        split_sum("signed_quantity").alias("quantity_held"),
+        split_sum("signed_cost").alias("total_cost_basis"),
+        F.max("date").alias("updated_on")))
+    money = ["quantity_held", "total_cost_basis"]
+    merged = serving.merge(batch, realtime, positions.POSITION, add=money, replace=["updated_on"])
+    return merged.withColumns({c: F.col(c).cast("double") for c in money})
 
 
 @query
@@ -488,7 +489,7 @@ def reconciliation(t: TestTables) -> DataFrame:
     keys = ("user_id", "date")
 
     def totals(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).agg(exact_sum("total_value").cast("double").alias("total_value"))
+        return rows.groupBy(*keys).agg(exact_sum("total_value").alias("total_value"))
 
     batch = totals(trades.filter(F.col("date") <= F.lit(BATCH_UNTIL).cast("date")))
     realtime = totals(trades.filter(F.col("tx_type") == "buy"))

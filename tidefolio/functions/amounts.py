@@ -4,11 +4,12 @@ A double sum changes in its last digits with the task that happened to run
 first, which flips the roundings at 2, 4 and 8 digits. A decimal sum is exact
 but costs about fifteen times as much per row. Here every amount is split into
 its nearest whole number and the rest in steps of 1e-8 (the finest rounding any
-output uses); both parts are summed as bigints, which stay in generated code and
-combine on the map side, and are put together once per group.
+output uses). Both parts are bigints: they are summed in generated code, combine
+on the map side and run through windows, and are put together at the end.
 
-Bounds of one group: 9.2e18 in whole units, and 1.8e11 rows even if every row
-carries the largest possible rest. Beyond them ANSI mode raises an error.
+A split amount is a ``struct<whole:bigint,rest:bigint>``. Bounds of one sum:
+9.2e18 in whole units, and 1.8e11 rows even if every row carries the largest
+possible rest. Beyond them, and for NaN, ANSI mode raises an error.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STEPS = 10 ** 8
-EXACT = T.DecimalType(38, 8)
+SPLIT_FIELDS = ["whole", "rest"]
 
 
 def whole_part(amount: Column) -> Column:
@@ -29,22 +30,73 @@ def rest_part(amount: Column) -> Column:
     return F.rint((amount - F.rint(amount)) * float(STEPS)).cast("bigint")
 
 
-def joined(whole: Column, rest: Column) -> Column:
-    """The decimal that two summed parts stand for."""
-    steps = rest.cast("decimal(20,0)") * F.expr("0.00000001BD")
-    return (whole.cast("decimal(20,0)") + steps).cast(EXACT)
+def pair(whole: Column, rest: Column) -> Column:
+    return F.struct(whole.alias("whole"), rest.alias("rest"))
+
+
+def _column(amount: Column | str) -> Column:
+    return F.col(amount) if isinstance(amount, str) else amount
+
+
+def split_sum(amount: Column | str) -> Column:
+    """Sum of a numeric column as a split amount; NULLs are skipped."""
+    amount = _column(amount)
+    return pair(F.sum(whole_part(amount)), F.sum(rest_part(amount)))
+
+
+def sum_of_splits(split: Column | str, window=None) -> Column:
+    """Sum of split amounts, as an aggregate or over a window."""
+    split = _column(split)
+    parts = [F.sum(split["whole"]), F.sum(split["rest"])]
+    return pair(*[part.over(window) if window is not None else part for part in parts])
+
+
+def to_decimal(split: Column | str) -> Column:
+    split = _column(split)
+    steps = split["rest"].cast("decimal(20,0)") * F.expr("0.00000001BD")
+    return (split["whole"].cast("decimal(20,0)") + steps).cast("decimal(38,8)")
+
+
+def to_double(split: Column | str) -> Column:
+    """The double nearest to a split amount.
+
+    Below 4e7 all steps fit the 53 bits of a double and one division rounds
+    correctly; larger amounts go through a decimal.
+    """
+    split = _column(split)
+    whole, rest = split["whole"], split["rest"]
+    fits = whole.between(-4 * 10 ** 7, 4 * 10 ** 7) & rest.between(-4 * 10 ** 15, 4 * 10 ** 15)
+    return F.when(fits, (whole * STEPS + rest).cast("double") / float(STEPS)).otherwise(
+        to_decimal(split).cast("double"))
 
 
 def exact_sum(amount: Column | str) -> Column:
-    """Sum of a numeric column as ``decimal(38,8)``; NULLs are skipped."""
-    amount = F.col(amount) if isinstance(amount, str) else amount
-    return joined(F.sum(whole_part(amount)), F.sum(rest_part(amount)))
+    """The double nearest to the exact sum of a numeric column."""
+    return to_double(split_sum(amount))
 
 
-def as_doubles(df: DataFrame) -> DataFrame:
-    """Turn every decimal column into a double, the type of the interface."""
+def exact_sum_over(amount: Column | str, window) -> Column:
+    """Like :func:`exact_sum`, over a window."""
+    amount = _column(amount)
+    return to_double(pair(F.sum(whole_part(amount)).over(window), F.sum(rest_part(amount)).over(window)))
+
+
+def exact_add(left: Column, right: Column) -> Column:
+    """The double nearest to the sum of two amounts of at most 8 decimals."""
+    return to_double(pair(whole_part(left) + whole_part(right), rest_part(left) + rest_part(right)))
+
+
+def _converted(df: DataFrame, convert) -> DataFrame:
     return df.select(*[
-        F.col(f.name).cast("double").alias(f.name)
-        if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
-        for f in df.schema.fields
-    ])
+        convert(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StructType)
+        and f.dataType.fieldNames() == SPLIT_FIELDS else F.col(f.name) for f in df.schema.fields])
+
+
+def as_doubles(df: DataFrame) -> DataFrame:
+    """Every split amount of ``df`` as a double, the type of the interface."""
+    return _converted(df, to_double)
+
+
+def as_decimals(df: DataFrame) -> DataFrame:
+    """Every split amount of ``df`` as a ``decimal(38,8)``."""
+    return _converted(df, to_decimal)

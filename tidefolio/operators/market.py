@@ -37,7 +37,7 @@ def candles(ticks: DataFrame, width: str, time: str = "ts", tie: str = "event_id
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         F.max_by("price", "_order").alias("close"),
-        exact_sum("volume").cast("double").alias("volume"),
+        exact_sum("volume").alias("volume"),
         F.count(F.lit(1)).alias("num_ticks"))
     return bars.select(
         "symbol",

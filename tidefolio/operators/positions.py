@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefolio.functions import valuation
-from tidefolio.functions.amounts import exact_sum
+from tidefolio.functions.amounts import exact_sum, split_sum, sum_of_splits, to_double
 from tidefolio.functions.keys import surrogate_key
 
 POSITION = ("user_id", "symbol")
@@ -45,14 +45,14 @@ def sign(trades: DataFrame) -> DataFrame:
 
 
 def daily_delta(signed: DataFrame) -> DataFrame:
-    """Net change of each position per day, as exact decimals."""
+    """Net change of each position per day, as split amounts."""
     sold = F.when(F.col("tx_type") == SELL, F.col("total_value")).otherwise(F.lit(0.0))
     return signed.groupBy(*POSITION, "date").agg(
-        exact_sum("signed_quantity").alias("daily_net_quantity"),
-        exact_sum("signed_cost").alias("daily_net_cost"),
-        exact_sum("fee").alias("daily_fees"),
+        split_sum("signed_quantity").alias("daily_net_quantity"),
+        split_sum("signed_cost").alias("daily_net_cost"),
+        split_sum("fee").alias("daily_fees"),
         F.count("tx_id").alias("num_trades"),
-        exact_sum(sold).alias("daily_sell_value"),
+        split_sum(sold).alias("daily_sell_value"),
     )
 
 
@@ -61,7 +61,7 @@ def _in_date_order():
 
 
 def cumulative(daily: DataFrame, seed: DataFrame | None = None) -> DataFrame:
-    """Running totals of each position up to and including each day.
+    """Running totals of each position up to and including each day, as split amounts.
 
     ``seed`` is an earlier result of this function (unfiltered: positions that
     were sold out still carry fees and sale proceeds). Its last row per position
@@ -72,8 +72,7 @@ def cumulative(daily: DataFrame, seed: DataFrame | None = None) -> DataFrame:
         rows = rows.unionByName(_opening_rows(seed, daily.columns))
     up_to_now = _in_date_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = rows.withColumns({
-        total: F.sum(change).over(up_to_now).cast("decimal(38,8)")
-        for total, change in RUNNING.items()
+        total: sum_of_splits(change, up_to_now) for total, change in RUNNING.items()
     })
     return totals.filter(~F.col("_opening")).drop("_opening")
 
@@ -91,7 +90,7 @@ def _opening_rows(seed: DataFrame, columns: list[str]) -> DataFrame:
 
 def in_doubles(totals: DataFrame) -> DataFrame:
     """The running totals as doubles, with the average cost basis."""
-    as_double = totals.withColumns({total: F.col(total).cast("double") for total in RUNNING})
+    as_double = totals.withColumns({total: to_double(total) for total in RUNNING})
     return as_double.withColumn(
         "avg_cost_basis",
         valuation.avg_cost_basis(F.col("quantity_held"), F.col("total_cost_basis")))
@@ -210,7 +209,7 @@ def top_portfolios(snapshot: DataFrame, k: int = 5) -> DataFrame:
     the answer, and only they are compared with the date of the first.
     """
     totals = snapshot.groupBy("date", "user_id").agg(
-        F.round(exact_sum("market_value"), 2).cast("double").alias("total_value"))
+        F.round(exact_sum("market_value"), 2).alias("total_value"))
     first = totals.orderBy(F.desc("date"), F.desc("total_value"), "user_id").limit(k)
     last_date = F.max("date").over(Window.partitionBy())
     return (first.withColumn("_last", last_date)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefolio.functions import tiers
-from tidefolio.functions.amounts import exact_sum
+from tidefolio.functions.amounts import exact_add, exact_sum, exact_sum_over, split_sum, sum_of_splits, to_double
 from tidefolio.functions.keys import surrogate_key
 from tidefolio.operators.positions import BUY
 
@@ -27,8 +27,8 @@ def _rounded_sum(amount: Column | str, digits: int) -> Column:
 
 def _per_user_day(rewards: DataFrame, kind: str, earned: str, digits: int, base: str, count: str) -> DataFrame:
     return rewards.filter(F.col("reward_type") == kind).groupBy(*USER_DAY).agg(
-        _rounded_sum("reward_amount", digits).cast("double").alias(earned),
-        _rounded_sum("spend_amount", 2).cast("double").alias(base),
+        _rounded_sum("reward_amount", digits).alias(earned),
+        _rounded_sum("spend_amount", 2).alias(base),
         F.count("reward_id").alias(count))
 
 
@@ -65,17 +65,14 @@ def daily_rewards(rewards: DataFrame) -> DataFrame:
         )
         .drop("_alone")
     )
-    zero = F.expr("0BD")
-    earned = {c: F.coalesce(c, zero) for c in ("cashback_earned", "staking_earned")}
-    total = F.round(earned["cashback_earned"] + earned["staking_earned"], 4)
     money = ("cashback_earned", "cashback_spend", "staking_earned", "staked_value")
-    return sums.withColumn("total_reward_value", total.cast("double")).withColumns(
-        {c: F.coalesce(F.col(c), zero).cast("double") for c in money})
+    total = exact_add(F.col("cashback_earned"), F.col("staking_earned"))
+    return sums.fillna(0.0, subset=list(money)).withColumn("total_reward_value", F.round(total, 4))
 
 
 def daily_buy_spend(trades: DataFrame) -> DataFrame:
     return trades.filter(F.col("tx_type") == BUY).groupBy(*USER_DAY).agg(
-        _rounded_sum("total_value", 2).cast("double").alias("daily_buy_spend"))
+        _rounded_sum("total_value", 2).alias("daily_buy_spend"))
 
 
 def trailing_days(days: int, keys: tuple[str, ...] = ("user_id",)):
@@ -91,8 +88,7 @@ def rolling(daily: DataFrame, value: str, name: str, days: int = 30, digits: int
     ``daily`` holds one row per key and day, so a key's window is bounded by the
     calendar and not by its number of events.
     """
-    total = _over(value, trailing_days(days, keys))
-    return daily.withColumn(name, F.round(total, digits).cast("double"))
+    return daily.withColumn(name, F.round(exact_sum_over(value, trailing_days(days, keys)), digits))
 
 
 def lifetime(daily: DataFrame, value: str, name: str, digits: int = 2,
@@ -102,13 +98,7 @@ def lifetime(daily: DataFrame, value: str, name: str, digits: int = 2,
     What existing reports show under their "30 day" columns: their window key
     is NULL on every row, so all days of a user are peers.
     """
-    total = _over(value, Window.partitionBy(*keys))
-    return daily.withColumn(name, F.round(total, digits).cast("double"))
-
-
-def _over(value: str | Column, window) -> Column:
-    value = F.col(value) if isinstance(value, str) else value
-    return F.sum(value.cast("decimal(28,8)")).over(window)
+    return daily.withColumn(name, F.round(exact_sum_over(value, Window.partitionBy(*keys)), digits))
 
 
 def with_spend(daily: DataFrame, spend: DataFrame) -> DataFrame:
@@ -165,15 +155,15 @@ def summary(rewards: DataFrame, trades: DataFrame, users: DataFrame, days: int =
         daily_buy_spend(trades).filter(keyed), allowMissingColumns=True)
 
     window, same_day = trailing_days(days), trailing_days(0)
-    bought = F.when(keyed, _over("daily_buy_spend", same_day))
-    spent = F.when(keyed, F.round(_over("daily_buy_spend", window), 2))
+    bought = F.when(keyed, exact_sum_over("daily_buy_spend", same_day))
+    spent = F.when(keyed, F.round(exact_sum_over("daily_buy_spend", window), 2))
     if spend_on == "buy_day":
         spent = F.when(bought.isNotNull(), spent)
     rows = stacked.select(
         *[c for c in stacked.columns if c != "daily_buy_spend"],
-        F.coalesce(bought.cast("double"), F.lit(0.0)).alias("daily_buy_spend"),
-        F.coalesce(spent.cast("double"), F.lit(0.0)).alias("rolling_30d_spend"),
-        F.round(_over("total_reward_value", window), 4).cast("double").alias("rolling_30d_rewards"),
+        F.coalesce(bought, F.lit(0.0)).alias("daily_buy_spend"),
+        F.coalesce(spent, F.lit(0.0)).alias("rolling_30d_spend"),
+        F.round(exact_sum_over("total_reward_value", window), 4).alias("rolling_30d_rewards"),
     ).filter(F.col("_reward"))
     facts = upgrade(suggest_tier(with_user(rows, users)), order)
     return facts.withColumn("reward_summary_id", surrogate_key(*USER_DAY)).select(*SUMMARY_COLUMNS)
@@ -185,10 +175,10 @@ def by_tier(summary: DataFrame) -> DataFrame:
     Summed per user first: five tiers alone would leave five busy tasks.
     """
     per_user = summary.groupBy("user_tier", "user_id").agg(
-        exact_sum("cashback_earned").alias("cashback"), exact_sum("staking_earned").alias("staking"))
+        split_sum("cashback_earned").alias("cashback"), split_sum("staking_earned").alias("staking"))
     return per_user.groupBy("user_tier").agg(
-        F.round(F.sum("cashback"), 2).cast("double").alias("total_cashback"),
-        F.round(F.sum("staking"), 2).cast("double").alias("total_staking"),
+        F.round(to_double(sum_of_splits("cashback")), 2).alias("total_cashback"),
+        F.round(to_double(sum_of_splits("staking")), 2).alias("total_staking"),
         F.count("user_id").alias("unique_users"),
     ).orderBy("user_tier")
 

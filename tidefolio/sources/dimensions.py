@@ -30,7 +30,7 @@ def assets(items: DataFrame, symbol: str, price: str) -> DataFrame:
     """One row per symbol with its mean price as base price."""
     return (
         items.groupBy(F.col(symbol).alias("symbol"))
-        .agg((exact_sum(price).cast("double") / F.count(price)).alias("base_price"),
+        .agg((exact_sum(price) / F.count(price)).alias("base_price"),
              F.count(F.lit(1)).alias("num_items"))
     )
 

@@ -35,8 +35,8 @@ def reward_tier(spend: DataFrame, days: int = 30, delay: str = LATENESS,
     spread = per_day.withColumn("frame", F.window("day_time", f"{days + 2} days", "1 day"))
     counts = F.col("day") > F.col("frame.start")
     rolling = spread.withColumn("counted", F.when(counts, F.col("day_spend"))) \
-        .groupBy("user_id", "frame").agg(F.sum("counted").alias("spend"))
-    amount = F.coalesce(F.col("spend").cast("double"), F.lit(0.0))
+        .groupBy("user_id", "frame").agg(exact_sum("counted").alias("spend"))
+    amount = F.coalesce("spend", F.lit(0.0))
     return rolling.select(
         "user_id",
         F.to_date(F.col("frame.end") - F.expr("interval 1 day")).alias("date"),
