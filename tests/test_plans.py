@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,3 +128,14 @@ def test_realtime_job_lands_and_follows(spark):
     last = {r["user_id"]: (r["quantity_held"], r["price"])
             for r in rows(serving.latest_view(log, ["user_id", "symbol"], ["version"]))}
     assert last == {"u": (2.0, 11.0), "v": (1.0, 11.0)}
+
+    # The same streams can be kept running, and pick up what comes in.
+    running = realtime.run(spark, lake.base, every="1 second", buckets=2)
+    spark.createDataFrame([("t4", "v", "A", "buy", 2.0, 1.0, 2.0, 0.0, at("2024-01-05 00:00:01"))], realtime.TRADE) \
+        .write.mode("append").parquet(lake.incoming("transactions"))
+    deadline = time.time() + 60
+    while time.time() < deadline and read(lake.realtime("portfolio_pnl")).filter("user_id = 'v' and quantity_held = 3").isEmpty():
+        time.sleep(1)
+    for query in running:
+        query.stop()
+    assert not read(lake.realtime("portfolio_pnl")).filter("user_id = 'v' and quantity_held = 3").isEmpty()

@@ -174,7 +174,7 @@ def dense_snapshot(totals: DataFrame, prices: DataFrame, last_date: str) -> Data
     matters even more than in :func:`priced`: only a table known to be below the
     broadcast threshold spares the shuffle of the stretched positions.
     """
-    held = in_doubles(_every_day(totals.drop("num_trades"), POSITION, last_date))
+    held = _every_day(in_doubles(totals).drop("num_trades", *RUNNING.values()), POSITION, last_date)
     quoted = _every_day(prices.select("symbol", "date", "close"), ("symbol",), last_date)
     return pnl(priced(held, quoted)).filter(F.round("quantity_held", 8) > 0)
 

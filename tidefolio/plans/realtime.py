@@ -46,17 +46,26 @@ def run(spark: SparkSession, base: str, every: str | None = None, buckets: int =
     for example ``"60 seconds"``, all keep running and are returned.
     """
     lake = Lake(base)
-    landing = []
+    # Also with ``every``: the views can only follow tables that exist.
+    _finish(_landing(spark, lake, None))
+    running = _landing(spark, lake, every) if every else []
+    following = views(_raw(spark, lake, "ticks"), _raw(spark, lake, "transactions"), buckets)
+    running += [land(rows, lake.realtime(name), lake.checkpoint(name), every=every)
+                for name, rows in following.items()]
+    if every is None:
+        _finish(running)
+    return running
+
+
+def _landing(spark: SparkSession, lake: Lake, every: str | None) -> list[StreamingQuery]:
+    queries = []
     for table, (schema, key) in INCOMING.items():
         events = windows.dedup(stream(spark, lake.incoming(table), schema), [key])
-        landing.append(land(events.withColumn("date", F.to_date("ts")), lake.raw(table),
+        queries.append(land(events.withColumn("date", F.to_date("ts")), lake.raw(table),
                             lake.checkpoint(f"raw_{table}"), "date", every))
-    if every is None:
-        for query in landing:
-            query.awaitTermination()
-    following = [land(rows, lake.realtime(name), lake.checkpoint(name), every=every)
-                 for name, rows in views(_raw(spark, lake, "ticks"), _raw(spark, lake, "transactions"), buckets).items()]
-    if every is None:
-        for query in following:
-            query.awaitTermination()
-    return landing + following
+    return queries
+
+
+def _finish(queries: list[StreamingQuery]) -> None:
+    for query in queries:
+        query.awaitTermination()
