@@ -17,6 +17,7 @@ by one; a null id is carried along; other columns are ignored. An empty table gi
 
 from __future__ import annotations
 
+import base64
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,55 +31,47 @@ from tidefolio.llm.common import stored
 
 CAPACITY = 2048
 GROUP_ROWS = 20_000
-CACHED_WORDS = 200_000
+
+# How byte-level vocabularies of this kind split a text, and a text that shows differences.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PROBE = "It's 1,234 naïve\tgrüße  here:\n\n  they'll \u00a0 say 日本語 — <|endoftext|> 🙂 x=y_z; "
 
 
 class Encoder:
     """Ids of a text, as little-endian unsigned 32-bit bytes.
 
-    A byte-level vocabulary splits at each space that stands between two other
-    characters, so words are encoded once and remembered (at most ``CACHED_WORDS``
-    of them, then afresh). Texts with runs of spaces go to the tokenizer whole.
+    ``ranks`` may name a file with the tokenizer's vocabulary as ranks: its library gives the same
+    ids about four times faster, and is refused if a probe text comes out differently.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-
-    def direct(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.ids = self._by_tokenizer
+        if ranks is not None:
+            import tiktoken
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
+            quick = tiktoken.Encoding("same", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+            if quick.encode_ordinary(PROBE) != self._by_tokenizer(PROBE):
+                raise ValueError("ranks and tokenizer give different ids")
+            self.ids = quick.encode_ordinary
+
+    def _by_tokenizer(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> bytes:
-        if "  " in text or text.endswith(" ") or len(text) < 2:
-            return self.direct(text) if text else b""
-        words, out = self.words, []
-        first, *rest = text.split(" ")
-        if first:
-            out.append(self.direct(first))
-        get = words.get
-        for w in rest:
-            ids = get(w)
-            if ids is None:
-                ids = self.direct(" " + w)
-                if len(w) < 100:
-                    if len(words) >= CACHED_WORDS:
-                        words.clear()
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
-
-
-def cut(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, key: str = "doc_id",
-        text: str = "text") -> DataFrame:
+        return np.array(self.ids(text), "<u4").tobytes()
+
+
+def cut(documents: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = CAPACITY, end_id: int = 1,
+        key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, start, length, ids_crc32, doc_tokens``: every id of a document in one piece of at most ``capacity``."""
     kind = documents.schema[key].dataType
     schema = f"{key} {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long"
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer), struct.pack("<I", end_id)
+        encoder, end = Encoder(tokenizer, ranks), struct.pack("<I", end_id)
         for batch in batches:
             at, start, length, crc, total = [], [], [], [], []
             for i, value in enumerate(batch.column(1)):
@@ -150,10 +143,10 @@ def fill(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     return bins, offsets
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1,
-         group_rows: int = GROUP_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = CAPACITY,
+         end_id: int = 1, group_rows: int = GROUP_ROWS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces with their ``sequence_id`` and ``offset``; starts jobs that write and count the pieces."""
-    made = stored(cut(documents, tokenizer, capacity, end_id, key, text)
+    made = stored(cut(documents, tokenizer, ranks, capacity, end_id, key, text)
                   .withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     columns = [key, "start", "length", "ids_crc32", "doc_tokens"]
     full = made.filter(F.col("length") == capacity).select(

@@ -6,23 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefolio.llm import exact_dedup, packing, url_filter
+from tidefolio.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, quality, url_filter
 from tidefolio.llm.common import table
 
 
-def tokenizer_path() -> str:
+def tokenizer_files() -> tuple[str, str]:
+    """The tokenizer, and the same vocabulary as ranks."""
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack(table(spark, sf_dir, "documents"), *tokenizer_files())
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), *quality.site_of(docs["source"], docs["lang"]))
+
+
 # The rules of the query.
 URL_RULES = (url_filter.Rule("allow", "com"), url_filter.Rule("block", "example.com", "/en/"),
              url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
@@ -35,8 +49,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_embedding_dedup": op2_embedding_dedup,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_quality": op10_quality,
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.DEDUP_SQL,
