@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefolio.llm import embedding_dedup, exact_dedup, minhash_dedup, packing, quality, url_filter
+from tidefolio.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, quality, url_filter
 from tidefolio.llm.common import table
 
 
@@ -37,6 +37,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels"), *quality.site_of(docs["source"], docs["lang"]))
 
 
+# The shares of tokens that the mixture should have.
+TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
+
+
 # The rules of the query.
 URL_RULES = (url_filter.Rule("allow", "com"), url_filter.Rule("block", "example.com", "/en/"),
              url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
@@ -52,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_embedding_dedup": op2_embedding_dedup,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_mixing": op5_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
 }
