@@ -34,22 +34,10 @@ from pyspark.sql import functions as F
 
 from tidefolio.llm.common import stored
 from tidefolio.llm.components import components
-from tidefolio.llm.words import mix, shingle_hashes, text_bytes, word_hashes
+from tidefolio.llm.words import mix, shingle_hashes, slices, text_bytes, word_hashes
 
 SIZE, ROWS = 128, 4
 SHINGLE, SIMILARITY = 5, 0.8
-BATCH_BYTES = 2 << 20
-
-
-def slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with at most ``limit`` bytes in a text column, or one row."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    total, low = np.cumsum(sizes), 0
-    while low < batch.num_rows:
-        before = total[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(total, before + limit, "right")))
-        yield batch.slice(low, high - low)
-        low = high
 
 
 def bags(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,8 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidefolio.llm.common import stored
-from tidefolio.llm.minhash_dedup import slices
-from tidefolio.llm.words import shingle_hashes, text_bytes, word_hashes
+from tidefolio.llm.words import shingle_hashes, slices, text_bytes, word_hashes
 
 MAX_LABELLED = 50_000
 FEATURES = 18

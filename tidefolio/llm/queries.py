@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefolio.llm import embedding_dedup, exact_dedup, minhash_dedup, mixing, packing, quality, url_filter
-from tidefolio.llm.common import table
+from tidefolio.llm import embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, quality, url_filter
+from tidefolio.llm.common import crc_of_id, table
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -45,6 +45,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of_id(docs["doc_id"]) % 3 == 1
+    return language_id.identify(docs, ~held_out, held_out)
+
+
 # The rules of the query.
 URL_RULES = (url_filter.Rule("allow", "com"), url_filter.Rule("block", "example.com", "/en/"),
              url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op7_language_id": op7_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
 }

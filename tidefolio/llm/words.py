@@ -6,14 +6,18 @@ an odd base modulo 2**64, taken from running sums of the whole buffer, then mixe
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1 << 20
+BATCH_BYTES = 2 << 20
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -35,9 +39,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def slices(batch: pa.RecordBatch, column: int, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``limit`` bytes in a text column, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    total, low = np.cumsum(sizes), 0
+    while low < batch.num_rows:
+        before = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, before + limit, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array, and the offsets of its rows; null is empty."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
