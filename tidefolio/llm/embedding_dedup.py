@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidefolio.llm.common import stored
 from tidefolio.llm.components import components
@@ -66,12 +67,12 @@ def place(vectors: np.ndarray, blocks: int, grid: int, threshold: float):
     """Rotated integers, and for each block its number, cell of the home and of the visits per vector."""
     dims = vectors.shape[1]
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    turned = np.rint(unit @ rotation(dims).T * UNIT).astype(np.int32)
+    turned = np.rint(unit @ rotation(dims).T * UNIT).astype(np.int16)
     edges = block_edges(dims, blocks)
     placed = []
     for j, radius in enumerate(radii(dims, edges, threshold)):
         g = min(grid, edges[j + 1] - edges[j])
-        home = np.floor_divide(turned[:, edges[j]:edges[j] + g], radius).astype(np.int64)
+        home = np.floor_divide(turned[:, edges[j]:edges[j] + g].astype(np.int64), radius)
         for k, step in enumerate([(0,) * g, *half_of_neighbours(g)]):
             cell = np.zeros(len(vectors), np.int64)
             for axis in range(g):
@@ -151,6 +152,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
     classes = stored(given.filter(fine).groupBy("_label", "_vec")
                      .agg(F.min("_id").alias("_rep"), F.count("*").alias("_mult")), "classes")
 
+    width = np.float32 if isinstance(vectors.schema[vector].dataType.elementType, T.FloatType) else np.float64
     label_type = classes.schema["_label"].dataType.simpleString()
     at_home = f"_label {label_type}, _dims int, _block int, _cell long, _visits int, _rep long, _mult long, " \
               "_raw binary, _turned binary"
@@ -168,7 +170,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
                     raw = values[starts[rows][:, None] + np.arange(dims)]
                     turned, cells = place(raw, blocks, grid, threshold)
                     own = batch.take(pa.array(rows))
-                    as_given = pa.array([x.tobytes() for x in raw.astype(np.float64)], pa.binary())
+                    as_given = pa.array([x.tobytes() for x in raw.astype(width)], pa.binary())
                     as_turned = pa.array([x.tobytes() for x in turned], pa.binary())
                     for j, visits, cell in cells:
                         n = len(rows)
@@ -195,8 +197,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, blocks: int = 8
     def compare(group: pa.Table) -> pa.Table:
         ids, mult = group.column("_rep").to_numpy(), group.column("_mult").to_numpy()
         dims, block = group.column("_dims")[0].as_py(), group.column("_block")[0].as_py()
-        raw = np.frombuffer(b"".join(group.column("_raw").to_pylist()), np.float64).reshape(-1, dims)
-        turned = np.frombuffer(b"".join(group.column("_turned").to_pylist()), np.int32).reshape(-1, dims)
+        raw = np.frombuffer(b"".join(group.column("_raw").to_pylist()), width).reshape(-1, dims).astype(np.float64)
+        turned = np.frombuffer(b"".join(group.column("_turned").to_pylist()), np.int16).reshape(-1, dims)
         right = group.column("right").to_numpy(zero_copy_only=False).astype(bool)
         left, right = np.flatnonzero(~right), np.flatnonzero(right)
         sides = [(left, right)]

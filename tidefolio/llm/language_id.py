@@ -72,7 +72,9 @@ def gram_counts(documents: DataFrame, label: str, text: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[object, _Sums] = {}
+        arrow = None
         for whole in batches:
+            arrow = whole.column(0).type
             for batch in slices(whole, 1):
                 by_label: dict[object, list[str]] = {}
                 for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -85,7 +87,7 @@ def gram_counts(documents: DataFrame, label: str, text: str) -> DataFrame:
             for low in range(0, len(keys), 50_000):
                 part = slice(low, low + 50_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k] * len(keys[part])), pa.array(keys[part].astype(np.int64)),
+                    [pa.array([k] * len(keys[part]), arrow), pa.array(keys[part].astype(np.int64)),
                      pa.array(counts[part].astype(np.int64))], names=[label, "gram", "n"])
 
     return (documents.select(label, text).mapInArrow(count, f"`{label}` {kind}, gram long, n long")

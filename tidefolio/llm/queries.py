@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefolio.llm import embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, quality, url_filter
+from tidefolio.llm import (embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, quality,
+                           suffix_dedup, toxicity, url_filter)
 from tidefolio.llm.common import crc_of_id, table
 
 
@@ -45,12 +46,22 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TARGETS)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_of_id(docs["doc_id"]) % 3 == 1
     return language_id.identify(docs, ~held_out, held_out)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_of_id(docs["doc_id"]) % 5 == 0
+    return toxicity.score(docs, table(spark, sf_dir, "labels"), ~held_out, held_out)
+
+
 # The rules of the query.
 URL_RULES = (url_filter.Rule("allow", "com"), url_filter.Rule("block", "example.com", "/en/"),
              url_filter.Rule("allow", "www.example.com", "/en/"), url_filter.Rule("block", "net", "/es/"),
@@ -67,7 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_mixing": op5_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
 }
