@@ -92,13 +92,27 @@ class Text:
         for k in range(PER_WORD):
             words = (words << np.uint64(9)) | padded[k:k + n]
         keys = [words[self.turns + PER_WORD * j] for j in range(-(-self.depth // PER_WORD))]
-        order = np.lexsort(keys[::-1])
-        shared, same = np.zeros(len(order), np.int64), np.ones(max(0, len(order) - 1), bool)
+        order = np.argsort(keys[0], kind="stable")
+        differs = keys[0][order]
+        new = np.concatenate([[True], differs[1:] != differs[:-1]])
+        for key in keys[1:]:  # only those that are equal so far go on
+            tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+            if not len(tied):
+                break
+            rows, group = order[tied], np.cumsum(new)[tied]
+            rows = rows[np.lexsort((key[rows], group))]
+            order[tied] = rows
+            value = key[rows]
+            new[tied[1:]] |= value[1:] != value[:-1]
+        shared, alive = np.zeros(len(order), np.int64), np.arange(1, len(order))
         for key in keys:
-            differs = key[order][1:] ^ key[order][:-1]
-            for k in range(1, PER_WORD + 1):
-                shared[1:] += same & (differs >> np.uint64(9 * (PER_WORD - k)) == 0)
-            same &= differs == 0
+            bits = key[order[alive]] ^ key[order[alive - 1]]
+            ends = bits != 0
+            shared[alive[~ends]] += PER_WORD
+            at, bits = alive[ends], bits[ends]
+            for k in range(1, PER_WORD):
+                shared[at] += bits >> np.uint64(9 * (PER_WORD - k)) == 0
+            alive = alive[~ends]
         return self.turns[order], np.minimum(shared, self.depth).astype(np.uint8)
 
 

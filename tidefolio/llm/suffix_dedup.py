@@ -4,13 +4,14 @@ Every window of ``window`` bytes has a minimizer: the least hash of the ``gram``
 strings in it. Equal windows have equal minimizers, so runs of windows with one minimizer
 (segments, with the bytes they cover) can be sorted in separate shards. First all minimizers are
 counted: one that a single document has cannot belong to a repeated window. The
-others go into a Bloom filter of fixed size, which decides what the second read sends; false
-positives only cost time. Equal segments combine on the map side to one row with their smallest
-document. Shards of whole minimizers are then sorted by induction with common-prefix values
-(``induced``): suffixes that share ``window`` bytes are neighbours, and the smallest document
-among them owns the window. A window of a document is removed if its owner is smaller:
-that is each window of a segment whose smallest document is another, and else those
-that the sorting found.
+others go into a Bloom filter of fixed size, which decides what the second read keeps; false
+positives only cost time. Kept segments are stored as stretches of bytes. Equal segments combine
+on the map side to one row with their smallest document. Shards of whole minimizers are then
+sorted by induction with common-prefix values (``induced``): suffixes that share ``window``
+bytes are neighbours, and the smallest document among them owns the window. (A segment
+alone under its minimizer has nothing to be sorted with.) A window of a document is removed
+if its owner is smaller: that is each window of a segment whose smallest document is another,
+and else those that the sorting found.
 
 Scale: memory of a task is bounded by ``shard_bytes`` and by its longest text; a minimizer
 with more than ``hot_segments`` distinct segments has these cut into single windows, which
@@ -25,20 +26,22 @@ nothing. Extra columns do not matter; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefolio.llm.common import release, stored
+from tidefolio.llm.common import discard, release, stored
 from tidefolio.llm.induced import sorted_buckets
 from tidefolio.llm.words import BASE, INVERSE, mix, powers, slices, text_bytes
 
 WINDOW, GRAM = 50, 24
 FILTER_BITS = 28
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 HOT_SEGMENTS = 200_000
 LONGEST_RUN = 4096
 LAST = (1 << 63) - 1
@@ -173,83 +176,126 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     sent = spark.sparkContext.broadcast(bloom)
     release(spark)
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
         for whole in batches:
             for batch in slices(whole, 2):
-                ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 data, offsets = text_bytes(batch.column(2))
                 found, which, start, size = segments(data, offsets, window, gram)
                 here = np.ones(len(found), bool)
                 for place in _places(found, filter_bits):
                     place = place.astype(np.int64)
                     here &= (held[place >> 6] >> (place & 63)) & 1 == 1
-                found, which, start, size = found[here], which[here], start[here], size[here]
-                raw, low = data.tobytes(), offsets[which] + start
-                body = [raw[a:b] for a, b in zip(low.tolist(), (low + size + window - 1).tolist())]
-                for a in range(0, len(found), 20_000):
-                    part = slice(a, a + 20_000)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(found[part].view(np.int64)), pa.array(ids[which[part]]), pa.array(marks[which[part]]),
-                         pa.array(start[part]), pa.array(body[part], pa.binary())],
-                        names=["m", "doc", "mark", "start", "body"])
+                found, which, low, size = found[here], which[here], (offsets[which] + start)[here], size[here]
+                high = low + size + window - 1
+                # segments of a text whose bytes touch are one stretch
+                new = np.ones(len(found), bool)
+                new[1:] = (which[1:] != which[:-1]) | (low[1:] > high[:-1])
+                at = np.flatnonzero(new)
+                edges = np.append(at, len(found))
+                first = low[at]
+                raw = data.tobytes()
+                last = high[edges[1:] - 1] if len(at) else at
+                bodies = [raw[x:y] for x, y in zip(first.tolist(), last.tolist())]
+                inside = low - first[np.cumsum(new) - 1] if len(found) else low
+                lists = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x))
+                         for x in (found.view(np.int64), inside.astype(np.int32), size.astype(np.int32))]
+                owner = pa.array(which[at])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(first - offsets[which[at]]),
+                     pa.array(bodies, pa.binary()), *lists], names=["doc", "mark", "start", "stretch", "ms", "ats", "ns"])
 
     mark = F.xxhash64("text").alias("mark")  # tells rows of one id apart
-    sent_rows = docs.select("doc", mark, "text").mapInArrow(send, "m long, doc long, mark long, start long, body binary")
-    sent_rows = stored(sent_rows, "segments")
+    stretches = docs.select("doc", mark, "text").mapInArrow(
+        keep, "doc long, mark long, start long, stretch binary, ms array<long>, ats array<int>, ns array<int>")
+    stretches = stored(stretches, "stretches")
+    rows = stretches.select("doc", "mark", "start", "stretch", F.explode(F.arrays_zip("ms", "ats", "ns")).alias("s")).select(
+        F.col("s.ms").alias("m"), "doc", "mark", (F.col("start") + F.col("s.ats")).alias("start"),
+        F.substring(F.col("stretch"), F.col("s.ats") + 1, F.col("s.ns") + (window - 1)).alias("body"))
 
     def distinct(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("m", "body").agg(F.min("doc").alias("first"))
+        return stored(rows.groupBy("m", "body").agg(F.min("doc").alias("first")), "bodies")
 
-    bodies = stored(distinct(sent_rows), "bodies")
+    bodies = distinct(rows)
     hot = stored(bodies.groupBy("m").count().filter(F.col("count") > hot_segments).select("m"), "hot")
     if not hot.isEmpty():
         at = F.explode(F.sequence(F.lit(0), F.octet_length("body") - window)).alias("_at")
-        single = sent_rows.join(hot, "m").select("doc", "mark", "start", "body", at)
+        single = rows.join(hot, "m").select("doc", "mark", "start", "body", at)
         single = single.select("doc", "mark", (F.col("start") + F.col("_at")).alias("start"),
                                F.substring(F.col("body"), F.col("_at") + 1, F.lit(window)).alias("body"))
         single = single.select(F.xxhash64("body").alias("m"), "doc", "mark", "start", "body")
-        sent_rows = stored(sent_rows.join(hot, "m", "left_anti").unionByName(single), "segments")
-        bodies = stored(distinct(sent_rows), "bodies")
+        rows = rows.join(hot, "m", "left_anti").unionByName(single)
+        discard(bodies)
+        bodies = distinct(rows)
     release(spark)
     total = bodies.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    shards = max(1, -(-total // (2 * shard_bytes)))
+    shards = max(1, -(-total // (16 * shard_bytes)))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(held: list[tuple[int, bytes, int]]):
-            texts, owner = [h[1] for h in held], np.array([h[2] for h in held], np.int64)
-            which, low, high = runs(*repeated_windows(texts, owner, window))
-            edges = np.searchsorted(which, np.arange(len(held) + 1))
+        def verdict(m, h, first, spans) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([m, h, first, spans], names=["m", "h", "first", "spans"])
+
+        def settle(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            held = pa.concat_tables(parts).combine_chunks()
+            which, low, high = runs(*repeated_windows(held.column("body").to_pylist(), held.column("first").to_numpy(), window))
+            edges = np.searchsorted(which, np.arange(held.num_rows + 1))
             spans = pa.StructArray.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["a", "b"])
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), spans)
-            whole = pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array(texts, pa.binary()),
-                                                pa.array(owner), lists], names=["m", "body", "first", "spans"])
-            for a in range(0, len(held), 20_000):
-                yield whole.slice(a, 20_000)
-
-        held, size, current = [], 0, None
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if row[0] != current and size >= shard_bytes:
+            columns = [held.column(c).combine_chunks() for c in ("m", "h", "first")]
+            yield verdict(*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns), lists)
+
+        held, size, left = [], 0, None
+        none = pa.array([], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+        for batch in itertools.chain(batches, [None]):
+            rows = left if batch is None else pa.Table.from_batches([batch])
+            if batch is not None and left is not None:
+                rows = pa.concat_tables([left, rows])
+            if rows is None or not rows.num_rows:
+                continue
+            m = rows.column("m").to_numpy()
+            edges = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1], [True]]))
+            if batch is not None:  # the last minimizer may go on in the next batch
+                left = rows.slice(int(edges[-2]))
+                rows, edges = rows.slice(0, int(edges[-2])), edges[:-1]
+                if not rows.num_rows:
+                    continue
+            several = np.repeat(np.diff(edges) > 1, np.diff(edges))
+            alone = rows.filter(pa.array(~several)).combine_chunks()
+            for part in alone.to_batches():
+                empty = pa.ListArray.from_arrays(pa.array(np.zeros(part.num_rows + 1, np.int32)), none.values)
+                yield verdict(part.column("m"), part.column("h"), part.column("first"), empty)
+            rows = rows.filter(pa.array(several))
+            m = rows.column("m").to_numpy()
+            sizes = np.cumsum(pc.binary_length(rows.column("body")).to_numpy() + 1) if len(m) else np.zeros(0, np.int64)
+            ends = np.flatnonzero(np.concatenate([m[1:] != m[:-1], [True]])) if len(m) else np.zeros(0, np.int64)
+            begin, before = 0, 0
+            for end in ends.tolist():
+                if size + int(sizes[end]) - before >= shard_bytes:
+                    held.append(rows.slice(begin, end + 1 - begin))
                     yield from settle(held)
-                    held, size = [], 0
-                current = row[0]
-                held.append(row)
-                size += len(row[1]) + 1
+                    held, size, begin, before = [], 0, end + 1, int(sizes[end])
+            if begin < len(m):
+                held.append(rows.slice(begin))
+                size += int(sizes[-1]) - before
         if held:
             yield from settle(held)
 
-    verdicts = stored(bodies.select("m", "body", "first").repartition(shards, "m").sortWithinPartitions("m", "body")
-                      .mapInArrow(sort, "m long, body binary, first long, spans array<struct<a:long,b:long>>"), "verdicts")
+    verdicts = stored(bodies.select("m", "body", "first", F.xxhash64("body").alias("h"))
+                      .repartition(shards, "m").sortWithinPartitions("m")
+                      .mapInArrow(sort, "m long, h long, first long, spans array<struct<a:long,b:long>>"), "verdicts")
+    discard(bodies)
     release(spark)
-    windows = F.octet_length("body") - (window - 1)
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), windows.cast("long").alias("b")))
-    ranges = (sent_rows.join(verdicts, ["m", "body"])
+    # within a minimizer, 64 bits of hash tell the segments apart
+    narrow = rows.select("m", F.xxhash64("body").alias("h"), "doc", "mark", "start",
+                         (F.octet_length("body") - (window - 1)).cast("long").alias("n"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("b")))
+    ranges = (narrow.join(verdicts, ["m", "h"])
               .withColumn("spans", F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("spans")))
               .filter(F.size("spans") > 0)
               .select("doc", "mark", F.transform("spans", lambda s: F.struct(
                   (F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"] + window - 1).alias("b"))).alias("spans")))
     per_doc = stored(ranges.groupBy("doc", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    discard(stretches, verdicts, shared)
     release(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
