@@ -1,0 +1,151 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from llm_fixtures import prose
+from tidefolio.llm import mixing, packing
+from tidefolio.llm.queries import tokenizer_files
+
+CAPACITY = packing.CAPACITY
+
+
+def check_packing(rows, documents, tokenizer, capacity):
+    """Every id in one piece, pieces gapless in sequences that fit."""
+    pieces, sequences = {}, {}
+    for r in rows:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    for doc_id, text in documents:
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        at = 0
+        for r in sorted(pieces[doc_id], key=lambda r: r.start):
+            assert (r.start, r.doc_tokens) == (at, len(ids))
+            assert r.ids_crc32 == zlib.crc32(ids[at:at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for held in sequences.values():
+        at = 0
+        for r in sorted(held, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= capacity
+    return sequences
+
+
+def test_packing_is_a_round_trip_with_little_padding(spark):
+    documents = [(i, prose(i, 20 + 37 * i % 900)) for i in range(300)]
+    documents += [(1000, prose(5, 20_000)), (1001, ""), (1002, None), (1003, "naïve  spaces \n\n 日本語 🙂 <|endoftext|>  "), (1004, "  ")]
+    rows = packing.pack(spark.createDataFrame(documents, "doc_id long, text string").repartition(4), *tokenizer_files())
+    got = rows.collect()
+    encoder = packing.Encoder(tokenizer_files()[0])
+    check_packing(got, documents, encoder.tokenizer, CAPACITY)
+    total = packing.padding(rows).first()
+    assert total.tokens == sum(r.length for r in got) and total.padding < 0.02 * total.tokens
+    slow = packing.pack(spark.createDataFrame(documents, "doc_id long, text string"), tokenizer_files()[0])
+    assert {(r.doc_id, r.start, r.ids_crc32) for r in slow.collect()} == {(r.doc_id, r.start, r.ids_crc32) for r in got}
+
+
+def test_packing_of_odd_rows(odd_documents, no_documents):
+    got = packing.pack(odd_documents, *tokenizer_files(), capacity=64, group_rows=3).collect()
+    assert sum(r.length for r in got if r.doc_id == 7) == 2 * next(r.doc_tokens for r in got if r.doc_id == 7)
+    assert sorted(r.length for r in got if r.doc_id in (4, 5)) == [1, 1]
+    assert packing.pack(no_documents, *tokenizer_files()).count() == 0
+    with pytest.raises(Exception, match="different ids"):
+        import public_tokenizers
+        packing.Encoder(tokenizer_files()[0], public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+def test_each_window_is_filled_as_far_as_any_multiset_can():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        room = int(rng.integers(1, 60))
+        counts = np.zeros(65, int)
+        for x in rng.integers(1, 60, rng.integers(1, 8)):
+            counts[x] += rng.integers(1, 5)
+        lengths = np.flatnonzero(counts)[::-1].tolist()
+        taken = packing.closest(counts, lengths, room)
+        sums = {0}
+        for x in lengths:
+            sums = {s + x * k for s in sums for k in range(counts[x] + 1) if s + x * k <= room}
+        assert sum(x * n for x, n in taken.items()) == max(sums)
+        assert all(0 < n <= counts[x] for x, n in taken.items())
+
+
+def test_fill_places_every_length_once():
+    lengths = np.random.default_rng(1).integers(1, 100, 3000)
+    bins, offsets = packing.fill(lengths, 100)
+    used = np.bincount(bins, lengths)
+    assert used.max() <= 100 and used[:-5].mean() > 99.5
+    for b in np.unique(bins):
+        rows = np.argsort(offsets[bins == b])
+        assert (np.cumsum(lengths[bins == b][rows]) - lengths[bins == b][rows] == offsets[bins == b][rows]).all()
+
+
+def projected_least_squares(n, p, goal, least):
+    """The same problem by plain projected gradient in numpy."""
+    r = np.maximum(np.ones(len(n)), least)
+    m = n[:, None] * p
+    rate = 1 / np.linalg.norm(m, 2) ** 2
+    for _ in range(200_000):
+        r = np.maximum(least, r - rate * m @ (m.T @ r - goal))
+    return m.T @ r
+
+
+@pytest.mark.parametrize("shares,budget,least", [((0.5, 0.3, 0.2), None, 0.0), ((0.1, 0.1, 0.8), None, 0.0),
+                                                 ((0.2, 0.5, 0.3), 0, 1.0), ((0.98, 0.01, 0.01), 2000.0, 0.5)])
+def test_rates_meet_targets_as_well_as_plain_descent(spark, shares, budget, least):
+    rng = np.random.default_rng(4)
+    n, p = rng.integers(1, 60, 80), rng.dirichlet((0.3, 0.3, 0.3), 80)
+    rows = spark.createDataFrame([(i, int(a), *map(float, q)) for i, (a, q) in enumerate(zip(n, p))],
+                                 "_id long, _n long, p_0 double, p_1 double, p_2 double")
+    got = mixing.fit_rates(rows, list(shares), budget, least).orderBy("_id").collect()
+    r = np.array([x.rate for x in got])
+    assert r.min() >= least
+    totals = (n[:, None] * p).sum(0)
+    whole = totals.sum() if budget is None else max(totals / np.array(shares)) if budget == 0 else budget
+    goal = np.array(shares) * whole
+    mine, plain = (n[:, None] * p * r[:, None]).sum(0), projected_least_squares(n, p, goal, least)
+    assert np.linalg.norm(mine - goal) <= np.linalg.norm(plain - goal) * 1.05 + 1e-4 * whole
+
+
+def two_languages(spark, extra=()):
+    de, en = "der die das und ist nicht".split(), "the of and to in that".split()
+    rows = []
+    for i in range(200):
+        words = de if i % 4 == 0 else en
+        rows.append((i, " ".join(words[(i * 7 + k * k) % 6] for k in range(20 + i % 9)), "de" if i % 4 == 0 else "en", "s", 1.0))
+    return spark.createDataFrame(rows + list(extra), "doc_id long, text string, lang string, source string, rate double")
+
+
+def test_mixture_meets_its_targets(spark):
+    docs = two_languages(spark)
+    labelled = spark.createDataFrame([(i, 1) for i in range(0, 200, 3)] + [(None, 1), (5000, 1)], "doc_id long, quality int")
+    got = mixing.mix(docs, labelled, {"de": 1, "en": 1}).collect()
+    assert len(got) == 200
+    share = sum(r.tokens * r.rate * r.p_de for r in got) / sum(r.tokens * r.rate for r in got)
+    assert share == pytest.approx(0.5, abs=1e-4)
+    assert all((r.p_de > 0.5) == (r.doc_id % 4 == 0) and abs(r.p_de + r.p_en - 1) < 1e-9 for r in got)
+    assert all(r.copies in (int(r.rate), int(r.rate) + 1) for r in got)
+    assert abs(sum(r.copies for r in got) - sum(r.rate for r in got)) < 30
+    repeated = mixing.mixed(docs, labelled, {"de": 1, "en": 1}, budget=0, least=1.0)
+    assert repeated.columns == docs.columns
+    assert {r.doc_id for r in repeated.collect()} == set(range(200))
+
+
+def test_mixture_of_odd_rows(odd_documents, no_documents, odd_labels, no_labels):
+    targets = {"en": 0.5, "de": 0.5}
+    ids = {r.doc_id for r in odd_documents.select("doc_id").collect()}
+    for labels in (odd_labels, no_labels):
+        got = mixing.mix(odd_documents, labels, targets).collect()
+        assert {r.doc_id for r in got} == ids and len(got) == len(ids)
+        assert all(r.rate >= 0 and abs(r.p_en + r.p_de - 1) < 1e-9 for r in got)
+        rows = mixing.mixed(odd_documents, labels, targets, budget=0, least=1.0)
+        assert rows.columns == odd_documents.columns and rows.count() >= odd_documents.count()
+    assert mixing.mix(no_documents, odd_labels, targets).count() == 0
+
+
+def test_copies_are_right_on_average(spark):
+    rows = spark.range(20_000).select(mixing.copies_of(F.lit(1.3), F.col("id")).alias("n"))
+    assert rows.agg(F.avg("n")).first()[0] == pytest.approx(1.3, abs=0.02)

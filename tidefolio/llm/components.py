@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,3 +42,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         links = stored(_small_star(_large_star(links)), "links")
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def local_heads(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest id of each row's component under the links a[i] - b[i]."""
+    head = ids.copy()
+    while True:
+        low = np.minimum(head[a], head[b])
+        new = head.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        if (new == head).all():
+            return head
+        head = new

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidefolio.llm.common import stored
-from tidefolio.llm.components import components
+from tidefolio.llm.components import components, local_heads
 
 UNIT = 1 << 14
 CELL_BASE = 1 << 12
@@ -81,19 +81,6 @@ def place(vectors: np.ndarray, blocks: int, grid: int, threshold: float):
     return turned, placed
 
 
-def local_heads(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest id of each row's component under the links a[i] - b[i]."""
-    head = ids.copy()
-    while True:
-        low = np.minimum(head[a], head[b])
-        new = head.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        if (new == head).all():
-            return head
-        head = new
-
-
 def tile_links(ids, mult, raw, turned, left, right, block, blocks, threshold):
     """Links counted per row, and the linked pairs, for the pairs of left x right that ``block`` names first.
 

@@ -10,11 +10,12 @@ Jaccard similarity. Points come in order of time and stop once they are later th
 component's value, so heavy bags cost little more than their distinct shingles.
 
 32 bands of 4 components miss a pair at similarity 0.8 with probability 5e-8. Documents of one
-text are one class. In a bucket everyone is compared with its smallest document; for
-buckets that then still span several components, rows are compared tile by tile: pairs of
-different components whose signatures agree as pairs at the threshold do (5 standard
-deviations below, the miss being under 1e-6) are checked too. All links are verified on the
-shingle bags themselves. Hot buckets cost one row per member, and no group is emitted as pairs.
+text are one class. In a bucket everyone is compared with its smallest document. Buckets that
+then still span several components are compared tile by tile: first signatures alone say
+which members have a partner in another component that agrees as pairs at the threshold do
+(5 standard deviations below, the miss being under 1e-6), then these meet again with their
+bags, and every such pair is verified inside the tile, which sends one row per linked member. All links
+are verified on the bags themselves; no group is emitted as pairs.
 
 Defined results: null counts as empty text; texts without words are near-duplicates of
 equal texts only; 1 to 4 words are one shingle. Rows with a null id belong to no class
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefolio.llm.common import stored
-from tidefolio.llm.components import components
+from tidefolio.llm.components import components, local_heads
 from tidefolio.llm.words import mix, shingle_hashes, slices, text_bytes, word_hashes
 
 SIZE, ROWS = 128, 4
@@ -156,6 +157,38 @@ class Bags:
         return self.known[key]
 
 
+def elements(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
+    """Each bag as a set: the k-th occurrence of a shingle is an element of its own."""
+    shingles, counts, text = bags(texts, size)
+    who = np.repeat(np.arange(len(counts)), counts)
+    turn = np.arange(len(who)) - (np.cumsum(counts) - counts)[who]
+    found = mix(shingles[who] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.split(found, np.cumsum(np.bincount(text, counts, minlength=len(texts)).astype(np.int64))[:-1])
+
+
+def linked_rows(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, near: np.ndarray,
+                similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs left x right marked in ``near`` those whose sets are similar enough, as two arrays of rows."""
+    sizes = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    across = np.concatenate([codes[begin[r]:begin[r + 1]] for r in right]) if len(right) else codes[:0]
+    starts = np.cumsum(sizes[right]) - sizes[right]
+    mark, found_a, found_b = np.zeros(len(codes) + 1, np.int64), [], []
+    for i, row in enumerate(left):
+        if not near[i].any():
+            continue
+        own = codes[begin[row]:begin[row + 1]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[across], starts)
+        mark[own] = 0
+        hits = right[near[i] & (both >= similarity * (sizes[row] + sizes[right] - both))]
+        found_a.append(np.full(len(hits), row))
+        found_b.append(hits)
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (none, none)
+
+
 def _matrix(column, size: int = SIZE) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, size)
 
@@ -230,37 +263,74 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
     mixed = (labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"),
                                             F.count("*").alias("n")).filter("low < high AND n > 2")
              .select("bucket", F.ceil(F.col("n") / tile_rows).cast("int").alias("k")))
-    rest = labelled.join(mixed, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    mixed = stored(mixed, "mixed")
     steps = F.sequence(F.lit(0), F.col("k") - 1)
-    tiles = F.transform(steps, lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"),
-                                                  F.greatest(o, F.col("chunk")).alias("j")))
-    rest = rest.withColumn("tile", F.explode(tiles)).select("bucket", "id", "part", "chunk", "tile.*")
-    rest = stored(rest.join(sigs, "id"), "mixed")
-    groups = max(1, -(-rest.count() // group_rows))
-
-    def cross(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("bucket", "ascending"), ("i", "ascending"), ("j", "ascending")])
-        bucket, i, j, chunk, ids, part_ = (group.column(c).to_numpy() for c in ("bucket", "i", "j", "chunk", "id", "part"))
+    pair = F.transform(steps, lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
+
+    def in_tiles(rows: DataFrame, work, schema: str, at_once: int) -> DataFrame:
+        """``work`` on rows (bucket, i, j, chunk, id, part, ...) of many tiles at a time, each tile whole."""
+        rows = rows.join(mixed, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+        others = [c for c in rows.columns if c != "k"]
+        rows = stored(rows.withColumn("tile", F.explode(pair)).select(*others, "tile.*"), "tiles")
+        groups = max(1, -(-rows.count() // at_once))
+        return rows.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(work, schema)
+
+    def tiles(group: pa.Table):
+        """The rows of each tile's two sides, and which pairs have different components and similar signatures."""
+        group = group.sort_by([(c, "ascending") for c in ("bucket", "i", "j", "id")])
+        bucket, i, j, chunk, part_ = (group.column(c).to_numpy() for c in ("bucket", "i", "j", "chunk", "part"))
         sig = _matrix(group.column("sig"))
-        edges = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-        found: set[tuple[int, int]] = set()
-        for low, high in zip(edges, edges[1:]):
-            left = np.arange(low, high)[chunk[low:high] == i[low]]
-            right = np.arange(low, high)[chunk[low:high] == j[low]]
-            for at in range(0, len(left), 64):
-                rows = left[at:at + 64]
-                near = part_[rows][:, None] != part_[right][None, :]
-                if not near.any():
-                    continue
-                near &= (sig[rows][:, None, :] == sig[right][None, :, :]).sum(2) >= floor
-                r, c = np.nonzero(near)
-                x, y = ids[rows[r]], ids[right[c]]
-                found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist()))
-        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
-
-    more = (rest.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(
-        cross, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"))
-    links = links.unionByName(links_of(stored(more, "more")))
+        new = (bucket[1:] != bucket[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        edges = np.flatnonzero(np.concatenate([[True], new, [True]]))
+
+        def each():
+            for low, high in zip(edges, edges[1:]):
+                rows = np.arange(low, high)
+                left, right = rows[chunk[rows] == i[low]], rows[chunk[rows] == j[low]]
+                for at in range(0, len(left), 64):
+                    strip = left[at:at + 64]
+                    near = part_[strip][:, None] != part_[right][None, :]
+                    if near.any():
+                        near &= (sig[strip][:, None, :] == sig[right][None, :, :]).sum(2) >= floor
+                        yield strip, right, near
+        return group, each()
+
+    def partnered(group: pa.Table) -> pa.Table:
+        group, each = tiles(group)
+        has = np.zeros(group.num_rows, bool)
+        for left, right, near in each:
+            has[left[near.any(1)]] = True
+            has[right[near.any(0)]] = True
+        return group.select(["bucket", "id", "part"]).filter(pa.array(has))
+
+    def verify(group: pa.Table) -> pa.Table:
+        group, each = tiles(group)
+        ids = group.column("id").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("bag").to_pylist()]
+        found = []
+        for left, right, near in each:
+            rows, place = np.unique(np.concatenate([left, right]), return_inverse=True)
+            a, b = linked_rows([sets[r] for r in rows], place[:len(left)], place[len(left):], near, similarity)
+            found.append((rows[a], rows[b]))
+        a = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
+        b = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        # rows of one document are one node: let them share their smallest row
+        _, first, same = np.unique(ids, return_index=True, return_inverse=True)
+        head = local_heads(ids, np.concatenate([a, first[same]]), np.concatenate([b, np.arange(len(ids))]))
+        met = np.flatnonzero(head != ids)
+        return pa.table({"a": ids[met], "b": head[met]})
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                held = pa.array([s.tobytes() for s in elements(batch.column(1), shingle)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["id", "bag"])
+
+    paired = stored(in_tiles(labelled.join(sigs, "id"), partnered, "bucket long, id long, part long", group_rows).distinct(), "partnered")
+    held = texts.join(paired.select("id").distinct(), "id").select("id", "text").mapInArrow(bagged, "id long, bag binary")
+    held = stored(held.join(sigs, "id"), "bags")
+    more = stored(in_tiles(paired.join(held, "id"), verify, "a long, b long", group_rows // 8).distinct(), "across")
+    links = links.unionByName(more)
 
     whole = components(links)
     named = stored(reps.join(whole, reps["rep"] == whole["node"], "left").select(

@@ -95,7 +95,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int, gram: int, piec
 
 def _places(key: np.ndarray, bits: int) -> list[np.ndarray]:
     mask = np.uint64((1 << bits) - 1)
-    return [key & mask, (key >> np.uint64(64 - bits)) ^ (key & np.uint64(0xFFFF))]
+    return [key & mask, ((key >> np.uint64(64 - bits)) ^ (key >> np.uint64(7))) & mask]
 
 
 def repeated_windows(bodies: list[bytes], owner: np.ndarray, window: int = WINDOW,
