@@ -3,13 +3,16 @@
 A double sum changes in its last digits with the task that happened to run
 first, which flips the roundings at 2, 4 and 8 digits. A decimal sum is exact
 but costs about fifteen times as much per row. Here every amount is split into
-its nearest whole number and the rest in steps of 1e-8 (the finest rounding any
-output uses). Both parts are bigints: they are summed in generated code, combine
-on the map side and run through windows, and are put together at the end.
-
-A split amount is a ``struct<whole:bigint,rest:bigint>``. Bounds of one sum:
-9.2e18 in whole units, and 1.8e11 rows even if every row carries the largest
-possible rest. Beyond them, and for NaN, ANSI mode raises an error.
+its nearest whole number, the rest in steps of 1e-8, and what these leave in
+steps of 1e-18. All parts are bigints: they are summed in generated code,
+combine on the map side and run through windows, and are put together at the
+end. What is left of an amount and lies within the error of its double is taken
+as noise of the representation, so 1234.56 counts as exactly that.
+
+A split amount is a ``struct<whole:bigint,rest:bigint,fine:bigint>``. Amounts and
+their sums may have up to 9.2e18 whole units; the parts below bound a sum to 1.8e9
+rows if every row carries the largest possible one, of one sign. Beyond that, and for NaN, an
+error is raised, with ANSI mode on or off; nothing wraps. Amounts below 5e-19 count as 0.
 """
 
 from __future__ import annotations
@@ -19,19 +22,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STEPS = 10 ** 8
-SPLIT_FIELDS = ["whole", "rest"]
+FINE_STEPS = 10 ** 18
+FINE_IN_STEP = FINE_STEPS // STEPS
+SPLIT_FIELDS = ["whole", "rest", "fine"]
+LARGEST = 9.2e18
+
+
+def _error(message: str) -> Column:
+    return F.raise_error(F.lit(message)).cast("bigint")
 
 
 def whole_part(amount: Column) -> Column:
-    return F.rint(amount).cast("bigint")
+    nearest = F.rint(amount)
+    return (F.when(amount.isNull(), F.lit(None).cast("bigint"))
+            .when(F.abs(nearest) < LARGEST, nearest.cast("bigint"))
+            .otherwise(_error("an amount is NaN or beyond 9.2e18")))
+
+
+def _rest(amount: Column) -> Column:
+    return F.rint((amount - F.rint(amount)) * float(STEPS))
 
 
 def rest_part(amount: Column) -> Column:
-    return F.rint((amount - F.rint(amount)) * float(STEPS)).cast("bigint")
+    return _rest(amount).cast("bigint")
+
+
+def fine_part(amount: Column) -> Column:
+    left = amount - F.rint(amount) - _rest(amount) / float(STEPS)
+    return F.when(F.abs(left) > F.abs(amount) * 2.0 ** -52, F.rint(left * float(FINE_STEPS)).cast("bigint")).when(
+        amount.isNotNull(), F.lit(0).cast("bigint"))
+
+
+def parts(amount: Column) -> list[Column]:
+    return [whole_part(amount), rest_part(amount), fine_part(amount)]
 
 
-def pair(whole: Column, rest: Column) -> Column:
-    return F.struct(whole.alias("whole"), rest.alias("rest"))
+def split(whole: Column, rest: Column, fine: Column) -> Column:
+    return F.struct(whole.alias("whole"), rest.alias("rest"), fine.alias("fine"))
 
 
 def _column(amount: Column | str) -> Column:
@@ -40,34 +67,51 @@ def _column(amount: Column | str) -> Column:
 
 def split_sum(amount: Column | str) -> Column:
     """Sum of a numeric column as a split amount; NULLs are skipped."""
-    amount = _column(amount)
-    return pair(F.sum(whole_part(amount)), F.sum(rest_part(amount)))
+    return split(*[F.try_sum(part) for part in parts(_column(amount).cast("double"))])
 
 
-def sum_of_splits(split: Column | str, window=None) -> Column:
+def sum_of_splits(amount: Column | str, window=None) -> Column:
     """Sum of split amounts, as an aggregate or over a window."""
-    split = _column(split)
-    parts = [F.sum(split["whole"]), F.sum(split["rest"])]
-    return pair(*[part.over(window) if window is not None else part for part in parts])
+    amount = _column(amount)
+    sums = [F.try_sum(amount[part]) for part in SPLIT_FIELDS]
+    return split(*[part.over(window) if window is not None else part for part in sums])
+
 
+def _lost(amount: Column) -> Column:
+    """Whether a sum is beyond its bounds: a part overflowed to NULL, where without rows all parts are."""
+    whole, rest, fine = (amount[part].isNull() for part in SPLIT_FIELDS)
+    return ((whole | rest | fine) & ~(whole & rest & fine)) | (F.abs(amount["whole"].cast("double")) > LARGEST)
 
-def to_decimal(split: Column | str) -> Column:
-    split = _column(split)
-    steps = split["rest"].cast("decimal(20,0)") * F.expr("0.00000001BD")
-    return (split["whole"].cast("decimal(20,0)") + steps).cast("decimal(38,8)")
+
+def to_decimal(amount: Column | str) -> Column:
+    amount = _column(amount)
+    # carried upward first: then each product and sum fits 38 digits with 18 decimals
+    over, fine = _carried(amount["fine"], FINE_IN_STEP)
+    more, rest = _carried(amount["rest"] + over, STEPS)
+    below = (rest.cast("decimal(9,0)") * F.expr("0.00000001BD")
+             + fine.cast("decimal(11,0)") * F.expr("0.000000000000000001BD"))
+    total = ((amount["whole"] + more).cast("decimal(19,0)") + below).cast("decimal(38,18)")
+    return F.when(F.coalesce(_lost(amount), F.lit(False)),
+                  _error("a sum of amounts is beyond its bounds").cast("decimal(38,18)")).otherwise(total)
 
 
-def to_double(split: Column | str) -> Column:
+def _carried(steps: Column, size: int) -> tuple[Column, Column]:
+    """How many times ``size`` goes into ``steps``, and what is left."""
+    left = F.pmod(steps, F.lit(size))
+    return F.call_function("div", steps - left, F.lit(size)), left
+
+
+def to_double(amount: Column | str) -> Column:
     """The double nearest to a split amount.
 
-    Below 4e7 all steps fit the 53 bits of a double and one division rounds
-    correctly; larger amounts go through a decimal.
+    Below 4e7 with at most 8 decimals all steps fit the 53 bits of a double and one division
+    rounds correctly; other amounts go through a decimal, with the same result.
     """
-    split = _column(split)
-    whole, rest = split["whole"], split["rest"]
-    fits = whole.between(-4 * 10 ** 7, 4 * 10 ** 7) & rest.between(-4 * 10 ** 15, 4 * 10 ** 15)
+    amount = _column(amount)
+    whole, rest, fine = (amount[part] for part in SPLIT_FIELDS)
+    fits = (fine == 0) & rest.between(-4 * 10 ** 15, 4 * 10 ** 15) & whole.between(-4 * 10 ** 7, 4 * 10 ** 7)
     return F.when(fits, (whole * STEPS + rest).cast("double") / float(STEPS)).otherwise(
-        to_decimal(split).cast("double"))
+        to_decimal(amount).cast("double"))
 
 
 def exact_sum(amount: Column | str) -> Column:
@@ -77,13 +121,12 @@ def exact_sum(amount: Column | str) -> Column:
 
 def exact_sum_over(amount: Column | str, window) -> Column:
     """Like :func:`exact_sum`, over a window."""
-    amount = _column(amount)
-    return to_double(pair(F.sum(whole_part(amount)).over(window), F.sum(rest_part(amount)).over(window)))
+    return to_double(split(*[F.try_sum(part).over(window) for part in parts(_column(amount).cast("double"))]))
 
 
 def exact_add(left: Column, right: Column) -> Column:
-    """The double nearest to the sum of two amounts of at most 8 decimals."""
-    return to_double(pair(whole_part(left) + whole_part(right), rest_part(left) + rest_part(right)))
+    """The double nearest to the sum of two amounts."""
+    return to_double(split(*[F.try_add(a, b) for a, b in zip(parts(left), parts(right))]))
 
 
 def _converted(df: DataFrame, convert) -> DataFrame:
@@ -98,5 +141,5 @@ def as_doubles(df: DataFrame) -> DataFrame:
 
 
 def as_decimals(df: DataFrame) -> DataFrame:
-    """Every split amount of ``df`` as a ``decimal(38,8)``."""
+    """Every split amount of ``df`` as a ``decimal(38,18)``."""
     return _converted(df, to_decimal)
