@@ -173,6 +173,21 @@ def sql(names: str, body: str) -> str:
     return (f"WITH {', '.join(ctes)} " if ctes else "") + body
 
 
+def dense(columns: str, keys: str) -> str:
+    """Positions and prices on every day up to the last one, grouped."""
+    last = ("(SELECT CAST(max(date) AS TIMESTAMP) FROM "
+            "(SELECT max(date) AS date FROM totals UNION ALL SELECT max(date) FROM prices))")
+    days = f"unnest(generate_series(CAST(date AS TIMESTAMP), coalesce(until - INTERVAL 1 DAY, {last}), INTERVAL 1 DAY)) AS day"
+    return f"""
+        , spans AS (SELECT *, lead(date) OVER (PARTITION BY user_id, symbol ORDER BY date) AS until FROM totals),
+        quotes AS (SELECT *, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS until FROM prices),
+        held_days AS (SELECT user_id, symbol, held, cost, {days} FROM spans WHERE held > 0),
+        quoted_days AS (SELECT symbol, close, {days} FROM quotes)
+        SELECT {columns}, count(*) AS holders, {dsum('held')} AS quantity_held,
+               {dsum('held * close', 2)} AS market_value, {dsum('held * close - cost', 2)} AS unrealized_pnl
+        FROM held_days JOIN quoted_days USING (symbol, day) GROUP BY {keys}"""
+
+
 def counted(name: str, table: str, floor: int) -> str:
     return check(f"row_count_{table}", table, f"(SELECT count(*) FROM {name})", floor, "Count", True)
 
@@ -334,20 +349,12 @@ ORACLES: dict[str, str] = {
         SELECT count(*) AS row_count, count(DISTINCT user_id) AS unique_users,
                count(DISTINCT symbol) AS unique_assets, min(date) AS first_date, max(date) AS last_date
         FROM snapshot"""),
-    "dense_daily_snapshot": sql("totals prices", f"""
-        , spans AS (SELECT *, lead(date) OVER (PARTITION BY user_id, symbol ORDER BY date) AS until FROM totals),
-        quotes AS (SELECT *, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS until FROM prices),
-        held_days AS (
-            SELECT symbol, held, cost, unnest(generate_series(CAST(date AS TIMESTAMP),
-                coalesce(until - INTERVAL 1 DAY, TIMESTAMP '2001-08-01'), INTERVAL 1 DAY)) AS day
-            FROM spans WHERE held > 0),
-        quoted_days AS (
-            SELECT symbol, close, unnest(generate_series(CAST(date AS TIMESTAMP),
-                coalesce(until - INTERVAL 1 DAY, TIMESTAMP '2001-08-01'), INTERVAL 1 DAY)) AS day
-            FROM quotes)
-        SELECT symbol, CAST(day AS DATE) AS date, count(*) AS holders, {dsum('held')} AS quantity_held,
-               {dsum('held * close', 2)} AS market_value, {dsum('held * close - cost', 2)} AS unrealized_pnl
-        FROM held_days JOIN quoted_days USING (symbol, day) GROUP BY symbol, day"""),
+    "dense_daily_snapshot": sql("totals prices", dense("symbol, CAST(day AS DATE) AS date", "symbol, day")),
+    "dense_position_days": sql("totals prices", dense(
+        "user_id, symbol, CAST(min(day) AS DATE) AS first_date, CAST(max(day) AS DATE) AS last_date", "user_id, symbol")),
+    "exact_sum_small_amounts": sql("transactions", """
+        SELECT symbol, CAST(sum(CAST(total_value AS DECIMAL(18,2))) * 100 AS BIGINT) AS steps
+        FROM transactions GROUP BY symbol"""),
     "asset_correlation": sql("prices", """
         , returns AS (SELECT symbol, date, close / before - 1 AS r FROM (
               SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY date) AS before FROM prices)

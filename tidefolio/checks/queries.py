@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidefolio.functions.amounts import as_decimals, as_doubles, exact_sum, split_sum
+from tidefolio.functions.amounts import as_decimals, as_doubles, exact_sum, split_sum, to_decimal
 from tidefolio.functions.keys import surrogate_key
 from tidefolio.operators import accruals, layout, market, positions, quality, rewards, serving
 from tidefolio.sources import dimensions, streams, tables
@@ -19,7 +19,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Days the queries cut the tables at.
-LAST_DATE = "2001-08-01"
 BATCH_UNTIL = "2000-12-31"
 ALIVE_SINCE = "2024-01-29 00:00:00"
 AS_OF = "2024-01-31"
@@ -164,10 +163,16 @@ def surrogate_keys(t: TestTables) -> DataFrame:
     return keys.withColumn("snapshot_id", surrogate_key("user_id", "symbol", "date"))
 
 
+def _stored_snapshot(t: TestTables) -> DataFrame:
+    """The fact table as a lake has it: in folders by date."""
+    path = new_path(t.spark, "snapshot")
+    layout.write_by_date(positions.snapshot(t.transactions(), stored_prices(t)), path)
+    return tables.scan(t.spark, path)
+
+
 @query
 def latest_snapshot(t: TestTables) -> DataFrame:
-    facts = written(positions.snapshot(t.transactions(), stored_prices(t)), "snapshot")
-    return positions.on_latest_date(facts)
+    return positions.on_latest_date(_stored_snapshot(t))
 
 
 @query
@@ -177,7 +182,7 @@ def latest_position(t: TestTables) -> DataFrame:
 
 @query
 def top_portfolios(t: TestTables) -> DataFrame:
-    return positions.top_portfolios(positions.snapshot(t.transactions(), stored_prices(t)))
+    return positions.top_portfolios(_stored_snapshot(t))
 
 
 @query
@@ -185,16 +190,35 @@ def snapshot_stats(t: TestTables) -> DataFrame:
     return positions.stats(positions.snapshot(t.transactions(), stored_prices(t)))
 
 
+def _dense(t: TestTables) -> DataFrame:
+    return positions.dense_snapshot(written(positions.positions(t.transactions()), "totals"), stored_prices(t))
+
+
+def _dense_figures() -> list[Column]:
+    return [F.count(F.lit(1)).alias("holders"), exact_sum("quantity_held").alias("quantity_held"),
+            F.round(exact_sum("market_value"), 2).alias("market_value"),
+            F.round(exact_sum("unrealized_pnl"), 2).alias("unrealized_pnl")]
+
+
 @query
 def dense_daily_snapshot(t: TestTables) -> DataFrame:
     """Every position on every day, summed per symbol and day."""
-    totals = positions.positions(t.transactions())
-    dense = positions.dense_snapshot(totals, stored_prices(t), LAST_DATE)
-    return dense.groupBy("symbol", "date").agg(
-        F.count(F.lit(1)).alias("holders"),
-        exact_sum("quantity_held").alias("quantity_held"),
-        F.round(exact_sum("market_value"), 2).alias("market_value"),
-        F.round(exact_sum("unrealized_pnl"), 2).alias("unrealized_pnl"))
+    return _dense(t).groupBy("symbol", "date").agg(*_dense_figures())
+
+
+@query
+def dense_position_days(t: TestTables) -> DataFrame:
+    """The same rows per position: how many days, which, and what they add up to."""
+    return _dense(t).groupBy("user_id", "symbol").agg(
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), *_dense_figures())
+
+
+@query
+def exact_sum_small_amounts(t: TestTables) -> DataFrame:
+    """Sums of amounts around 1e-9, counted in steps of 1e-14."""
+    lines = t.transactions().select("symbol", (F.col("total_value") * 1e-12).alias("tiny"))
+    sums = lines.groupBy("symbol").agg(split_sum("tiny").alias("s"))
+    return sums.select("symbol", (to_decimal("s") * F.expr("100000000000000BD")).cast("bigint").alias("steps"))
 
 
 @query

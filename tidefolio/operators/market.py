@@ -13,14 +13,14 @@ from tidefolio.functions.amounts import exact_sum
 TIE_SPAN = "10000000000000000000BD"
 
 
-def tick_order(ticks: DataFrame, time: str, tie: str) -> Column:
+def tick_order(ticks: DataFrame, time: str | Column, tie: str) -> Column:
     """One value that orders ticks by time, then by ``tie``.
 
     For an integer ``tie`` it is a decimal, which a hash aggregate can keep in
     place. A struct, needed for other types, makes Spark sort before grouping.
     """
     if isinstance(ticks.schema[tie].dataType, (T.LongType, T.IntegerType)):
-        micros = F.unix_micros(F.col(time)).cast("decimal(19,0)")
+        micros = F.unix_micros(F.col(time) if isinstance(time, str) else time).cast("decimal(19,0)")
         return (micros * F.expr(TIE_SPAN) + F.col(tie).cast("decimal(19,0)")).cast("decimal(38,0)")
     return F.struct(time, tie)
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from tidefolio.functions import valuation
 from tidefolio.functions.amounts import exact_sum, split_sum, sum_of_splits, to_double
 from tidefolio.functions.keys import surrogate_key
+from tidefolio.operators.keysets import last_of_each
+from tidefolio.storage import written
 
 POSITION = ("user_id", "symbol")
 BUY, SELL = "buy", "sell"
@@ -78,10 +80,8 @@ def cumulative(daily: DataFrame, seed: DataFrame | None = None) -> DataFrame:
 
 
 def _opening_rows(seed: DataFrame, columns: list[str]) -> DataFrame:
-    last = seed.groupBy(*POSITION).agg(
-        F.max_by(F.struct("date", *RUNNING), "date").alias("_last"))
-    figures = {change: F.col(f"_last.{total}") for total, change in RUNNING.items()}
-    figures["date"] = F.col("_last.date")
+    last = latest(seed.select(*POSITION, "date", *RUNNING))
+    figures = {change: F.col(total) for total, change in RUNNING.items()}
     figures["num_trades"] = F.lit(0).cast("bigint")
     return last.select(
         *[figures.get(c, F.col(c)).alias(c) for c in columns],
@@ -124,7 +124,7 @@ def pnl(valued: DataFrame) -> DataFrame:
     )
 
 
-# Decimals of each figure in the snapshot.
+# Decimals of each figure in the snapshot.
 SNAPSHOT_DIGITS = {
     "quantity_held": 8, "avg_cost_basis": 4, "market_price": 4, "market_value": 2,
     "unrealized_pnl": 2, "unrealized_pnl_pct": 2, "realized_pnl": 2, "total_fees_paid": 2,
@@ -153,43 +153,59 @@ def snapshot(trades: DataFrame, prices: DataFrame, seed: DataFrame | None = None
     return as_snapshot(pnl(priced(in_doubles(positions(trades, seed)), prices)))
 
 
-def _every_day(rows: DataFrame, keys: tuple[str, ...], last_date: str) -> DataFrame:
-    """Repeat each row until the day before its key's next row, or ``last_date``."""
-    end = F.lit(last_date).cast("date")
+# Days of one block in which positions and prices meet.
+BLOCK_DAYS = 366
+
+
+def _spans(rows: DataFrame, keys: tuple[str, ...], last_date: Column) -> DataFrame:
+    """``_from`` and ``_until``: the days for which a row is its key's latest, cut at block borders (``_block``)."""
     following = F.lead("date").over(Window.partitionBy(*keys).orderBy("date"))
-    until = F.coalesce(F.date_sub(following, 1), end)
-    lasting = (rows.withColumn("_until", F.least(until, end))
-               .filter(F.col("date") <= F.col("_until")))
-    others = [c for c in rows.columns if c != "date"]
-    return lasting.select(*others, F.explode(F.sequence("date", "_until")).alias("date"))
-
-
-def dense_snapshot(totals: DataFrame, prices: DataFrame, last_date: str) -> DataFrame:
-    """A row per position for every day from its first trade to ``last_date``.
-
-    Holdings and prices stay as of their latest day. Each row is stretched over
-    the days it is valid for, on the partitioning and order that the running
-    totals already have: no calendar join and no second pass to fill gaps.
-    The join with ``prices`` comes after the stretch, so that they be stored
-    matters even more than in :func:`priced`: only a table known to be below the
-    broadcast threshold spares the shuffle of the stretched positions.
+    until = F.least(F.coalesce(F.date_sub(following, 1), last_date), last_date)
+    lasting = rows.withColumns({"_first": F.col("date"), "_last": until}).filter(F.col("_first") <= F.col("_last"))
+
+    def block(day: str) -> Column:
+        return F.floor(F.unix_date(F.col(day)) / BLOCK_DAYS).cast("int")
+
+    cut = lasting.drop("date").withColumn("_block", F.explode(F.sequence(block("_first"), block("_last"))))
+    return cut.withColumns({
+        "_from": F.greatest("_first", F.date_from_unix_date(F.col("_block") * BLOCK_DAYS)),
+        "_until": F.least("_last", F.date_from_unix_date((F.col("_block") + 1) * BLOCK_DAYS - 1)),
+    }).drop("_first", "_last")
+
+
+def dense_snapshot(totals: DataFrame, prices: DataFrame, last_date: str | None = None) -> DataFrame:
+    """A row per position for every day from its first trade to ``last_date`` (default: the last day of either table).
+
+    Holdings and prices stay as of their latest day. Both sides are kept as spans of
+    days; those of one symbol and block of days meet in an equality join, are cut to the
+    days they share, and only then become days, so nothing stretched is shuffled
+    or broadcast. The spans of the prices are written first (which starts a job): Catalyst
+    then knows their size, and beyond its threshold AQE splits a symbol with very many holders.
     """
-    held = _every_day(in_doubles(totals).drop("num_trades", *RUNNING.values()), POSITION, last_date)
-    quoted = _every_day(prices.select("symbol", "date", "close"), ("symbol",), last_date)
-    return pnl(priced(held, quoted)).filter(F.round("quantity_held", 8) > 0)
+    if last_date is None:
+        both = totals.agg(F.max("date").alias("d")).unionByName(prices.agg(F.max("date").alias("d")))
+        last_date = both.agg(F.max("d")).first()[0]
+    end = F.lit(last_date).cast("date")
+    # a sale to nothing ends a span too, so spans are cut before empty positions go
+    held = _spans(in_doubles(totals).drop("num_trades", *RUNNING.values()), POSITION, end) \
+        .filter(F.round("quantity_held", 8) > 0)
+    quoted = written(_spans(prices.select("symbol", "date", F.col("close").alias("market_price")), ("symbol",), end)
+                     .withColumnsRenamed({"_from": "_quoted_from", "_until": "_quoted_until"}), "quotes")
+    met = held.join(quoted, ["symbol", "_block"]).withColumns({
+        "_from": F.greatest("_from", "_quoted_from"), "_until": F.least("_until", "_quoted_until")})
+    days = met.filter(F.col("_from") <= F.col("_until")).withColumn("date", F.explode(F.sequence("_from", "_until")))
+    return pnl(days.drop("_block", "_from", "_until", "_quoted_from", "_quoted_until"))
 
 
 def latest(rows: DataFrame, as_of: str | None = None, keys: tuple[str, ...] = POSITION) -> DataFrame:
-    """Each key's last row, optionally as of a date.
+    """Each key's last row by date, optionally as of a date; a key has one row per date.
 
-    A map-side combined aggregate rather than a ranking window: a key with a
-    third of all rows is reduced before the shuffle.
+    Hash aggregates rather than a ranking window: a key with a third of all rows is
+    reduced before the shuffle.
     """
     if as_of is not None:
         rows = rows.filter(F.col("date") <= F.lit(as_of).cast("date"))
-    others = [c for c in rows.columns if c not in keys]
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "date").alias("_last"))
-    return last.select(*keys, "_last.*").select(*rows.columns)
+    return last_of_each(rows, keys, F.unix_date("date"))
 
 
 def on_latest_date(rows: DataFrame) -> DataFrame:
@@ -205,16 +221,11 @@ def on_latest_date(rows: DataFrame) -> DataFrame:
 def top_portfolios(snapshot: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` largest portfolios on the last date; ties go to the lower user id.
 
-    One pass: the order puts the last date first, so the k first sums contain
-    the answer, and only they are compared with the date of the first.
+    Give it a stored table: only the last date's folder is read and summed.
     """
-    totals = snapshot.groupBy("date", "user_id").agg(
-        F.round(exact_sum("market_value"), 2).alias("total_value"))
-    first = totals.orderBy(F.desc("date"), F.desc("total_value"), "user_id").limit(k)
-    last_date = F.max("date").over(Window.partitionBy())
-    return (first.withColumn("_last", last_date)
-            .filter(F.col("date") == F.col("_last"))
-            .select("user_id", "date", "total_value"))
+    totals = on_latest_date(snapshot).groupBy("user_id").agg(
+        F.max("date").alias("date"), F.round(exact_sum("market_value"), 2).alias("total_value"))
+    return totals.orderBy(F.desc("total_value"), "user_id").limit(k).select("user_id", "date", "total_value")
 
 
 def stats(snapshot: DataFrame) -> DataFrame:
