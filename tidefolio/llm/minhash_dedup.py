@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefolio.llm.common import stored
+from tidefolio.llm.common import discard, release, stored
 from tidefolio.llm.components import components, local_heads
 from tidefolio.llm.words import mix, shingle_hashes, slices, text_bytes, word_hashes
 
@@ -201,7 +201,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
     ``text_id`` is the smallest id with an equal text, ``class_id`` the smallest id linked
     over any number of near-duplicates, ``class_size`` the rows of the class.
     """
-    content = F.coalesce(F.col(text), F.lit(""))
+    spark, content = documents.sparkSession, F.coalesce(F.col(text), F.lit(""))
     docs = documents.select(F.col(key).cast("long").alias("id"), content.alias("text"))
     floor = estimate_floor(similarity)
 
@@ -253,7 +253,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
         likely = stored(both(pairs, sigs, "sig").mapInArrow(similar, "a long, b long"), "likely")
         return stored(both(likely, texts, "text").mapInArrow(verified, "a long, b long"), "near")
 
+    release(spark)
     links = links_of(first)
+    release(spark)
 
     # buckets that still span components: rows of different components meet tile by tile
     part = components(links)
@@ -267,12 +269,14 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
     steps = F.sequence(F.lit(0), F.col("k") - 1)
     pair = F.transform(steps, lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
 
-    def in_tiles(rows: DataFrame, work, schema: str, at_once: int) -> DataFrame:
-        """``work`` on rows (bucket, i, j, chunk, id, part, ...) of many tiles at a time, each tile whole."""
+    def in_tiles(rows: DataFrame, held: DataFrame, work, schema: str, at_once: int) -> DataFrame:
+        """``work`` on rows (bucket, i, j, chunk, id, part, ...) of many tiles at a time, each tile whole.
+
+        What ``held`` has of each id is joined to the rows that are already in their tiles.
+        """
         rows = rows.join(mixed, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-        others = [c for c in rows.columns if c != "k"]
-        rows = stored(rows.withColumn("tile", F.explode(pair)).select(*others, "tile.*"), "tiles")
-        groups = max(1, -(-rows.count() // at_once))
+        groups = max(1, -(-int(rows.agg(F.sum("k")).first()[0] or 0) // at_once))
+        rows = rows.withColumn("tile", F.explode(pair)).select("bucket", "id", "part", "chunk", "tile.*").join(held, "id")
         return rows.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(work, schema)
 
     def tiles(group: pa.Table):
@@ -326,10 +330,13 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
                 held = pa.array([s.tobytes() for s in elements(batch.column(1), shingle)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["id", "bag"])
 
-    paired = stored(in_tiles(labelled.join(sigs, "id"), partnered, "bucket long, id long, part long", group_rows).distinct(), "partnered")
+    paired = stored(in_tiles(labelled, sigs, partnered, "bucket long, id long, part long", group_rows).distinct(), "partnered")
+    release(spark)
     held = texts.join(paired.select("id").distinct(), "id").select("id", "text").mapInArrow(bagged, "id long, bag binary")
     held = stored(held.join(sigs, "id"), "bags")
-    more = stored(in_tiles(paired.join(held, "id"), verify, "a long, b long", group_rows // 8).distinct(), "across")
+    more = stored(in_tiles(paired, held, verify, "a long, b long", group_rows // 8).distinct(), "across")
+    discard(texts, sigs, held, labelled, members)
+    release(spark)
     links = links.unionByName(more)
 
     whole = components(links)
