@@ -139,3 +139,81 @@ def test_realtime_job_lands_and_follows(spark):
     for query in running:
         query.stop()
     assert not read(lake.realtime("portfolio_pnl")).filter("user_id = 'v' and quantity_held = 3").isEmpty()
+
+
+def test_any_order_of_runs_equals_a_full_run(spark):
+    """Random daily runs, late and corrected trades, emptied days, changed prices and redone days."""
+    import random
+    rng = random.Random(7)
+    lake, fresh = Lake(new_path(spark, "random")), 0
+    days = [f"2024-01-{d:02d}" for d in range(1, 9)]
+    trades = {d: [] for d in days}
+    quotes = {d: [("A", 10.0 + i), ("B", 5.0)] for i, d in enumerate(days)}
+
+    def put(table, d, given, schema):
+        path = f"{lake.raw(table)}/date={d}"
+        if given:
+            spark.createDataFrame(given, schema).write.mode("overwrite").parquet(path)
+        else:
+            layout.remove_dates(spark, lake.raw(table), d, {x for x in days if x != d})
+
+    def trade(d):
+        nonlocal fresh
+        fresh += 1
+        kind = rng.choice(["buy", "buy", "sell"])
+        trades[d].append((f"t{fresh}", rng.choice("uv"), rng.choice("AB"), kind, float(rng.randint(1, 5)), 2.0, 10.0, 0.1))
+
+    def store(d):
+        put("transactions", d, trades[d], "tx_id string, user_id string, symbol string, tx_type string, quantity double, "
+                                          "price double, total_value double, fee double")
+
+    for i, d in enumerate(days):
+        for _ in range(3):
+            trade(d)
+        store(d)
+        put("prices", d, quotes[d], "symbol string, close double")
+        what = rng.choice(["late", "empty", "price", "correct", "redo", "nothing"]) if i else "nothing"
+        past = rng.choice(days[:i]) if i else d
+        if what == "late":
+            trade(past)
+        elif what == "empty":
+            trades[past].clear()
+        elif what == "correct" and trades[past]:
+            trades[past][0] = (*trades[past][0][:4], 9.0, *trades[past][0][5:])
+        elif what == "price":
+            quotes[past] = [("A", 99.0)]
+            put("prices", past, quotes[past], "symbol string, close double")
+        if what in ("late", "empty", "correct"):
+            store(past)
+        portfolio.run(spark, lake.base, incremental=True, since=past if what == "redo" else None)
+        got = rows(facts(spark, lake), "user_id", "symbol", "date")
+        whole = Lake(new_path(spark, "whole"))
+        for table in ("transactions", "prices"):
+            layout.write_by_date(spark.read.parquet(lake.raw(table)), whole.raw(table))
+        portfolio.run(spark, whole.base)
+        assert got == rows(facts(spark, whole), "user_id", "symbol", "date"), (d, what, past)
+
+
+def test_rewards_withdrawn_for_good(spark, lake):
+    rewards.run(spark, lake.base)
+    gone = "2024-01-25"
+    layout.remove_dates(spark, lake.raw("rewards"), gone, {f"2024-01-{d:02d}" for d in range(26, 32)} | {"2024-02-01"})
+    rewards.run(spark, lake.base, since="2024-01-20")
+    redone = rows(facts(spark, lake, "fact_reward_daily"), "user_id", "date")
+    rewards.run(spark, lake.base)
+    assert redone == rows(facts(spark, lake, "fact_reward_daily"), "user_id", "date")
+
+
+def test_bad_trades_are_quarantined(spark):
+    lake = Lake(new_path(spark, "bad"))
+    given = [("t1", "u", "A", "buy", 1.0, 1.0, 1.0, 0.0, day("2024-01-01")), ("t2", None, "A", "buy", 1.0, 1.0, 1.0, 0.0, day("2024-01-01")),
+             ("t3", "u", "A", "hold", 1.0, 1.0, 1.0, 0.0, day("2024-01-02")), ("t1", "u", "A", "buy", 1.0, 1.0, 1.0, 0.0, day("2024-01-01"))]
+    layout.write_by_date(spark.createDataFrame(given, "tx_id string, user_id string, symbol string, tx_type string, quantity double, "
+                                                      "price double, total_value double, fee double, date date"), lake.raw("transactions"))
+    ticks = spark.createDataFrame([(1, "A", at("2024-01-01 10:00:00"), 3.0, 1.0, day("2024-01-01")),
+                                   (2, "A", at("2024-01-01 11:00:00"), 4.0, 1.0, day("2024-01-01"))],
+                                  "event_id long, symbol string, ts timestamp, price double, volume double, date date")
+    layout.write_by_date(ticks, lake.raw("ticks"))
+    assert portfolio.run(spark, lake.base)["quarantined"] == 2
+    assert [(r["quantity_held"], r["market_price"]) for r in rows(facts(spark, lake))] == [(1.0, 4.0)]
+    assert spark.read.parquet(lake.staging("quarantine_transactions")).count() == 2

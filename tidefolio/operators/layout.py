@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Collection
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidefolio.operators.keysets import only_in
 
@@ -25,6 +28,69 @@ def write_by_date(df: DataFrame, path: str, column: str = "date", only_given_dat
      .option("partitionOverwriteMode", mode).partitionBy(column).parquet(path))
 
 
+def _folder(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _days(spark: SparkSession, path: str, since: str | None, column: str) -> dict[str, frozenset[str]]:
+    """The ``date=`` folders from ``since`` on (None: all), with the names of their files."""
+    files, where = _folder(spark, path)
+    if not files.exists(where):
+        return {}
+    found = {}
+    for entry in files.listStatus(where):
+        name, _, value = entry.getPath().getName().partition("=")
+        if name == column and (since is None or value >= since):
+            found[value] = frozenset(f.getPath().getName() for f in files.listStatus(entry.getPath()))
+    return found
+
+
+def remove_dates(spark: SparkSession, path: str, since: str | None, keep: Collection[str] = (),
+                 column: str = "date") -> None:
+    """Remove the ``date=`` folders from ``since`` on (None: all) but those in ``keep``."""
+    files, _ = _folder(spark, path)
+    for value in _days(spark, path, since, column):
+        if value not in keep:
+            files.delete(_folder(spark, f"{path}/{column}={value}")[1], True)
+
+
+def replace_since(df: DataFrame, path: str, since: str | None, column: str = "date") -> None:
+    """Replace a table by date, in full or from ``since`` on; days that ``df`` lacks are gone afterwards.
+
+    Days are written before those that kept their old files are removed, so a run that died
+    in between leaves old days, not gaps, and writing again puts them right. ``df`` has no day
+    before ``since``.
+    """
+    if since is None:
+        write_by_date(df, path, column)
+        return
+    before = _days(df.sparkSession, path, since, column)
+    write_by_date(df, path, column, only_given_dates=True)
+    after = _days(df.sparkSession, path, since, column)
+    written = [day for day, names in after.items() if names != before.get(day)]
+    remove_dates(df.sparkSession, path, since, written, column)
+
+
+def day_marks(spark: SparkSession, path: str, column: str = "date") -> DataFrame:
+    """Per day of a stored table: its rows and its newest file's time, which shows late and corrected rows.
+
+    Reads the footers, no column.
+    """
+    return (spark.read.parquet(path).select(column, F.col("_metadata.file_modification_time").alias("_t"))
+            .groupBy(column).agg(F.count(F.lit(1)).alias("num_rows"), F.max("_t").alias("newest")))
+
+
+def first_changed(before: DataFrame, now: DataFrame, column: str = "date") -> str | None:
+    """The first day whose marks differ, or that only one side has."""
+    sides = before.select(column, "num_rows", "newest", F.lit(1).alias("_n")).unionByName(
+        now.select(column, "num_rows", "newest", F.lit(1).alias("_n")))
+    odd = sides.groupBy(column, "num_rows", "newest").agg(F.sum("_n").alias("_n")).filter("_n = 1")
+    day = odd.agg(F.min(column)).first()[0]
+    return None if day is None else str(day)
+
+
 def new_dates(source: DataFrame, target: DataFrame, column: str = "date") -> DataFrame:
     """Dates that the source has and the target does not have yet."""
     return only_in(source, target, column)
@@ -33,10 +99,13 @@ def new_dates(source: DataFrame, target: DataFrame, column: str = "date") -> Dat
 def new_rows(source: DataFrame, target: DataFrame, column: str = "date") -> DataFrame:
     """Source rows of dates that the target does not have yet.
 
-    The dates are broadcast: a calendar bounds them (a century has 36,525). On a
-    table laid out by date they prune the source's folders at run time.
+    Dates are broadcast: a calendar bounds them (a century has 36,525). On a
+    table laid out by date they prune the source's folders at run time. A column
+    of another type is left to Catalyst's threshold.
     """
-    dates = F.broadcast(new_dates(source, target, column))
+    dates = new_dates(source, target, column)
+    if isinstance(source.schema[column].dataType, T.DateType):
+        dates = F.broadcast(dates)
     return source.join(dates, column, "left_semi").select(*source.columns)
 
 

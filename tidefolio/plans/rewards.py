@@ -6,15 +6,16 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidefolio.operators import layout, rewards
-from tidefolio.plans.lake import Lake, counted
+from tidefolio.plans.lake import Lake, span
 from tidefolio.sources.tables import scan
+from tidefolio.storage import written
 
 
 def run(spark: SparkSession, base: str, days: int = 30, since: str | None = None) -> dict:
     """Write ``fact_reward_daily``; returns row count and date range.
 
-    With ``since`` only days from then on are replaced, and only partitions that
-    their rolling sums reach back to are read.
+    With ``since`` only days from then on are replaced, those without rewards any more are
+    removed, and only partitions that their rolling sums reach back to are read.
     """
     lake = Lake(base)
     earned, trades = scan(spark, lake.raw("rewards")), scan(spark, lake.raw("transactions"))
@@ -24,6 +25,6 @@ def run(spark: SparkSession, base: str, days: int = 30, since: str | None = None
     facts = rewards.summary(earned, trades, scan(spark, lake.warehouse("dim_user")), days)
     if since is not None:
         facts = facts.filter(F.col("date") >= F.lit(since).cast("date"))
-    facts, seen = counted(facts)
-    layout.write_by_date(facts, lake.warehouse("fact_reward_daily"), only_given_dates=since is not None)
-    return seen.get
+    facts = written(facts, "facts")
+    layout.replace_since(facts, lake.warehouse("fact_reward_daily"), since)
+    return span(facts)
