@@ -90,14 +90,28 @@ def test_command_line(spark, lake, monkeypatch, capsys):
     assert "checks failed" in capsys.readouterr().err
 
 
-def test_reconciliation_job(spark, lake):
+def test_reconciliation_job(spark):
+    """Sold-out and unpriced positions match; a planted fault, a missing and a later trade are seen as what they are."""
+    lake = Lake(new_path(spark, "reconcile"))
+
+    def arrive(*given):
+        spark.createDataFrame([(i, u, s, k, float(q), 1.0, float(q), 0.0, at(t)) for i, u, s, k, q, t in given], realtime.TRADE) \
+            .write.mode("append").parquet(lake.incoming("transactions"))
+
+    spark.createDataFrame([(1, "A", at("2024-01-01 10:00:00"), 1.0, 1.0)], realtime.TICK).write.parquet(lake.incoming("ticks"))
+    arrive(("1", "u", "A", "buy", 1, "2024-01-01 01:00:00"), ("2", "u", "A", "sell", 1, "2024-01-02 01:00:00"),
+           ("3", "u", "B", "buy", 2, "2024-01-02 01:00:00"), ("4", "v", "A", "buy", 3, "2024-01-02 02:00:00"))
+    realtime.run(spark, lake.base)
     portfolio.run(spark, lake.base)
-    log = new_path(spark, "log")
-    (facts(spark, lake).groupBy("user_id", "symbol").agg(F.max_by("quantity_held", "date").alias("quantity_held"))
-     .withColumn("version", F.lit(1)).write.parquet(log))
-    reconciliation.run(spark, lake.base, log)
-    got = facts(spark, lake, "fact_reconciliation").groupBy("status").count().collect()
-    assert [r["status"] for r in got] == ["match"]
+    arrive(("5", "v", "A", "buy", 9, "2024-01-03 02:00:00"), ("6", "w", "A", "buy", 1, "2024-01-02 03:00:00"))
+    realtime.run(spark, lake.base)
+    reconciliation.run(spark, lake.base)
+    got = {(r["user_id"], r["symbol"]): (r["batch_value"], r["rt_value"], r["status"]) for r in rows(facts(spark, lake, "fact_reconciliation"))}
+    assert got == {("u", "A"): (0.0, 0.0, "match"), ("u", "B"): (2.0, 2.0, "match"), ("v", "A"): (3.0, 3.0, "match"),
+                   ("w", "A"): (None, 1.0, "rt_only")}
+    portfolio.run(spark, lake.base, incremental=True)
+    reconciliation.run(spark, lake.base)
+    assert {r["status"] for r in rows(facts(spark, lake, "fact_reconciliation"))} == {"match"}
 
 
 def test_listed_assets(spark):
@@ -112,33 +126,40 @@ def test_realtime_job_lands_and_follows(spark):
             .write.mode("append").parquet(lake.incoming("ticks"))
         spark.createDataFrame([(i, u, "A", k, q, v / q, v, 0.0, at(t)) for i, u, k, q, v, t in trades], realtime.TRADE) \
             .write.mode("append").parquet(lake.incoming("transactions"))
-        realtime.run(spark, lake.base, buckets=2)
+        spark.createDataFrame([("r1", "u", "cashback", 1.0, 2.0, "gold", at("2024-01-01 00:00:00"))], realtime.REWARD) \
+            .write.mode("append").parquet(lake.incoming("rewards"))
+        realtime.run(spark, lake.base)
 
     arrive([(1, "A", "2024-01-01 00:00:05", 10.0), (1, "A", "2024-01-01 00:00:05", 10.0)],
            [("t1", "u", "buy", 3.0, 3000.0, "2024-01-01 00:00:00")])
     arrive([(2, "A", "2024-01-01 00:00:20", 12.0), (3, "A", "2024-01-03 00:00:00", 11.0)],
-           [("t2", "u", "sell", 1.0, 12.0, "2024-01-01 00:00:10"), ("t3", "v", "buy", 1.0, 1.0, "2024-01-05 00:00:00")])
+           [("t2", "u", "sell", 1.0, 12.0, "2024-01-01 00:00:10"), ("t3", "v", "buy", 1.0, 1.0, "2024-01-05 00:00:00"),
+            ("t1", "u", "buy", 3.0, 3000.0, "2024-01-01 00:00:00")])
+    # far too late for the views, but not for the raw zone
+    arrive([(4, "A", "2023-12-01 00:00:00", 5.0)], [("t0", "v", "buy", 7.0, 7.0, "2023-12-01 00:00:00")])
 
     read = spark.read.parquet
-    assert read(lake.raw("ticks")).count() == 3 and read(lake.raw("transactions")).count() == 3
+    assert read(lake.raw("ticks")).count() == 5 and read(lake.raw("transactions")).count() == 5 and read(lake.raw("rewards")).count() == 3
     bar = rows(read(lake.realtime("ohlcv_1m")))
     assert [(r["open"], r["close"], r["num_ticks"]) for r in bar] == [(10.0, 12.0, 2)]
     assert rows(read(lake.realtime("reward_tier")).filter("date = '2024-01-02'"))[0]["tier"] == "silver"
-    log = read(lake.realtime("portfolio_pnl"))
-    last = {r["user_id"]: (r["quantity_held"], r["price"])
-            for r in rows(serving.latest_view(log, ["user_id", "symbol"], ["version"]))}
-    assert last == {"u": (2.0, 11.0), "v": (1.0, 11.0)}
+    live = {r["user_id"]: (r["quantity_held"], r["price"]) for r in rows(realtime.portfolio_pnl(spark, lake.base))}
+    assert live == {"u": (2.0, 11.0), "v": (1.0, 11.0)}
+    portfolio.run(spark, lake.base)
+    assert {r["user_id"]: r["quantity_held"] for r in rows(read(lake.staging("positions_daily")).filter("date = '2023-12-01'")
+                                                          .selectExpr("user_id", "quantity_held.whole AS quantity_held"))} == {"v": 7}
 
     # The same streams can be kept running, and pick up what comes in.
-    running = realtime.run(spark, lake.base, every="1 second", buckets=2)
+    running = realtime.run(spark, lake.base, every="1 second")
     spark.createDataFrame([("t4", "v", "A", "buy", 2.0, 1.0, 2.0, 0.0, at("2024-01-05 00:00:01"))], realtime.TRADE) \
         .write.mode("append").parquet(lake.incoming("transactions"))
-    deadline = time.time() + 60
-    while time.time() < deadline and read(lake.realtime("portfolio_pnl")).filter("user_id = 'v' and quantity_held = 3").isEmpty():
+    deadline, seen = time.time() + 90, False
+    while time.time() < deadline and not seen:
         time.sleep(1)
+        seen = {r["user_id"]: r["quantity_held"] for r in rows(realtime.portfolio_pnl(spark, lake.base))}["v"] == 3.0
     for query in running:
         query.stop()
-    assert not read(lake.realtime("portfolio_pnl")).filter("user_id = 'v' and quantity_held = 3").isEmpty()
+    assert seen
 
 
 def test_any_order_of_runs_equals_a_full_run(spark):

@@ -85,51 +85,63 @@ def test_tier_falls_when_the_user_goes_quiet(spark):
     assert got["b", "2024-01-03"] == (1.0, "bronze")
 
 
-TRADE = "symbol string, user_id string, tx_type string, quantity double, total_value double"
+TRADE = "symbol string, user_id string, tx_type string, quantity double, total_value double, ts timestamp"
 QUOTE = "symbol string, ts timestamp, price double, tie long"
 
 
-def run_live(spark, steps, buckets=3):
-    """Run trades and quotes step by step through one resumed stream."""
-    path = new_path(spark, "live")
-    trade_schema = spark.createDataFrame([], TRADE).schema
-    quote_schema = spark.createDataFrame([], QUOTE).schema
-    for trades, quotes in steps:
-        spark.createDataFrame(trades, TRADE).write.mode("append").parquet(f"{path}/trades")
-        spark.createDataFrame([(s, at(t), float(p), n) for s, t, p, n in quotes], QUOTE).write.mode("append").parquet(f"{path}/quotes")
-        log = live_pnl.live_pnl(positions.sign(stream(spark, f"{path}/trades", trade_schema)),
-                                stream(spark, f"{path}/quotes", quote_schema), buckets)
-        sinks.land(log, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    log = spark.read.schema(log.schema).parquet(f"{path}/table")
-    return log, serving.latest_view(log, positions.POSITION, ["version"])
+def run_live(spark, trades, quotes, delay=None):
+    """Trades and quotes step by step through resumed streams."""
+    given = [spark.createDataFrame([(*t[:5], at(t[5])) for t in step], TRADE) for step in trades]
+    prices = [spark.createDataFrame([(s, at(t), None if p is None else float(p), n) for s, t, p, n in step], QUOTE) for step in quotes]
+    changes = sinks.replayed(given, lambda r: live_pnl.daily_changes(positions.sign(r), delay), "live", updates=True)
+    return changes, sinks.replayed(prices, live_pnl.quotes, "quotes", updates=True)
 
 
 def test_live_positions_follow_trades_and_prices(spark):
-    log, view = run_live(spark, [
-        ([("A", "u1", "buy", 2.0, 200.0), ("A", "u2", "buy", 1.0, 90.0), ("B", "u1", "buy", 5.0, 50.0)],
-         [("A", "2024-01-01 00:00:00", 100, 1)]),
-        ([("A", "u1", "sell", 1.0, 150.0)], [("A", "2024-01-02 00:00:00", 120, 1), ("A", "2024-01-02 00:00:00", 130, 2)]),
-        ([], [("A", "2024-01-01 12:00:00", 999, 1)]),
-        ([("A", "u3", "buy", 0.1, 13.0), ("A", "u3", "buy", 0.2, 26.0)], [("B", "2024-01-02 00:00:00", 11, 1)]),
+    changes, quotes = run_live(spark, [
+        [("A", "u1", "buy", 2.0, 200.0, "2024-01-01 01:00:00"), ("A", "u2", "buy", 1.0, 90.0, "2024-01-01 02:00:00"),
+         ("B", "u1", "buy", 5.0, 50.0, "2024-01-01 03:00:00"), ("C", "u1", "buy", 1.0, 1.0, "2024-01-01 03:00:00")],
+        [("A", "u1", "sell", 1.0, 150.0, "2024-01-02 01:00:00")],
+        [("A", "u3", "buy", 0.1, 13.0, "2024-01-02 01:00:00"), ("A", "u3", "buy", 0.2, 26.0, "2024-01-02 02:00:00"),
+         ("A", None, "buy", 9.0, 9.0, "2024-01-02 02:00:00")],
+        [("A", "u2", "sell", 1.0, 95.0, "2024-01-03 00:00:00")],
+    ], [
+        [("A", "2024-01-01 00:00:00", 100, 1)],
+        [("A", "2024-01-02 00:00:00", 120, None), ("A", "2024-01-02 00:00:00", 130, 2), ("A", "2024-01-03 00:00:00", None, 3)],
+        [("A", "2024-01-01 12:00:00", 999, 1), ("B", "2024-01-02 00:00:00", 11, 1)],
     ])
-    got = {(r["user_id"], r["symbol"]): (r["quantity_held"], r["price"], r["market_value"], r["unrealized_pnl"])
-           for r in rows(view)}
-    assert got["u1", "A"] == (1.0, 130.0, 130.0, 80.0)
-    assert got["u2", "A"] == (1.0, 130.0, 130.0, 40.0)
-    assert got["u1", "B"] == (5.0, 11.0, 55.0, 5.0)
-    assert got["u3", "A"] == (0.3, 130.0, 39.0, 0.0)
-    # One row per holder and price that was the newest of its step, none for the old one.
-    assert log.filter("user_id = 'u2' and symbol = 'A'").count() == 2
-
-
-def test_live_state_does_not_depend_on_buckets(spark):
-    steps = [([("A", f"u{i}", "buy" if i % 3 else "sell", 0.1 * (i + 1), 10.0 * i) for i in range(40)] * 2,
-              [("A", "2024-01-01 00:00:00", 7, 1)])]
-    views = []
-    for buckets in (1, 5):
-        _, view = run_live(spark, steps, buckets)
-        views.append(rows(view.drop("version"), "user_id"))
-    assert views[0] == views[1] and len(views[0]) == 40
+    view = live_pnl.valued(live_pnl.positions_of(changes), quotes)
+    got = {(r["user_id"], r["symbol"]): (r["quantity_held"], r["price"], r["market_value"], r["unrealized_pnl"]) for r in rows(view)}
+    assert got == {("u1", "A"): (1.0, 130.0, 130.0, 80.0), ("u2", "A"): (0.0, 130.0, 0.0, 0.0), ("u1", "B"): (5.0, 11.0, 55.0, 5.0),
+                   ("u3", "A"): (0.3, 130.0, 39.0, 0.0)}
+    # as of an earlier day, whatever came in since
+    then = {(r["user_id"], r["symbol"]): r["quantity_held"] for r in rows(live_pnl.positions_of(changes, "2024-01-01"))}
+    assert then == {("u1", "A"): 2.0, ("u2", "A"): 1.0, ("u1", "B"): 5.0, ("u1", "C"): 1.0}
+    # a price is one row however many hold the asset, a trade one row of one day
+    assert quotes.count() == 4 and changes.filter("user_id = 'u2'").count() == 2
+
+
+def test_days_leave_the_live_state_after_their_delay(spark):
+    changes, _ = run_live(spark, [
+        [("A", "u", "buy", 1.0, 1.0, "2024-01-01 01:00:00")], [("A", "u", "buy", 2.0, 2.0, "2024-01-20 01:00:00")],
+        [("A", "u", "buy", 4.0, 4.0, "2024-01-20 02:00:00"), ("A", "u", "buy", 100.0, 1.0, "2024-01-02 01:00:00")],
+    ], [[("A", "2024-01-01 00:00:00", 1, 1)]], "7 days")
+    assert [r["quantity_held"] for r in rows(live_pnl.positions_of(changes))] == [7.0]
+
+
+def test_events_without_id_repeat_only_if_equal(spark):
+    given = ticks(spark, (1, "A", "2024-01-01 00:00:10", 1), (1, "A", "2024-01-01 00:00:10", 1), (1, "A", "2024-01-01 00:00:10", 2))
+    nameless = given.withColumn("event_id", F.lit(None).cast("long"))
+    assert windows.once(given.unionByName(nameless), "event_id").count() == 3
+    assert sinks.replayed([given.unionByName(nameless)], windows.dedup, "dedup").count() == 3  # one, and two nameless
+
+
+def test_candles_are_given_again_for_late_ticks(spark):
+    batches = [ticks(spark, (1, "A", "2024-01-01 00:00:10", 1), (2, "A", "2024-01-01 00:01:20", 2)),
+               ticks(spark, (3, "A", "2024-01-01 00:00:50", 3))]
+    log = sinks.replayed(batches, lambda t: windows.ohlcv(t, "1 minute"), "updates", updates=True)
+    first = [r for r in rows(log, "version") if r["window_start"].strftime("%H:%M") == "00:00"]
+    assert [(r["close"], r["num_ticks"]) for r in first] == [(1.0, 1), (3.0, 2)]
 
 
 def test_landed_stream_is_laid_out_by_date(spark):

@@ -542,3 +542,19 @@ ORACLES: dict[str, str] = {
 ORACLES["cumulative_holdings"] = ORACLES["cumulative_incremental"] = sql("totals", """
         SELECT user_id, symbol, date, held AS quantity_held, cost AS total_cost_basis,
                fees AS total_fees_paid, sold AS cumulative_sell_value, num_trades FROM totals""")
+MONTHLY = ("CAST(o_orderdate AS DATE) AS date", "CAST(date_trunc('month', o_orderdate) AS DATE) AS date")
+ORACLES["incremental_after_late_trades"] = sql("snapshot", "SELECT * FROM snapshot").replace(*MONTHLY)
+ORACLES["realtime_raw_complete"] = "SELECT event_id, ts, user_id, event_type, value FROM events"
+ORACLES["daily_prices_from_ticks"] = """
+    SELECT event_type AS symbol, CAST(ts AS DATE) AS date, arg_max(value, (ts, event_id)) AS close
+    FROM events GROUP BY event_type, CAST(ts AS DATE)"""
+ORACLES["stream_ohlcv_updates"] = ORACLES["ohlcv_batch"]
+ORACLES["reconcile_positions"] = sql("lines", f"""
+    , signed AS (SELECT user_id, symbol, l_linenumber,
+                        CASE WHEN l_returnflag = 'R' THEN -{dec('l_quantity')} ELSE {dec('l_quantity')} END AS q FROM lines),
+    sides AS (SELECT user_id, symbol, CAST(sum(q) AS DOUBLE) AS batch_value,
+                     CAST(sum(q) FILTER (WHERE l_linenumber <> 6) AS DOUBLE) AS rt_value
+              FROM signed GROUP BY user_id, symbol)
+    SELECT user_id, symbol, batch_value, rt_value,
+           CASE WHEN rt_value IS NULL THEN 'batch_only' WHEN abs(batch_value - rt_value) <= 0.01 THEN 'match'
+                ELSE 'mismatch' END AS status FROM sides""")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tidefolio.functions.amounts import as_decimals, as_doubles, exact_sum, split_sum, to_decimal
 from tidefolio.functions.keys import surrogate_key
 from tidefolio.operators import accruals, layout, market, positions, quality, rewards, serving
+from tidefolio.plans import portfolio, realtime
+from tidefolio.plans import reconciliation as reconciliation_job
+from tidefolio.plans.lake import Lake
 from tidefolio.sources import dimensions, streams, tables
 from tidefolio.sources.testtables import TestTables
 from tidefolio.storage import new_path, written
@@ -568,17 +571,100 @@ def stream_reward_tier(t: TestTables) -> DataFrame:
     return sinks.drained(tiers.reward_tier(spend), "tiers")
 
 
+def _thirds(rows: DataFrame, key: str) -> list[DataFrame]:
+    """All rows in three arrivals, by a hash."""
+    return [rows.filter(F.pmod(F.xxhash64(key), F.lit(3)) == n) for n in range(3)]
+
+
+def _position_log(t: TestTables, *arrivals: DataFrame) -> DataFrame:
+    def build(lines: DataFrame) -> DataFrame:
+        trades = positions.sign(t.transactions(lines)).withColumn("ts", F.col("date").cast("timestamp"))
+        return live_pnl.daily_changes(trades)
+
+    return sinks.replayed(arrivals, build, "changes", updates=True)
+
+
 @query
 def live_pnl_view(t: TestTables) -> DataFrame:
-    trades = positions.sign(t.transactions(t.stream("lineitem")))
-    log = sinks.drained(live_pnl.live_pnl(trades, t.price_ticks(t.stream("lineitem")), buckets=8), "pnl")
-    view = serving.latest_view(log, positions.POSITION, ["version"])
+    """Positions and prices that arrive in three steps, each resuming the streams."""
+    lines = t.table("lineitem")
+    prices = sinks.replayed(_thirds(lines, "l_partkey"), lambda rows: live_pnl.quotes(t.price_ticks(rows)), "quotes", updates=True)
+    view = live_pnl.valued(live_pnl.positions_of(_position_log(t, *_thirds(lines, "l_orderkey"))), prices)
     return view.select(
         "user_id", "symbol", "quantity_held", F.round("total_cost_basis", 2).alias("total_cost_basis"),
         "price", F.round("market_value", 2).alias("market_value"),
         F.round("unrealized_pnl", 2).alias("unrealized_pnl"))
 
 
+def _monthly(t: TestTables) -> tuple[DataFrame, DataFrame]:
+    """Trades and prices by month, which makes a lake of fewer folders."""
+    month = F.trunc("date", "month")
+    prices = t.prices().groupBy("symbol", month.alias("date")).agg(F.max("close").alias("close"))
+    own = F.concat_ws("-", "tx_id", "quantity", "total_value")  # some lines share all their numbers
+    return t.transactions().withColumns({"date": month, "tx_id": own}), prices
+
+
+def _lake(t: TestTables, late: Column) -> Lake:
+    """A lake whose job ran, then got the ``late`` trades and ran again for what changed."""
+    lake = Lake(new_path(t.spark, "lake"))
+    trades, prices = _monthly(t)
+    layout.write_by_date(prices, lake.raw("prices"))
+    layout.write_by_date(trades.filter(~late), lake.raw("transactions"))
+    portfolio.run(t.spark, lake.base, incremental=True)
+    trades.filter(late).hint("rebalance", F.col("date")).write.mode("append").partitionBy("date").parquet(lake.raw("transactions"))
+    portfolio.run(t.spark, lake.base, incremental=True)
+    return lake
+
+
+@query
+def incremental_after_late_trades(t: TestTables) -> DataFrame:
+    late = F.pmod(F.xxhash64("tx_id"), F.lit(7)) == 0
+    return tables.scan(t.spark, _lake(t, late).warehouse("fact_portfolio_daily"))
+
+
+@query
+def reconcile_positions(t: TestTables) -> DataFrame:
+    """Batch closing against the stream's log, which lacks the lines numbered 6: those are planted faults."""
+    lake = _lake(t, F.lit(False))
+    lines = t.table("lineitem").filter("l_linenumber <> 6")
+    reconciliation_job.run(t.spark, lake.base, _stored_log(t, lines))
+    return tables.scan(t.spark, lake.warehouse("fact_reconciliation"))
+
+
+def _stored_log(t: TestTables, lines: DataFrame) -> str:
+    path = new_path(t.spark, "log")
+    _position_log(t, *_thirds(lines, "l_orderkey")).write.parquet(path)
+    return path
+
+
+@query
+def realtime_raw_complete(t: TestTables) -> DataFrame:
+    """Events in three arrivals, the second with repeats of the first, the last older than any delay."""
+    events = t.events().drop("props")
+    days = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(days[0]) + (F.lit(days[1]) - F.lit(days[0])) / 2
+    early, rest = events.filter(F.col("ts") < middle), events.filter(F.col("ts") >= middle)
+    repeats = rest.filter(F.pmod("event_id", F.lit(2)) == 0)
+    landed = sinks.replayed([rest, repeats, early], realtime.landed, "raw")
+    return windows.once(landed, "event_id").drop("date")
+
+
+@query
+def daily_prices_from_ticks(t: TestTables) -> DataFrame:
+    return portfolio.closes(t.ticks())
+
+
+@query
+def stream_ohlcv_updates(t: TestTables) -> DataFrame:
+    """Candles that are given again when late ticks come: the newest version of each."""
+    ticks = t.ticks()
+    days = ticks.agg(F.max("ts")).first()[0]
+    arrivals = [ticks.filter(F.col("symbol") != "error"), ticks.filter(F.col("symbol") == "error")]
+    log = sinks.replayed(arrivals, lambda rows: market.candles(rows, "5 minutes"), "updates", updates=True)
+    view = serving.latest_view(log, ["symbol", "window_start"], ["version"])
+    return view.filter(F.col("window_start") <= F.lit(days)).drop("version")
+
+
 # The survey's names for two queries whose operators are modules of that name.
 QUERIES["surrogate_key"] = QUERIES.pop("surrogate_keys")
 QUERIES["live_pnl"] = QUERIES.pop("live_pnl_view")

@@ -15,7 +15,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--base", required=True, help="folder with raw/, warehouse/ and so on")
     parser.add_argument("--incremental", action="store_true", help="portfolio: new days only")
     parser.add_argument("--since", help="first day to compute again")
-    parser.add_argument("--realtime-log", help="reconciliation: change log of the live view")
+    parser.add_argument("--realtime-log", help="reconciliation: log of position changes, if not the lake's own")
     parser.add_argument("--every", help="realtime: keep running, with this trigger interval")
     given = parser.parse_args(arguments)
     spark = session(f"tidefolio {given.job}")

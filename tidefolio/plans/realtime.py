@@ -1,8 +1,9 @@
 """Job: the streams, from incoming events to raw tables and real-time views.
 
-Incoming ticks and trades are freed of repeats and landed in the raw zone by
-date, where the batch jobs find them. The views follow the landed tables, so a
-view can be rebuilt from raw data by giving it a new checkpoint.
+Whatever comes in is landed in the raw zone by date as it came, repeated, late or without an
+id: nothing is lost between arrival and the batch jobs, which remove repeats where they read.
+The views follow the landed tables, so a view can be rebuilt from raw data by giving it a new
+checkpoint; they give up on events that are later than their delay, which the batch view then shows.
 """
 
 from __future__ import annotations
@@ -15,31 +16,46 @@ from tidefolio.operators import positions
 from tidefolio.plans.lake import Lake
 from tidefolio.sources.streams import stream
 from tidefolio.sources.tables import of_type
-from tidefolio.streaming import live_pnl, tiers, windows
-from tidefolio.streaming.sinks import land
+from tidefolio.streaming import live_pnl, sinks, tiers, windows
 
 TICK = "event_id bigint, symbol string, ts timestamp, price double, volume double"
 TRADE = ("tx_id string, user_id string, symbol string, tx_type string, quantity double, price double, "
          "total_value double, fee double, ts timestamp")
-INCOMING = {"ticks": (TICK, "event_id"), "transactions": (TRADE, "tx_id")}
+REWARD = ("reward_id string, user_id string, reward_type string, reward_amount double, spend_amount double, "
+          "tier_at_time string, ts timestamp")
+INCOMING = {"ticks": (TICK, "event_id"), "transactions": (TRADE, "tx_id"), "rewards": (REWARD, "reward_id")}
+# How late a trade may be, and how long after the first a repeat is known as one.
+TRADE_DELAY = "7 days"
 
 
 def _raw(spark: SparkSession, lake: Lake, table: str) -> DataFrame:
     return stream(spark, lake.raw(table), f"{INCOMING[table][0]}, date date")
 
 
-def views(ticks: DataFrame, trades: DataFrame, buckets: int = 64) -> dict[str, DataFrame]:
-    """The real-time views of a stream of ticks and one of trades."""
-    quotes = ticks.withColumnRenamed("event_id", "tie")
-    return {
+def views(ticks: DataFrame, trades: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """The real-time views of a stream of ticks and one of trades: those that append, and logs of changes."""
+    ticks = windows.dedup(ticks, ["event_id"])
+    soon, trades = windows.dedup(trades, ["tx_id"]), windows.dedup(trades, ["tx_id"], TRADE_DELAY)
+    appended = {
         "ohlcv_1m": windows.ohlcv(ticks, "1 minute"),
         "ohlcv_5m": windows.ohlcv(ticks, "5 minutes"),
-        "reward_tier": tiers.reward_tier(of_type(trades, "tx_type", positions.BUY)),
-        "portfolio_pnl": live_pnl.live_pnl(positions.sign(trades), quotes, buckets),
+        "reward_tier": tiers.reward_tier(of_type(soon, "tx_type", positions.BUY)),
     }
+    return appended, {
+        "ohlcv_1m_updates": windows.ohlcv(ticks, "1 minute"),
+        "position_changes": live_pnl.daily_changes(positions.sign(trades), TRADE_DELAY),
+        "quotes": live_pnl.quotes(ticks.withColumnRenamed("event_id", "tie")),
+    }
+
+
+def portfolio_pnl(spark: SparkSession, base: str) -> DataFrame:
+    """Every position at its newest price, from the logs that the views left."""
+    lake = Lake(base)
+    read = spark.read.parquet
+    return live_pnl.valued(live_pnl.positions_of(read(lake.realtime("position_changes"))), read(lake.realtime("quotes")))
 
 
-def run(spark: SparkSession, base: str, every: str | None = None, buckets: int = 64) -> list[StreamingQuery]:
+def run(spark: SparkSession, base: str, every: str | None = None) -> list[StreamingQuery]:
     """Land what came in, then bring the views up to date.
 
     Without ``every`` each stream stops when it has used up its input. With it,
@@ -49,21 +65,30 @@ def run(spark: SparkSession, base: str, every: str | None = None, buckets: int =
     # Also with ``every``: the views can only follow tables that exist.
     _finish(_landing(spark, lake, None))
     running = _landing(spark, lake, every) if every else []
-    following = views(_raw(spark, lake, "ticks"), _raw(spark, lake, "transactions"), buckets)
-    running += [land(rows, lake.realtime(name), lake.checkpoint(name), every=every)
-                for name, rows in following.items()]
+    appended, changed = views(_raw(spark, lake, "ticks"), _raw(spark, lake, "transactions"))
+    running += [sinks.land(rows, lake.realtime(name), lake.checkpoint(name), every=every)
+                for name, rows in appended.items()]
+    running += [sinks.land_changes(rows, lake.realtime(name), lake.checkpoint(name), every)
+                for name, rows in changed.items()]
     if every is None:
         _finish(running)
     return running
 
 
 def _landing(spark: SparkSession, lake: Lake, every: str | None) -> list[StreamingQuery]:
-    queries = []
-    for table, (schema, key) in INCOMING.items():
-        events = windows.dedup(stream(spark, lake.incoming(table), schema), [key])
-        queries.append(land(events.withColumn("date", F.to_date("ts")), lake.raw(table),
-                            lake.checkpoint(f"raw_{table}"), "date", every))
-    return queries
+    return [sinks.land(landed(stream(spark, lake.incoming(table), schema)), lake.raw(table),
+                       lake.checkpoint(f"raw_{table}"), "date", every)
+            for table, (schema, _) in INCOMING.items() if _arrived(spark, lake.incoming(table))]
+
+
+def landed(events: DataFrame) -> DataFrame:
+    """Events as the raw zone keeps them: all of them, with their day."""
+    return events.withColumn("date", F.to_date("ts"))
+
+
+def _arrived(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
 def _finish(queries: list[StreamingQuery]) -> None:

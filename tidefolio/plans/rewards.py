@@ -9,6 +9,7 @@ from tidefolio.operators import layout, rewards
 from tidefolio.plans.lake import Lake, span
 from tidefolio.sources.tables import scan
 from tidefolio.storage import written
+from tidefolio.streaming.windows import once
 
 
 def run(spark: SparkSession, base: str, days: int = 30, since: str | None = None) -> dict:
@@ -18,7 +19,7 @@ def run(spark: SparkSession, base: str, days: int = 30, since: str | None = None
     removed, and only partitions that their rolling sums reach back to are read.
     """
     lake = Lake(base)
-    earned, trades = scan(spark, lake.raw("rewards")), scan(spark, lake.raw("transactions"))
+    earned, trades = once(scan(spark, lake.raw("rewards")), "reward_id"), once(scan(spark, lake.raw("transactions")), "tx_id")
     if since is not None:
         reach = F.col("date") >= F.date_sub(F.lit(since).cast("date"), days)
         earned, trades = earned.filter(reach), trades.filter(reach)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidefolio.sources.streams import stream
@@ -27,6 +28,26 @@ def land(rows: DataFrame, path: str, checkpoint: str, partition_by: str | None =
     return writer.start()
 
 
+def land_changes(rows: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Log what changed in each micro-batch (update mode), with the batch's number as ``version``.
+
+    A batch that is run again writes the same folder again, so each counts once. Runs until the
+    available input is used up, or each ``every`` for good.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    writer = rows.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def changes(rows: DataFrame, path: str) -> DataFrame:
+    """The log that :func:`land_changes` wrote for ``rows``."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("version", T.LongType())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
 def drained(rows: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Run a stream over all available input and return the table it wrote."""
     path = new_path(rows.sparkSession, label)
@@ -34,20 +55,22 @@ def drained(rows: DataFrame, label: str, partition_by: str | None = None) -> Dat
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/table").select(*rows.columns)
 
 
-def replayed(arrivals: Iterable[DataFrame], build: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+def replayed(arrivals: Iterable[DataFrame], build: Callable[[DataFrame], DataFrame], label: str,
+             updates: bool = False) -> DataFrame:
     """Feed batches one after the other through one stream that stops in between.
 
     Each batch is landed as files, then the stream resumes from its checkpoint
     and takes all of them, so the cuts between micro-batches are those between
-    the given batches at any number of files.
+    the given batches at any number of files. With ``updates`` the result is the log of changes.
     """
     path, result = None, None
     for batch in arrivals:
         path = path or new_path(batch.sparkSession, label)
         batch.write.mode("append").parquet(f"{path}/arrived")
-        rows = build(stream(batch.sparkSession, f"{path}/arrived", batch.schema))
-        land(rows, f"{path}/table", f"{path}/checkpoint").awaitTermination()
-        result = rows
+        result = build(stream(batch.sparkSession, f"{path}/arrived", batch.schema))
+        (land_changes if updates else land)(result, f"{path}/table", f"{path}/checkpoint").awaitTermination()
+    if updates:
+        return changes(result, f"{path}/table")
     return result.sparkSession.read.schema(result.schema).parquet(f"{path}/table").select(*result.columns)
 
 

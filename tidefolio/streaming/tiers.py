@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidefolio.functions import tiers
 from tidefolio.functions.amounts import exact_sum
-from tidefolio.streaming.windows import LATENESS
+from tidefolio.streaming.windows import LATENESS, watermarked
 
 
 def reward_tier(spend: DataFrame, days: int = 30, delay: str = LATENESS,
@@ -26,7 +26,7 @@ def reward_tier(spend: DataFrame, days: int = 30, delay: str = LATENESS,
     who went quiet falls back without any timer.
     """
     per_day = (
-        spend.withWatermark(time, delay)
+        watermarked(spend, time, delay)
         .groupBy(F.window(time, "1 day"), "user_id")
         .agg(F.round(exact_sum("total_value"), 2).alias("day_spend"))
         .select("user_id", "day_spend", F.col("window.start").alias("day"),
