@@ -43,6 +43,7 @@ WINDOW, GRAM = 50, 24
 FILTER_BITS = 28
 SHARD_BYTES = 1 << 20
 HOT_SEGMENTS = 200_000
+SLICE_BYTES = 2 << 20
 LONGEST_RUN = 4096
 LAST = (1 << 63) - 1
 
@@ -146,7 +147,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SLICE_BYTES):
                 ids = batch.column(0).to_numpy()
                 found, which, _, _ = segments(*text_bytes(batch.column(1)), window, gram)
                 order = np.argsort(found)
@@ -179,7 +180,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sent.value
         for whole in batches:
-            for batch in slices(whole, 2):
+            for batch in slices(whole, 2, SLICE_BYTES):
                 data, offsets = text_bytes(batch.column(2))
                 found, which, start, size = segments(data, offsets, window, gram)
                 here = np.ones(len(found), bool)
@@ -300,7 +301,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 1):
+            for batch in slices(whole, 1, SLICE_BYTES):
                 size, removed, parts, digest, left = [], [], [], [], []
                 for value, spans in zip(batch.column(1), batch.column(2)):
                     raw = (value.as_py() or "").encode()

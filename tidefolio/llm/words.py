@@ -17,7 +17,7 @@ INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 CHUNK = 1 << 20
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 512 << 10
 _powers: dict[int, np.ndarray] = {}
 
 
