@@ -74,12 +74,22 @@ def test_quality_job_reports_and_fails(spark, lake):
     rewards.run(spark, lake.base)
     floors = dict.fromkeys(quality.ROW_FLOORS, 1)
     summary = quality_job.run(spark, lake.base, "good", floors=floors)
-    assert (summary["total_checks"], summary["failed"], summary["pass_rate"]) == (32, 0, 100.0)
+    assert (summary["total_checks"], summary["failed"], summary["pass_rate"]) == (36, 0, 100.0)
     written = [f for f in os.listdir(f"{lake.report('good')}/checks") if f.endswith(".json")]
     with open(f"{lake.report('good')}/checks/{written[0]}") as lines:
         assert {json.loads(line)["status"] for line in lines} == {"PASS"}
-    with pytest.raises(quality_job.QualityError, match="of 32 checks failed"):
+    with pytest.raises(quality_job.QualityError, match="of 36 checks failed"):
         quality_job.run(spark, lake.base, "strict")
+    with pytest.raises(quality_job.QualityError, match="of 41 checks failed"):
+        quality_job.run(spark, lake.base, "stale", as_of="2030-01-01", floors=floors)
+    with open(f"{lake.raw('prices')}/broken.parquet", "w") as file:
+        file.write("no parquet at all")
+    for old in os.listdir(lake.raw("prices")):
+        if old.startswith("date="):
+            layout.remove_dates(spark, lake.raw("prices"), None)
+    with pytest.raises(quality_job.QualityError):
+        quality_job.run(spark, lake.base, "broken", floors=floors)
+    assert [r["table"] for r in rows(spark.read.json(f"{lake.report('broken')}/not_loaded"))] == ["raw_prices"]
 
 
 def test_command_line(spark, lake, monkeypatch, capsys):

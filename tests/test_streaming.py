@@ -85,6 +85,23 @@ def test_tier_falls_when_the_user_goes_quiet(spark):
     assert got["b", "2024-01-03"] == (1.0, "bronze")
 
 
+def test_tier_of_today_follows_purchases_and_timers(spark):
+    batches = [
+        spend(spark, ("a", "2024-01-01 10:00:00", 30000), ("a", "2024-01-01 11:00:00", 30000)),
+        spend(spark, ("a", "2024-01-03 10:00:00", 3000), ("b", "2024-01-03 10:00:00", 1)),
+        spend(spark, ("b", "2024-02-01 10:00:00", 1)),
+        spend(spark, ("b", "2024-02-15 10:00:00", 1)),
+        spend(spark, ("b", "2024-02-15 11:00:00", 1)),
+    ]
+    log = rows(sinks.replayed(batches, tiers.reward_tier_now, "tiers"), "version")
+    a = [(str(r["date"]), r["rolling_spend"], r["tier"]) for r in log if r["user_id"] == "a"]
+    assert a[:2] == [("2024-01-01", 60000.0, "diamond"), ("2024-01-03", 63000.0, "diamond")]
+    assert a[-1][1:] == (0.0, "bronze")  # went quiet, fell by timer
+    assert any(r[1:] == (3000.0, "silver") and r[0] >= "2024-02-01" for r in a)
+    b = [(str(r["date"]), r["rolling_spend"]) for r in log if r["user_id"] == "b"]
+    assert ("2024-02-01", 2.0) in b and b[-1] == ("2024-02-15", 3.0)
+
+
 TRADE = "symbol string, user_id string, tx_type string, quantity double, total_value double, ts timestamp"
 QUOTE = "symbol string, ts timestamp, price double, tie long"
 

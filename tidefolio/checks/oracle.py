@@ -558,3 +558,8 @@ ORACLES["reconcile_positions"] = sql("lines", f"""
     SELECT user_id, symbol, batch_value, rt_value,
            CASE WHEN rt_value IS NULL THEN 'batch_only' WHEN abs(batch_value - rt_value) <= 0.01 THEN 'match'
                 ELSE 'mismatch' END AS status FROM sides""")
+ORACLES["stream_reward_tier_now"] = sql("buys", f"""
+    , last AS (SELECT user_id, max(date) AS today FROM buys GROUP BY user_id),
+    now AS (SELECT user_id, today AS date, CAST(sum({dec('daily_buy_spend')}) AS DOUBLE) AS rolling_spend
+            FROM buys JOIN last USING (user_id) WHERE date >= today - 30 GROUP BY user_id, today)
+    SELECT user_id, date, rolling_spend, {tier_of('rolling_spend')} AS tier FROM now""")

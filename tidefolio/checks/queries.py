@@ -571,6 +571,16 @@ def stream_reward_tier(t: TestTables) -> DataFrame:
     return sinks.drained(tiers.reward_tier(spend), "tiers")
 
 
+@query
+def stream_reward_tier_now(t: TestTables) -> DataFrame:
+    """Each user's tier on the day of the last purchase; days arrive one third after the other."""
+    spend = t.events(t.spend(t.table("events")))
+    first, last = spend.agg(F.min("date"), F.max("date")).first()
+    third = F.floor(F.datediff("date", F.lit(first)) * 3 / ((last - first).days + 1))
+    log = sinks.replayed([spend.filter(third == n) for n in range(3)], tiers.reward_tier_now, "tiers")
+    return serving.latest_view(log, ["user_id"], ["version"]).drop("version")
+
+
 def _thirds(rows: DataFrame, key: str) -> list[DataFrame]:
     """All rows in three arrivals, by a hash."""
     return [rows.filter(F.pmod(F.xxhash64(key), F.lit(3)) == n) for n in range(3)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from datetime import date
 
 from tidefolio.plans import portfolio, quality, realtime, reconciliation, rewards
 from tidefolio.session import session
@@ -16,6 +17,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--incremental", action="store_true", help="portfolio: new days only")
     parser.add_argument("--since", help="first day to compute again")
     parser.add_argument("--realtime-log", help="reconciliation: log of position changes, if not the lake's own")
+    parser.add_argument("--as-of", help="quality: day on which tables should be fresh (default: today)")
     parser.add_argument("--every", help="realtime: keep running, with this trigger interval")
     given = parser.parse_args(arguments)
     spark = session(f"tidefolio {given.job}")
@@ -25,7 +27,7 @@ def main(arguments: list[str] | None = None) -> int:
         elif given.job == "rewards":
             print(rewards.run(spark, given.base, since=given.since))
         elif given.job == "quality":
-            print(quality.run(spark, given.base))
+            print(quality.run(spark, given.base, as_of=given.as_of or str(date.today())))
         elif given.job == "realtime":
             realtime.run(spark, given.base, given.every)
             if given.every:

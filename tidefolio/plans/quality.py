@@ -4,25 +4,65 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidefolio.functions.amounts import exact_sum
 from tidefolio.operators import quality
 from tidefolio.plans.lake import Lake
-from tidefolio.sources.tables import scan_all
+from tidefolio.sources.tables import scan_if_present, why_not
+
+DATED = ("fact_portfolio_daily", "fact_reward_daily", "raw_transactions", "raw_prices", "raw_rewards")
 
 
 class QualityError(Exception):
     """At least one check failed."""
 
 
-def run(spark: SparkSession, base: str, run_name: str | None = None, **bounds) -> dict:
-    """Write ``checks`` and ``summary`` as JSON; raise if a check failed.
+def reward_measures() -> dict[str, tuple[Column, Column]]:
+    """What the reward facts and the raw rewards must agree in."""
+    def only(kind: str, column: str) -> Column:
+        return F.when(F.col("reward_type") == kind, F.col(column))
+
+    return {
+        "cashback_earned": (exact_sum("cashback_earned"), exact_sum(only("cashback", "reward_amount"))),
+        "cashback_count": (F.sum("cashback_count"), F.count(only("cashback", "reward_id"))),
+        "staking_earned": (exact_sum("staking_earned"), exact_sum(only("staking", "reward_amount"))),
+        "staking_count": (F.sum("staking_count"), F.count(only("staking", "reward_id"))),
+    }
+
+
+def _consistency(tables: dict[str, DataFrame | None]) -> DataFrame | None:
+    """Reward facts against raw rewards, as result rows."""
+    fact, raw = tables["fact_reward_daily"], tables["raw_rewards"]
+    if fact is None or raw is None:
+        return None
+    found = quality.cross_table(fact, raw, reward_measures(), "fact_reward_daily", "raw_rewards")
+    gap = F.concat(F.lit("fact "), F.col("fact_total"), F.lit(", raw "), F.col("raw_total"))
+    none = F.lit(None).cast("bigint")
+    return found.select("check", "table", "status", none.alias("value"), none.alias("threshold"), gap.alias("details"))
+
+
+def run(spark: SparkSession, base: str, run_name: str | None = None, as_of: str | None = None,
+        max_age_days: int = 1, **bounds) -> dict:
+    """Write ``checks``, ``summary`` and ``not_loaded`` as JSON; raise if a check failed.
 
-    The checks run once: the summary reads the rows just written.
+    ``as_of`` adds the age of each dated table on that day. Tables that cannot be opened fail
+    their checks, and their reasons are in ``not_loaded``. The checks run once: the summary
+    reads the rows just written.
     """
     lake = Lake(base)
     folder = lake.report(run_name or f"dq_report_{datetime.now():%Y%m%d_%H%M%S}")
-    results = quality.report(spark, scan_all(spark, lake.checked_tables()), **bounds)
+    paths = lake.checked_tables()
+    tables = {name: scan_if_present(spark, path) for name, path in paths.items()}
+    missing = [(name, why_not(spark, paths[name])) for name, df in tables.items() if df is None]
+    spark.createDataFrame(missing, "table string, reason string").write.mode("overwrite").json(f"{folder}/not_loaded")
+    results = quality.report(spark, tables, **bounds)
+    consistency = _consistency(tables)
+    if consistency is not None:
+        results = results.unionByName(consistency)
+    if as_of is not None:
+        results = results.unionByName(quality.freshness(spark, {t: tables[t] for t in DATED}, as_of, max_age_days))
     results.coalesce(1).write.mode("overwrite").json(f"{folder}/checks")
     stored = spark.read.schema(results.schema).json(f"{folder}/checks")
     totals = quality.summary(stored)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +26,17 @@ def scan(spark: SparkSession, path: str, date_from: str | None = None, date_to:
 
 
 def scan_if_present(spark: SparkSession, path: str) -> DataFrame | None:
-    """Like :func:`scan`, but None where the table is missing or unreadable."""
+    """Like :func:`scan`, but None where the table is missing or its files are no Parquet (see :func:`why_not`)."""
+    return None if why_not(spark, path) else scan(spark, path)
+
+
+def why_not(spark: SparkSession, path: str) -> str | None:
+    """Why a table cannot be opened, in one line; None if it can."""
     try:
-        return scan(spark, path)
-    except AnalysisException:
+        scan(spark, path)
         return None
+    except (AnalysisException, PySparkException, Py4JError) as reason:
+        return str(reason).strip().splitlines()[0][:300]
 
 
 def scan_all(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame | None]:

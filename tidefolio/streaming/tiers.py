@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefolio.functions import tiers
+from tidefolio.functions import amounts, tiers
 from tidefolio.functions.amounts import exact_sum
 from tidefolio.streaming.windows import LATENESS, watermarked
 
@@ -42,3 +43,66 @@ def reward_tier(spend: DataFrame, days: int = 30, delay: str = LATENESS,
         F.to_date(F.col("frame.end") - F.expr("interval 1 day")).alias("date"),
         F.round(amount, 2).alias("rolling_spend"),
     ).withColumn("tier", tiers.suggested_tier(F.col("rolling_spend"), ladder))
+
+
+PARTS = ("whole", "rest", "fine")
+DAY_MS = 86_400_000
+
+
+def _day_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Purchases of an Arrow batch summed per user and day, so that a hot user reaches the state in few rows."""
+    for rows in batches:
+        sums = rows.groupby(["user_id", "day"], as_index=False, sort=False, dropna=False).agg(
+            {**{p: "sum" for p in PARTS}, "ts": "max"})
+        yield sums[rows.columns]
+
+
+def _follow(days: int):
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        known, today, version = {}, None, 0
+        if state.exists:
+            held, *sums, today, version = state.get
+            known = dict(zip(held, zip(*sums)))
+        if state.hasTimedOut:
+            today = state.getCurrentWatermarkMs() // DAY_MS
+        else:
+            for rows in batches:
+                for day, *amount in rows[["day", *PARTS]].itertuples(index=False):
+                    old = known.get(int(day), (0, 0, 0))
+                    known[int(day)] = tuple(int(a) + int(b) for a, b in zip(old, amount))
+            today = max([*known, *([] if today is None else [today])])
+        known = {d: a for d, a in known.items() if d >= today - days}
+        total = [sum(a[i] for a in known.values()) for i in range(len(PARTS))]
+        version += 1
+        if known:
+            order = sorted(known)
+            state.update((order, *([known[d][i] for d in order] for i in range(len(PARTS))), today, version))
+            falls = (order[0] + days + 1) * DAY_MS  # the first moment at which the oldest day no longer counts
+            state.setTimeoutTimestamp(max(falls, state.getCurrentWatermarkMs() + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame({"user_id": [key[0]], "day": [today], **{p: [v] for p, v in zip(PARTS, total)}, "version": [version]})
+
+    return step
+
+
+def reward_tier_now(spend: DataFrame, days: int = 30, delay: str = LATENESS,
+                    ladder: Mapping[str, float] = tiers.LADDER, time: str = "ts") -> DataFrame:
+    """Rolling spend and tier of a user today: a row for each micro-batch with purchases, and when spend falls out.
+
+    State is at most ``days + 1`` day sums per user; a timer in event time gives the row of a
+    user who went quiet, and removes the state when nothing counts any more. The newest
+    ``version`` of a user wins; a user whose state was removed starts again at 1, on a later date.
+    """
+    rows = spend.select("user_id", F.unix_date(F.to_date(time)).alias("day"),
+                        *[p.alias(n) for p, n in zip(amounts.parts(F.col("total_value").cast("double")), PARTS)],
+                        F.col(time).cast("timestamp").alias("ts")).filter(F.col("whole").isNotNull() & F.col("ts").isNotNull())
+    reduced = rows.mapInPandas(_day_sums, rows.schema).withWatermark("ts", delay)
+    user = spend.schema["user_id"].dataType.simpleString()
+    sums = ", ".join(f"{p} bigint" for p in PARTS)
+    state = "days array<int>, " + ", ".join(f"{p} array<bigint>" for p in PARTS) + ", today int, version bigint"
+    out = reduced.groupBy("user_id").applyInPandasWithState(
+        _follow(days), f"user_id {user}, day int, {sums}, version bigint", state, "append", "EventTimeTimeout")
+    spent = F.round(amounts.to_double(amounts.split(*map(F.col, PARTS))), 2)
+    return out.select("user_id", F.date_from_unix_date("day").alias("date"), spent.alias("rolling_spend"), "version").withColumn(
+        "tier", tiers.suggested_tier(F.col("rolling_spend"), ladder))
