@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import plan_of, settings
 
 import __spark_entry__ as entry
-from tidefolio.operators import layout, market, positions, quality, rewards
+from tidefolio.operators import layout, market, positions, quality, rewards, serving
 from tidefolio.sources.testtables import TestTables
 from tidefolio.storage import new_path, written
 
@@ -59,11 +59,38 @@ def test_summary_shuffles(stored):
         assert len(exchanges(plan)) == 4
 
 
-def test_dense_snapshot_shuffles_no_stretched_rows(stored):
+def test_dense_snapshot_stretches_last(stored):
     totals = positions.positions(stored["transactions"])
-    plan = plan_of(positions.dense_snapshot(totals, stored["prices"], "2001-08-01"))
-    assert len(exchanges(plan)) == 3 and "BroadcastHashJoin" in plan
-    assert plan.count("Generate (") > 0
+    tree = plan_of(positions.dense_snapshot(totals, stored["prices"], "2001-08-01")).split("\n\n")[0]
+    assert tree.index("Generate (") < tree.index("BroadcastHashJoin (")
+
+
+def test_many_sparse_quotes_are_not_broadcast(spark, stored):
+    """1,000 symbols with two quotes years apart: few stored rows, a million days."""
+    quotes = written(spark.range(2000).select(
+        F.concat(F.lit("S"), F.floor(F.col("id") / 2)).alias("symbol"),
+        F.date_add(F.lit("1992-01-01").cast("date"), (F.col("id") % 2 * 3000).cast("int")).alias("date"), F.lit(1.0).alias("close")), "sparse")
+    totals = positions.positions(stored["transactions"])
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "20k"}):
+        plan = plan_of(positions.dense_snapshot(totals, quotes, "2001-08-01"))
+    tree = plan.split("\n\n")[0]
+    assert "SortMergeJoin" in tree and "Broadcast" not in tree and tree.index("Generate (") < tree.index("SortMergeJoin (")
+
+
+def test_last_rows_are_hashed(spark, stored):
+    totals = positions.positions(stored["transactions"])
+    facts = positions.snapshot(stored["transactions"], stored["prices"])
+    log = spark.createDataFrame([(1, "a", 1.0, 1)], "k int, text string, v double, version long")
+    for df in (positions.latest(totals), positions.latest(facts), positions._opening_rows(totals, totals.columns),
+               serving.latest_view(log, ["k"], ["version"]), serving.latest_view(log.drop("text"), ["k"], ["version"])):
+        assert "SortAggregate" not in plan_of(df)
+
+
+def test_top_portfolios_read_one_day(spark, stored):
+    path = new_path(spark, "facts")
+    layout.write_by_date(positions.snapshot(stored["transactions"], stored["prices"]).filter("year(date) = 1995"), path)
+    plan = plan_of(positions.top_portfolios(spark.read.parquet(path)))
+    assert re.search(r"PartitionFilters: \[[^\]]*Subquery", plan)
 
 
 def test_candles_hash_and_combine(tables):

@@ -211,3 +211,15 @@ def test_correlation_matches_numpy(spark, blocks):
     for (a, b), r in got.items():
         ra, rb = (np.diff(closes[s]) / closes[s][:-1] for s in (a, b))
         assert r["correlation"] == pytest.approx(np.corrcoef(ra, rb)[0, 1], abs=1e-9) and r["common_days"] == 59
+
+
+def test_correlation_of_pegged_prices(spark):
+    import numpy as np
+    import datetime as dt
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1e-9, 40)
+    closes = {"A": np.cumprod(1.5 + x), "B": np.cumprod(1.5 + 0.5 * x + rng.normal(0, 1e-9, 40))}
+    df = spark.createDataFrame([(s, dt.date(2024, 1, 1) + dt.timedelta(i), float(c)) for s, cs in closes.items()
+                                for i, c in enumerate(cs)], "symbol string, date date, close double")
+    a, b = (np.diff(c) / c[:-1] for c in closes.values())
+    assert market.asset_correlation(df).first()["correlation"] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-3)

@@ -104,8 +104,10 @@ def asset_correlation(prices: DataFrame, blocks: int | None = None, days_per_tas
     blocks = blocks or _blocks_for(prices)
     block = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
     run = F.floor(F.unix_date("date") / days_per_task)
+    # about their mean, which leaves the correlation as it is: raw moments of steady prices would cancel
+    centred = F.col("daily_return") - F.avg("daily_return").over(Window.partitionBy("symbol"))
     returns = daily_returns(prices).filter(F.col("symbol").isNotNull()).select(
-        "symbol", "date", "daily_return", block.alias("block"), run.alias("run"),
+        "symbol", "date", centred.alias("daily_return"), block.alias("block"), run.alias("run"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_other"))
     moments = returns.groupBy(
         F.least("block", "_other").alias("left"), F.greatest("block", "_other").alias("right"), "run",
