@@ -110,6 +110,21 @@ def test_rates_meet_targets_as_well_as_plain_descent(spark, shares, budget, leas
     assert np.linalg.norm(mine - goal) <= np.linalg.norm(plain - goal) * 1.05 + 1e-4 * whole
 
 
+@pytest.mark.parametrize("spread", [0.02, 0.2, 1.0])
+def test_rates_at_their_bound_meet_targets_beside_a_large_domain(spark, spread):
+    """``least`` 1 and the smallest budget, as in the pipeline; 90 % of the tokens in one domain."""
+    rng = np.random.default_rng(6)
+    n, part = rng.integers(20, 600, 3000), np.array([0.9, 0.04, 0.03, 0.03])
+    p = np.eye(4)[rng.choice(4, len(n), p=part)] * (1 - spread / 2) + rng.dirichlet(np.ones(4) * 0.3, len(n)) * spread / 2
+    shares = [0.5, 0.2, 0.15, 0.15]
+    rows = spark.createDataFrame([(i, int(a), *map(float, q)) for i, (a, q) in enumerate(zip(n, p))],
+                                 "_id long, _n long, p_0 double, p_1 double, p_2 double, p_3 double").repartition(4)
+    r = np.array([x.rate for x in mixing.fit_rates(rows, shares, 0, 1.0).orderBy("_id").collect()])
+    totals = n @ p
+    whole = max(totals / np.array(shares))
+    assert r.min() >= 1 and np.abs((n * r) @ p - np.array(shares) * whole).max() < 0.001 * whole
+
+
 def two_languages(spark, extra=()):
     de, en = "der die das und ist nicht".split(), "the of and to in that".split()
     rows = []

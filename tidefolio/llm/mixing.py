@@ -4,9 +4,9 @@ DataFrame operations only. A naive Bayes model of word counts, learned from docu
 labelled table whose domain is known, gives every document posteriors over the domains of
 ``targets``. With tokens n and posteriors p, rates r >= ``least`` are fitted so that for
 each domain k the expected tokens, the sum of r * n * p_k, come to its share of the
-budget: projected-gradient least squares, each step one aggregate over all documents and
-scaled by the K x K matrix of n * p_k * p_l over the rates that may move. A step is part
-of an expression; rates are written every few steps.
+budget: projected-gradient least squares with implicit steps, each look at the error one
+aggregate over all documents. A step is found by K numbers, so rates are an expression of
+the posteriors and equal posteriors have equal rates.
 
 The model is bounded by parameters: at most ``max_labelled`` labelled documents (smallest
 id hash) and ``vocabulary`` words, those whose counts differ most between domains; so
@@ -31,7 +31,8 @@ from tidefolio.llm.common import stored
 
 MAX_LABELLED = 5_000
 VOCABULARY = 2_000
-STEPS, WRITE_EVERY = 60, 6
+STEPS = 60  # aggregates over all documents
+ENDED, LONGEST = 1e-3, 1e10  # part of the error that counts as none; longest step, in parts of the tokens
 PRIOR_WORD = ""
 
 
@@ -86,38 +87,63 @@ def posteriors(documents: DataFrame, model: DataFrame, domains: list[str], key:
 
 def fit_rates(rows: DataFrame, shares: list[float], budget: float | None = None, least: float = 0.0,
               steps: int = STEPS, tolerance: float = 1e-7) -> DataFrame:
-    """``rows`` with their ``rate``. ``budget`` None: as many tokens as there are; 0: the smallest that cuts no domain."""
-    size = len(shares)
+    """``rows`` with their ``rate``. ``budget`` None: as many tokens as there are; 0: the smallest that cuts no domain.
+
+    A document's gradient is its posteriors times the error of each domain. The projected step
+    ``rate = max(least, start - p * push)`` is taken at the error where it ends, ``push = length * error``, so that no
+    length is too long: ``push`` minimises a convex function of K numbers, by Newton's method with a line search.
+    The length grows until the error no longer does with it; the rates of the least error seen are returned.
+    """
+    size, start = len(shares), max(1.0, least)
     p = [F.col(f"p_{i}") for i in range(size)]
     totals = [float(x or 0) for x in rows.agg(*(F.sum(F.col("_n") * x) for x in p)).first()]
+    whole = max(sum(totals), 1.0)
     if budget is None:
         budget = sum(totals)
     elif budget == 0:
         budget = max((t / s for t, s in zip(totals, shares) if s > 0), default=0.0)
     goal = np.array(shares) * budget
-    rows = rows.withColumn("rate", F.lit(max(1.0, least)))
-    best, pull = np.inf, F.lit(0.0)
-    for step in range(steps):
-        r, n = F.col("rate"), F.col("_n")
-        # a rate at its bound may move only upward; ``_pull`` is the gradient of the step before
-        moves = F.when((r > least) | (F.lit(step) == 0) | (pull < 0), n).otherwise(0.0)
-        aims = [F.sum(r * n * x) for x in p]
-        curve = [F.sum(moves * p[i] * p[j]) for i in range(size) for j in range(i, size)]
-        got = [float(x or 0) for x in rows.agg(*aims, *curve).first()]
-        error = np.array(got[:size]) - goal
-        miss = float(np.abs(error).max()) / max(budget, 1.0)
-        if miss < tolerance or (step > 3 and miss > best * (1 - 1e-6)):
-            break
-        best = min(best, miss)
+
+    def rate(pull: Column) -> Column:
+        return F.greatest(F.lit(least), F.lit(start) - pull)
+
+    def look(push: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Value of the convex function without its last term, error, and curvature over the rates that may move."""
+        pull = sum((F.lit(float(y)) * x for x, y in zip(p, push)), F.lit(0.0))
+        free, room = F.col("_pull") < start - least, start - least
+        value = F.when(free, (F.col("_pull") / 2 - start) * F.col("_pull")).otherwise(-least * F.col("_pull") - room * room / 2)
+        moves = F.when(free, F.col("_n")).otherwise(0.0)
+        got = rows.withColumn("_pull", pull).agg(
+            F.sum(F.col("_n") * value), *(F.sum(F.col("_n") * rate(F.col("_pull")) * x) for x in p),
+            *(F.sum(moves * p[i] * p[j]) for i in range(size) for j in range(i, size))).first()
+        got = [float(x or 0) for x in got]
         matrix = np.zeros((size, size))
-        matrix[np.triu_indices(size)] = got[size:]
-        matrix = matrix + np.triu(matrix, 1).T
-        push = np.linalg.lstsq(matrix, error, rcond=1e-12)[0]
-        pull = sum((float(y) * x for x, y in zip(p, push)), F.lit(0.0))
-        rows = rows.withColumn("rate", F.greatest(F.lit(least), r - pull))
-        if step % WRITE_EVERY == WRITE_EVERY - 1:
-            rows = stored(rows, "rates")
-    return rows
+        matrix[np.triu_indices(size)] = got[1 + size:]
+        return got[0] + float(push @ goal), np.array(got[1:1 + size]) - goal, matrix + np.triu(matrix, 1).T
+
+    push = best = np.zeros(size)
+    value, error, matrix = look(push)
+    miss, length, looks = np.linalg.norm(error), 100 / whole, 1
+    while looks < steps and np.abs(error).max() >= tolerance * max(budget, 1.0):
+        slope = push / length - error
+        if np.linalg.norm(slope) <= ENDED * np.linalg.norm(error):  # the projected gradient is 0 at this length
+            if length * whole >= LONGEST:
+                break
+            length *= 100
+            continue
+        turn = np.linalg.solve(matrix + np.eye(size) / length, slope)
+        held, part = value + float(push @ push) / (2 * length), 1.0
+        while looks < steps:
+            to = push - part * turn
+            value, error, matrix = look(to)
+            looks += 1
+            if np.linalg.norm(error) < miss:
+                best, miss = to, np.linalg.norm(error)
+            if value + float(to @ to) / (2 * length) <= held - 1e-4 * part * float(slope @ turn) + 1e-13 * abs(held) or part < 1e-6:
+                break
+            part /= 4
+        push = to
+    return rows.withColumn("rate", rate(sum((F.lit(float(y)) * x for x, y in zip(p, best)), F.lit(0.0))))
 
 
 def copies_of(rate: Column, key: Column) -> Column:
