@@ -47,6 +47,13 @@ def test_packing_is_a_round_trip_with_little_padding(spark):
     assert {(r.doc_id, r.start, r.ids_crc32) for r in slow.collect()} == {(r.doc_id, r.start, r.ids_crc32) for r in got}
 
 
+def test_ids_of_texts_with_very_long_runs():
+    quick, plain = packing.Encoder(*tokenizer_files()), packing.Encoder(tokenizer_files()[0])
+    runs = [c * 2_000_000 for c in (" ", "\n", "\u3000")] + [" " * (packing.LONGEST_RUN - 1), "\t" * packing.LONGEST_RUN, "x" * 2_000_000]
+    for run in runs:
+        assert quick.encode("a b" + run + "c d") == plain.encode("a b" + run + "c d")
+
+
 def test_packing_of_odd_rows(odd_documents, no_documents):
     got = packing.pack(odd_documents, *tokenizer_files(), capacity=64, group_rows=3).collect()
     assert sum(r.length for r in got if r.doc_id == 7) == 2 * next(r.doc_tokens for r in got if r.doc_id == 7)
