@@ -54,6 +54,16 @@ def test_ids_of_texts_with_very_long_runs():
         assert quick.encode("a b" + run + "c d") == plain.encode("a b" + run + "c d")
 
 
+def test_ids_are_those_of_the_tokenizer_as_loaded():
+    from tokenizers import Tokenizer
+    contract = Tokenizer.from_file(tokenizer_files()[0])
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext|", "<|ENDOFTEXT|>", "x\n\n<|endoftext|>\n", packing.PROBE]
+    for encoder in (packing.Encoder(*tokenizer_files()), packing.Encoder(tokenizer_files()[0])):
+        for text in texts:
+            assert encoder.encode(text) == np.array(contract.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert 50256 in contract.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_packing_of_odd_rows(odd_documents, no_documents):
     got = packing.pack(odd_documents, *tokenizer_files(), capacity=64, group_rows=3).collect()
     assert sum(r.length for r in got if r.doc_id == 7) == 2 * next(r.doc_tokens for r in got if r.doc_id == 7)
