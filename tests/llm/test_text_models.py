@@ -104,6 +104,35 @@ def test_toxicity_sees_through_disguises(spark):
     assert all(r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+def test_toxicity_sees_disguises_at_the_ends_doubled_letters_and_wide_spacing(spark):
+    rows, labels = toxic_docs()
+    disguised = ["morron", "iidiot", "stuppid", "sttupid", "idio7", "stupi6 idio+", '"1diot', "(1diot)", ",$tupid", "m  o  r  o  n",
+                 "s   t   u   p   i   d", "i - d - i - o - t", "$tupid "]
+    clean = ["coffee letter", "5 € each", "3€", "room7 (see 8)", "stop! go!", "a  b  c", "covid19", "ready!!"]
+    texts = [w + prose(k, 60) if w.endswith(" ") else prose(k, 40) + f" {w} " + prose(k + 5, 30) for k, w in enumerate(disguised + clean)]
+    probes = [(1000 + k, text) for k, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows + probes, "doc_id long, text string")
+    held = crc_of_id(F.col("doc_id")) % 5 == 0
+    got = {r.doc_id: r for r in toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), ~held, held).collect()}
+    assert all(got[i].predicted == y for i, y in labels)
+    assert {w: got[1000 + k].predicted for k, w in enumerate(disguised)} == dict.fromkeys(disguised, 1)
+    assert {w: got[1000 + len(disguised) + k].predicted for k, w in enumerate(clean)} == dict.fromkeys(clean, 0)
+
+
+def test_every_place_of_a_disguise_is_decoded():
+    read = []
+
+    class Held:
+        def read(self, span):
+            read.append(span)
+            return "*"
+    forms = ["losser", "sccum", "traash", "cloown", "foo1", '"1diot', "los€r", "t  r  a  s  h", "t - r - a - s - h", "$tupid"]
+    for text in (forms, [f"we saw {w} today" for w in forms]):
+        read.clear()
+        assert all("*" in t for t in toxicity.restored(text, Held()))
+        assert read == forms
+
+
 def test_toxicity_of_odd_rows(odd_documents, no_documents, odd_labels, no_labels):
     every, none = F.lit(True), F.lit(False)
     assert toxicity.score(odd_documents, odd_labels, every, none).count() == odd_documents.count()

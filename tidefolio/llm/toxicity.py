@@ -1,10 +1,11 @@
 """Toxicity of texts after undoing disguises with a noisy-channel decoder.
 
-Places where letters touch digits or symbols, where a letter stands three times in a row, or
-where single letters are spaced out become character lattices: a sign may stand for the
+Places where letters touch digits or symbols, where a letter is doubled, or where single
+letters are spaced out, however widely, become character lattices: a sign may stand for the
 letters it is used for, a repeated letter or a separator may have been inserted, each at a
 channel cost. Viterbi search under an interpolated Kneser-Ney character model of the
-corpus picks the likeliest reading, which replaces the original. The restored words are
+corpus picks the likeliest reading, which replaces the original, or stands beside it where
+the place is common in plain words too (doubled letters, a sign at one side). The restored words are
 then scored: every word, and its beginnings of 4 to 6 letters, has the lower confidence
 bound of its share of toxic documents; a word counts as the strongest of these, and a
 logistic model of a document's strongest words gives the score. It is fitted on the labelled
@@ -48,36 +49,51 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
          "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SEPARATORS = " .-_*'\"~^/\\"
 COST_SIGN, COST_REPEAT, COST_SEPARATOR, COST_DROP, COST_BREAK = 1.5, 0.7, 0.3, 5.0, 1.0
-BEAM = 24
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in SIGNS if ord(c) < 128] + [ord(c) for c in "._-*"]] = True
+_STANDS = np.zeros(256, bool)  # signs that stand for letters
+_STANDS[[ord(c) for c in SIGNS if ord(c) < 128]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _GAP = _BLANK.copy()
 _GAP[[ord(c) for c in ".-_*"]] = True
 _WORD = re.compile(r"[^\W\d_]+")
-_EDGE = re.compile(r"^[\W_]*?(?=[\w@$!|+(€])|(?:[^\w]|_)+$")
+_EDGE = re.compile(r"^(?:[^\w@$!|+(€]|_)+|(?:[^\w@$!|+(€]|_)+$")
+_BLANKS = re.compile(r"\s{2,}")
 
 
-def suspects(data: np.ndarray) -> np.ndarray:
-    """Places in a buffer that hint at a disguise."""
+def suspects(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a buffer that hint at a disguise, and which of them are rare in plain words; texts end with a blank."""
     n = len(data)
     if n < 3:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     letter, sign, blank, gap = _LETTER[data], _SIGN[data], _BLANK[data], _GAP[data]
     hint = np.zeros(n, bool)
     hint[1:-1] |= sign[1:-1] & letter[:-2] & letter[2:]  # l0ser, i.d.i.o.t
     hint[1:-1] |= sign[:-2] & sign[1:-1] & letter[2:]  # 1d10t
     hint[:-1] |= sign[:-1] & letter[1:] & np.concatenate([[True], blank[:-2]])  # $tupid
     folded = data | np.uint8(32)
-    hint[1:-1] |= letter[1:-1] & (folded[:-2] == folded[1:-1]) & (folded[1:-1] == folded[2:]) & (data[1:-1] < 128)
+    double = letter[:-1] & (folded[:-1] == folded[1:]) & (data[:-1] < 128) & (data[1:] < 128)
+    hint[1:-1] |= double[:-1] & double[1:]
     if n >= 5:  # t r a s h
         hint[2:-2] |= letter[:-4] & gap[1:-3] & letter[2:-2] & gap[3:-1] & letter[4:] & (data[2:-2] < 128)
-    return np.flatnonzero(hint)
+    weak = np.zeros(n, bool)
+    weak[:-1] |= double  # losser
+    stands = _STANDS[data]
+    weak[:-1] |= stands[:-1] & letter[1:]  # "1diot
+    weak[1:] |= stands[1:] & letter[:-1]  # foo1
+    euro = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC))
+    weak[euro[letter[np.maximum(euro - 1, 0)] & (euro > 0) | letter[np.minimum(euro + 3, n - 1)]]] = True
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).view(np.int8)))
+    first, after = edge[::2], edge[1::2]  # what stands between gaps
+    single = (after - first == 1) & letter[first] & (data[first] < 128)
+    weak[first[1:-1][single[:-2] & single[1:-1] & single[2:]]] = True  # t  r  a  s  h
+    places = np.flatnonzero(hint | weak)
+    return places, hint[places]
 
 
 def spans(data: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
@@ -95,12 +111,21 @@ def spans(data: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
         while high < n and not _BLANK[raw[high]] and high - low < LONGEST_SPAN:
             high += 1
         if high - low <= 2:  # spaced letters: go on while tokens of one letter follow
-            while low >= 2 and _BLANK[raw[low - 1]] and _LETTER[raw[low - 2]] and (low == 2 or _BLANK[raw[low - 3]]) \
-                    and low - 2 >= last:
-                low -= 2
-            while high + 1 < n and _BLANK[raw[high]] and _LETTER[raw[high + 1]] \
-                    and (high + 2 >= n or _BLANK[raw[high + 2]] or not _LETTER[raw[high + 2]]) and high - low < LONGEST_SPAN:
-                high += 2
+            letters = 1
+            while letters < LONGEST_SPAN:
+                at = low
+                while at > max(last, 0) and _GAP[raw[at - 1]]:
+                    at -= 1
+                if at == low or at <= max(last, 0) or not _LETTER[raw[at - 1]] or (at > 1 and not _GAP[raw[at - 2]]):
+                    break
+                low, letters = at - 1, letters + 1
+            while letters < LONGEST_SPAN:
+                at = high
+                while at < n and _GAP[raw[at]]:
+                    at += 1
+                if at == high or at >= n or not _LETTER[raw[at]] or (at + 1 < n and _LETTER[raw[at + 1]]):
+                    break
+                high, letters = at + 1, letters + 1
         low = max(low, last, 0)
         while low < high and 128 <= raw[low] < 192:  # never inside a character
             low += 1
@@ -132,35 +157,45 @@ class Decoder:
         return int(self.symbol[point]) if point < 65536 else 28 + point % 36
 
     def read(self, span: str) -> str:
+        span = _BLANKS.sub(" ", span)
         found = self.known.get(span)
         if found is None:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            self.known[span] = found = self._decode(span)
+            self.known[span] = found = self._read(span)
         return found
 
-    def _decode(self, span: str) -> str:
+    def _read(self, span: str) -> str:
         text = _EDGE.sub("", span.lower())
         if not any(c.isalpha() for c in text):
             return span
-        beam = {(0, ""): (0.0, "")}  # last three symbols and last letter -> log probability, reading
+        likeliest = self._decode(text)
+        if text[0] not in SIGNS and text[-1] not in SIGNS:
+            return likeliest
+        # at an end a sign may as well be punctuation: both readings count
+        lettered = self._decode(text, True)
+        return likeliest if lettered == likeliest else f"{likeliest} {lettered}"
+
+    def _decode(self, text: str, lettered: bool = False) -> str:
+        states = {(0, ""): (0.0, "")}  # every state: last three symbols and last letter -> log probability, reading
         before = ""
-        for c in text:
+        for place, c in enumerate(text):
             choices: list[tuple[str | None, float]] = []
             if c.isalpha():
                 choices.append((c, 0.0))
                 if c == before:
                     choices.append((None, COST_REPEAT))
             elif c in SIGNS:
-                choices += [(x, COST_SIGN) for x in SIGNS[c]] + [(None, COST_REPEAT if c == before else COST_DROP)]
-                choices.append((" ", COST_BREAK))
+                choices += [(x, COST_SIGN) for x in SIGNS[c]]
+                if not lettered or 0 < place < len(text) - 1:
+                    choices += [(None, COST_REPEAT if c == before else COST_DROP), (" ", COST_BREAK)]
             elif c in SEPARATORS or c.isspace():
                 choices += [(None, COST_SEPARATOR), (" ", COST_BREAK)]
             else:
                 choices.append((" ", 0.0))
             before = c
             following: dict[tuple[int, str], tuple[float, str]] = {}
-            for (context, last), (score, reading) in beam.items():
+            for (context, last), (score, reading) in states.items():
                 for letter, cost in choices:
                     if letter is None or (letter == " " and context & 63 == 0):
                         state, total, out = (context, last), score - cost, reading
@@ -171,26 +206,30 @@ class Decoder:
                         total, out = score - cost + self._log(gram), reading + letter
                     if state not in following or following[state][0] < total:
                         following[state] = (total, out)
-            if len(following) > BEAM:
-                following = dict(sorted(following.items(), key=lambda x: -x[1][0])[:BEAM])
-            beam = following
+            states = following
         return max(((score + (self._log(context << BITS) if context & 63 else 0.0), out)
-                    for (context, _), (score, out) in beam.items()))[1]
+                    for (context, _), (score, out) in states.items()))[1]
 
 
 def restored(texts: list[str], decoder: Decoder) -> list[str]:
-    """The texts with disguised places replaced by their readings."""
-    data, offsets = text_bytes(pa.array(texts, pa.string()))
-    places = suspects(data)
+    """The texts with disguised places replaced by their readings, or with readings beside them."""
+    data, offsets = text_bytes(pa.array([t + "\n" for t in texts], pa.string()))
+    places, sure = suspects(data)
     if not len(places):
         return texts
     out = list(texts)
-    at = np.searchsorted(places, offsets)
+    at, sures = np.searchsorted(places, offsets), np.concatenate([[0], np.cumsum(sure)])
     for i in np.flatnonzero(np.diff(at)).tolist():
-        own = data[offsets[i]:offsets[i + 1]]
+        own, here = data[offsets[i]:offsets[i + 1] - 1], places[at[i]:at[i + 1]] - offsets[i]
+        found = spans(own, here)
+        bounds = sures[at[i] + np.searchsorted(here, np.array(found, np.int64).reshape(-1, 2))].tolist()
         parts, last, raw = [], 0, own.tobytes()
-        for low, high in spans(own, places[at[i]:at[i + 1]] - offsets[i]):
-            parts += [raw[last:low].decode("utf-8", "replace"), decoder.read(raw[low:high].decode("utf-8", "replace"))]
+        for (low, high), (before, within) in zip(found, bounds):
+            span = raw[low:high].decode("utf-8", "replace")
+            reading = decoder.read(span)
+            if within == before and reading != span:
+                reading = f"{span} {reading} "
+            parts += [raw[last:low].decode("utf-8", "replace"), reading]
             last = high
         out[i] = "".join(parts) + raw[last:].decode("utf-8", "replace")
     return out
