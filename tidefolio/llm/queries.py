@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidefolio.llm import (decontamination, embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, quality,
-                           suffix_dedup, toxicity, url_filter)
+from tidefolio.llm import (centroids, decontamination, embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing,
+                           packing, quality, resampling, suffix_dedup, toxicity, url_filter)
 from tidefolio.llm.common import crc_of_id, table
 
 
@@ -72,6 +72,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,10 +95,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_quality": op10_quality,
+    "op11_centroids": op11_centroids,
+    "op12_resampling": op12_resampling,
     "op13_decontamination": op13_decontamination,
 }
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.DEDUP_SQL,
     "op9_url_filter": url_filter.judge_sql(URL_RULES, url_filter.Vocabulary()),
+    "op11_centroids": centroids.cluster_sql(),
+    "op12_resampling": resampling.resample_sql(),
     "op13_decontamination": decontamination.contamination_sql(),
 }
