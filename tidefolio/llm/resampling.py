@@ -100,7 +100,7 @@ def resample_sql(percent: int = 25, least_words: int = 20, buckets: int = BUCKET
     runs = "list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])"
     return f"""
         WITH steps AS (SELECT [list_reduce(list_prepend(CAST(n AS BIGINT), range(8)),
-                                           (c, i) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+                                           lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
                                FOR n IN range(256)] AS steps),
         docs AS (SELECT row_number() OVER () AS row, doc_id, {listed} AS w FROM documents),
         target AS (SELECT {listed} AS w FROM benchmark),
@@ -108,7 +108,7 @@ def resample_sql(percent: int = 25, least_words: int = 20, buckets: int = BUCKET
         target_runs AS MATERIALIZED (SELECT unnest({runs}) AS run FROM target),
         hashed AS MATERIALIZED (
             SELECT run, xor(list_reduce(list_prepend(4294967295, [CAST('0x' || h[i:i + 1] AS BIGINT) FOR i IN range(1, len(h), 2)]),
-                                        (c, b) -> xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % {buckets} AS bucket
+                                        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1])), 4294967295) % {buckets} AS bucket
             FROM (SELECT run, hex(encode(run)) AS h FROM (SELECT run FROM doc_runs UNION SELECT run FROM target_runs)), steps),
         s AS (SELECT bucket, count(*) AS s FROM doc_runs JOIN hashed USING (run) GROUP BY bucket),
         t AS (SELECT bucket, count(*) AS t FROM target_runs JOIN hashed USING (run) GROUP BY bucket),
