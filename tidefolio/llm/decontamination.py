@@ -1,7 +1,7 @@
 """Benchmark passages in training documents, by a positional inverted index; DataFrame operations only.
 
 The index holds one posting ``(term, doc, pos)`` per word of the documents, written as
-segments: each task sorts the postings of its own documents by term. Nothing is shuffled
+segments: each task sorts the postings of its own documents by the hash of the term. Nothing is shuffled
 for it, a posting list may be of any length, and copies or long documents add rows, never
 larger rows.
 
@@ -42,11 +42,14 @@ def _document(key: str, text: str) -> Column:
 
 
 def index(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings ``term, doc, pos`` of all words, stored in segments sorted by term (a job)."""
+    """Postings ``term, doc, pos`` of all words, stored in segments sorted by the terms' hashes (a job).
+
+    A number sorts faster than a text, and the rows of a term stand together all the same.
+    """
     docs = documents.select(_document(key, text).alias("doc"), pieces(F.col(text)).alias("_p"))
     return stored(docs.select("doc", (F.col("_p")[0] == "").cast("int").alias("_ahead"), F.posexplode("_p").alias("_at", "_w"))
                   .filter("_w != ''").select(lowered(F.col("_w")).alias("term"), "doc", (F.col("_at") - F.col("_ahead")).alias("pos"))
-                  .sortWithinPartitions("term"), "postings")
+                  .sortWithinPartitions(F.xxhash64("term")), "postings")
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH, item: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -93,9 +96,11 @@ def candidates(postings: DataFrame, distinct: DataFrame, anchors: int = ANCHORS,
             F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.col("origin") + d)).alias("origin"))
     met = hits.groupBy("doc", "chunk", "origin").agg(F.collect_set("at").alias("at"))
     wanted = rarest.groupBy("chunk", "window", "first").agg(F.collect_list(F.col("first") + F.col("offset")).alias("need"))
-    wanted = stored(wanted.groupBy("chunk").agg(F.collect_list(F.struct("window", "first", "need")).alias("all")), "wanted")
+    wanted = stored(wanted.groupBy("chunk").agg(F.collect_list(F.struct("window", "first", "need")).alias("all"),
+                                                F.min(F.size("need")).alias("_least")), "wanted")
     whole = F.filter("all", lambda w: F.size(F.array_except(w["need"], F.col("at"))) == 0)
-    starts = (met.join(wanted, "chunk").select("doc", "origin", F.explode(whole).alias("w"))
+    # most groups hold one chance hit, which no window is content with
+    starts = (met.join(wanted, "chunk").filter(F.size("at") >= F.col("_least")).select("doc", "origin", F.explode(whole).alias("w"))
               .groupBy("doc", F.col("w.window").alias("window"))
               .agg(F.collect_set(F.col("origin") + F.col("w.first")).alias("starts")))
     return starts.join(distinct.select("window", "words"), "window")
