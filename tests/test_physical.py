@@ -167,3 +167,26 @@ def test_hot_user_is_combined_before_its_window(spark):
     got = rewards.rolling(daily, "daily_buy_spend", "s").filter("user_id = 0").collect()
     assert [(r["daily_buy_spend"], r["s"]) for r in got] == [(30_000.0, 30_000.0)]
     assert "partial_try_sum" in plan_of(daily)
+
+
+def test_one_user_is_read_from_one_bucket(spark, stored):
+    """The tables are found by path in a session whose catalog does not know them, as well."""
+    rows = stored["transactions"].groupBy("user_id", "symbol").agg(F.sum("quantity").alias("held"))
+    path, user = new_path(spark, "by-user"), rows.agg(F.min("user_id")).first()[0]
+    stored_rows = serving.store_by_key(rows, "held_by_user", path, buckets=8)
+    known = serving.open_by_key(spark.newSession(), "held_again", path, rows.schema, buckets=8)
+    for table in (stored_rows, known):
+        one = serving.merge_of_one(table, table, "user_id", user, ("user_id", "symbol"), add=["held"])
+        plan = plan_of(one)
+        assert plan.count("SelectedBucketsCount: 1 out of 8") == 2 and "PushedFilters: [IsNotNull(user_id), EqualTo(user_id" in plan
+        assert sorted(r.held for r in one.collect()) == sorted(2 * r.held for r in rows.filter(F.col("user_id") == user).collect())
+    spark.sql("DROP TABLE held_by_user")
+
+
+def test_figures_of_headline_plans_stay_small(stored):
+    """Expressions in the analysed plan; the exact sums alone made several thousand once."""
+    frames = {"snapshot": positions.snapshot(stored["transactions"], stored["prices"]),
+              "summary": rewards.summary(stored["rewards"], stored["spend"], stored["users"])}
+    for name, df in frames.items():
+        text = df._jdf.queryExecution().optimizedPlan().toString()
+        assert len(text) < 60_000, (name, len(text))

@@ -98,3 +98,17 @@ def test_stage_splits_rows(spark):
     staged = quality.stage(tx, quality.transaction_rules())
     assert quality.clean(staged).count() == 2
     assert [r["reasons"] for r in rows(quality.quarantine(staged))] == ["missing_key,invalid_tx_type,non_positive_amount"]
+
+
+def test_fingerprints_find_changed_missing_and_swapped_rows(spark):
+    given = [("2024-01-0%d" % (1 + i % 4), f"u{i}", float(i), "x" if i % 2 else None) for i in range(40)]
+    table = lambda rows: spark.createDataFrame([(day(d), *r) for d, *r in rows], "date date, user_id string, amount double, note string")
+    judge = lambda rows: quality.same_days(table(rows).repartition(3), table(given), "fact").first()
+    assert judge(given[::-1]).status == "PASS"
+    changed = [(*r[:2], r[2] + (0.01 if i == 5 else 0), r[3]) for i, r in enumerate(given)]
+    swapped = [(*r[:2], {2: 6.0, 6: 2.0}.get(i, r[2]), r[3]) for i, r in enumerate(given)]
+    moved = [("2024-01-04", *r[1:]) if i == 0 else r for i, r in enumerate(given)]
+    for rows_, days in ((changed, "2024-01-02"), (given[:7] + given[8:], "2024-01-04"), (swapped, "2024-01-03"), (given + given[:1], "2024-01-01"),
+                        (moved, "2024-01-01, 2024-01-04"), ([r for r in given if r[0] != "2024-01-03"], "2024-01-03")):
+        row = judge(rows_)
+        assert row.status == "FAIL" and row.details.endswith("first " + days) and row.value == len(days.split(","))

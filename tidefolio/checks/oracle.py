@@ -563,3 +563,23 @@ ORACLES["stream_reward_tier_now"] = sql("buys", f"""
     now AS (SELECT user_id, today AS date, CAST(sum({dec('daily_buy_spend')}) AS DOUBLE) AS rolling_spend
             FROM buys JOIN last USING (user_id) WHERE date >= today - 30 GROUP BY user_id, today)
     SELECT user_id, date, rolling_spend, {tier_of('rolling_spend')} AS tier FROM now""")
+# A day counts up to 30 days after it, as seen from the user's last purchase or from the stream's last moment less 30 s.
+ORACLES["stream_reward_tier_after_pauses"] = sql("spend", f"""
+    , paused AS (SELECT user_id, total_value, ts + to_days(CAST(floor(datediff('day', DATE '1970-01-01', date) / 20) AS INTEGER) * 45) AS ts
+                 FROM spend),
+    days AS (SELECT user_id, CAST(ts AS DATE) AS date, total_value FROM paused),
+    seen AS (SELECT CAST(max(ts) - INTERVAL 30 SECOND AS DATE) AS mark FROM paused),
+    last AS (SELECT user_id, greatest(max(date), (SELECT mark FROM seen)) AS today FROM days GROUP BY user_id),
+    now AS (SELECT user_id, coalesce(CAST(sum({dec('total_value')}) FILTER (WHERE date >= today - 30) AS DOUBLE), 0) AS rolling_spend
+            FROM days JOIN last USING (user_id) GROUP BY user_id)
+    SELECT user_id, rolling_spend, {tier_of('rolling_spend')} AS tier FROM now""")
+ORACLES["merge_of_one_user"] = sql("totals transactions", """
+    SELECT user_id, symbol, held AS quantity_held, cost AS total_cost_basis, date AS updated_on FROM totals
+    WHERE user_id = (SELECT user_id FROM transactions GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1)
+    QUALIFY row_number() OVER (PARTITION BY user_id, symbol ORDER BY date DESC) = 1""")
+ORACLES["curve_layout"] = sql("transactions", "SELECT tx_id, user_id, symbol, date, total_value FROM transactions")
+ORACLES["compact_small_files"] = sql("prices", "SELECT symbol, date, close FROM prices")
+ORACLES["fingerprint_check"] = sql("cashback", """
+    SELECT 'fingerprint_cashback' AS "check", 'FAIL' AS status,
+           count(DISTINCT date) FILTER (WHERE user_id = (SELECT min(user_id) FROM cashback)) AS value FROM cashback""")
+ORACLES["trades_once"] = sql("transactions", "SELECT * EXCLUDE (tx_id) FROM (SELECT DISTINCT * FROM transactions)")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidefolio.functions.amounts import as_decimals, as_doubles, exact_sum, split_sum, to_decimal
 from tidefolio.functions.keys import surrogate_key
-from tidefolio.operators import accruals, layout, market, positions, quality, rewards, serving
+from tidefolio.operators import accruals, layout, market, positions, quality, repeats, rewards, serving
 from tidefolio.plans import portfolio, realtime
 from tidefolio.plans import reconciliation as reconciliation_job
 from tidefolio.plans.lake import Lake
@@ -450,9 +451,9 @@ def dq_cross_table(t: TestTables) -> DataFrame:
         return F.when(F.col("reward_type") == kind, F.col(column))
 
     measures = {
-        "cashback_earned": (exact_sum("cashback_earned"), exact_sum(only("cashback", "reward_amount"))),
+        "cashback_earned": (exact_sum("cashback_earned"), exact_sum("CASE WHEN reward_type = 'cashback' THEN reward_amount END")),
         "cashback_count": (F.sum("cashback_count"), F.count(only("cashback", "reward_id"))),
-        "staking_earned": (exact_sum("staking_earned"), exact_sum(only("staking", "reward_amount"))),
+        "staking_earned": (exact_sum("staking_earned"), exact_sum("CASE WHEN reward_type = 'staking' THEN reward_amount END")),
         "staking_count": (F.sum("staking_count"), F.count(only("staking", "reward_id"))),
         "cashback_only_spend": (exact_sum("cashback_spend"), exact_sum("spend_amount")),
     }
@@ -494,8 +495,11 @@ def clustered_layout(t: TestTables) -> DataFrame:
 
 # Serving
 
-@query
-def merge_batch_realtime(t: TestTables) -> DataFrame:
+MONEY = ["quantity_held", "total_cost_basis"]
+
+
+def _both_views(t: TestTables) -> tuple[DataFrame, DataFrame]:
+    """Positions as of a day, and what changed since."""
     trades = t.transactions()
     batch = as_decimals(positions.latest(positions.positions(trades), BATCH_UNTIL)).select(
         *positions.POSITION, "quantity_held", "total_cost_basis", F.col("date").alias("updated_on"))
@@ -504,9 +508,58 @@ def merge_batch_realtime(t: TestTables) -> DataFrame:
         split_sum("signed_quantity").alias("quantity_held"),
         split_sum("signed_cost").alias("total_cost_basis"),
         F.max("date").alias("updated_on")))
-    money = ["quantity_held", "total_cost_basis"]
-    merged = serving.merge(batch, realtime, positions.POSITION, add=money, replace=["updated_on"])
-    return merged.withColumns({c: F.col(c).cast("double") for c in money})
+    return batch, realtime
+
+
+@query
+def merge_batch_realtime(t: TestTables) -> DataFrame:
+    merged = serving.merge(*_both_views(t), positions.POSITION, add=MONEY, replace=["updated_on"])
+    return merged.withColumns({c: F.col(c).cast("double") for c in MONEY})
+
+
+@query
+def merge_of_one_user(t: TestTables) -> DataFrame:
+    """The merged view of the user with the most trades, from tables stored by user."""
+    top = t.transactions().groupBy("user_id").count().orderBy(F.desc("count"), "user_id").first().user_id
+    views = []
+    for df in _both_views(t):
+        name = f"by_user_{uuid.uuid4().hex}"
+        views.append(serving.store_by_key(df, name, new_path(t.spark, name), buckets=16))
+    merged = serving.merge_of_one(*views, "user_id", top, positions.POSITION, add=MONEY, replace=["updated_on"])
+    return merged.withColumns({c: F.col(c).cast("double") for c in MONEY})
+
+
+@query
+def curve_layout(t: TestTables) -> DataFrame:
+    rows = t.transactions().select("tx_id", "user_id", "symbol", "date", "total_value")
+    return written(layout.cluster_by_curve(rows, "user_id", "date"), "curve")
+
+
+@query
+def compact_small_files(t: TestTables) -> DataFrame:
+    """Prices of each year in many small files, merged where they lie."""
+    path = new_path(t.spark, "small")
+    yearly = t.prices().withColumn("year", F.trunc("date", "year"))
+    yearly.repartition(12).write.partitionBy("year").parquet(path)
+    layout.compact_small(t.spark, path, 1 << 20, "year")
+    return t.spark.read.parquet(path).select("symbol", "date", "close")
+
+
+@query
+def fingerprint_check(t: TestTables) -> DataFrame:
+    """Cashback per day as stored, less one user's, against what the rewards give again."""
+    fact = written(rewards.daily_cashback(t.rewards()), "cashback")
+    least = fact.agg(F.min("user_id")).first()[0]
+    found = quality.same_days(fact.filter(F.col("user_id") != least), rewards.daily_cashback(t.rewards()), "cashback")
+    return found.select("check", "status", "value")
+
+
+@query
+def trades_once(t: TestTables) -> DataFrame:
+    """Trades of which a third arrives a second time, 200 days later."""
+    trades = t.transactions().withColumn("tx_id", F.concat_ws("-", "tx_id", "quantity", "total_value")).distinct()
+    again = trades.filter(F.pmod(F.xxhash64("tx_id"), F.lit(3)) == 0).withColumn("date", F.date_add("date", 200))
+    return repeats.once(written(trades.unionByName(again), "twice"), "tx_id").drop("tx_id")
 
 
 @query
@@ -578,7 +631,23 @@ def stream_reward_tier_now(t: TestTables) -> DataFrame:
     first, last = spend.agg(F.min("date"), F.max("date")).first()
     third = F.floor(F.datediff("date", F.lit(first)) * 3 / ((last - first).days + 1))
     log = sinks.replayed([spend.filter(third == n) for n in range(3)], tiers.reward_tier_now, "tiers")
-    return serving.latest_view(log, ["user_id"], ["version"]).drop("version")
+    return tiers.current(log).drop("version")
+
+
+def _with_pauses(spend: DataFrame) -> DataFrame:
+    """Purchases with 45 quiet days after every 20 days, which no rolling sum outlasts."""
+    pause = F.floor(F.unix_date("date") / 20) * 45
+    return spend.withColumns({"ts": F.col("ts") + F.make_dt_interval(pause.cast("int")), "date": F.date_add("date", pause.cast("int"))})
+
+
+@query
+def stream_reward_tier_after_pauses(t: TestTables) -> DataFrame:
+    """Each user's spend and tier now, after falling to nothing and coming back; blocks of days arrive one by one."""
+    spend = _with_pauses(t.events(t.spend(t.table("events"))))
+    first, last = spend.agg(F.min("date"), F.max("date")).first()
+    fifth = F.floor(F.datediff("date", F.lit(first)) * 5 / ((last - first).days + 1))
+    log = sinks.replayed([spend.filter(fifth == n) for n in range(5)], tiers.reward_tier_now, "tiers")
+    return tiers.current(log).drop("version", "date")
 
 
 def _thirds(rows: DataFrame, key: str) -> list[DataFrame]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,6 +73,54 @@ def replace_since(df: DataFrame, path: str, since: str | None, column: str = "da
     remove_dates(df.sparkSession, path, since, written, column)
 
 
+def stored_days(spark: SparkSession, path: str, column: str = "date") -> list[str]:
+    """The days of a table laid out by date, from its folders, in order."""
+    return sorted(day for day, names in _days(spark, path, None, column).items() if names)
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    files, where = _folder(spark, path)
+    if files.exists(where):
+        files.delete(where, True)
+
+
+def in_days(df: DataFrame, days: Collection[str], column: str = "date") -> DataFrame:
+    """Rows of the given days; on a table laid out by date other folders are not opened."""
+    return df.filter(F.col(column).isin([F.lit(d).cast("date") for d in sorted(days)])) if days else df.filter(F.lit(False))
+
+
+def not_in_days(df: DataFrame, days: Collection[str], column: str = "date") -> DataFrame:
+    return df.filter(~F.col(column).isin([F.lit(d).cast("date") for d in sorted(days)])) if days else df
+
+
+def days_of(df: DataFrame, column: str = "date") -> list[str]:
+    """The distinct days of ``df``, in order; a calendar bounds them."""
+    return sorted(str(r[0]) for r in df.select(column).distinct().collect() if r[0] is not None)
+
+
+def remove_days(spark: SparkSession, path: str, days: Collection[str], column: str = "date") -> None:
+    """Remove the ``date=`` folders of the given days."""
+    files, _ = _folder(spark, path)
+    for value in days:
+        where = _folder(spark, f"{path}/{column}={value}")[1]
+        if files.exists(where):
+            files.delete(where, True)
+
+
+def replace_days(df: DataFrame, path: str, days: Collection[str] | None, column: str = "date") -> None:
+    """Replace the given days of a table (None: all of it); those that ``df`` lacks are gone afterwards.
+
+    ``df`` has no other days. Days are written before emptied ones are removed.
+    """
+    if days is None:
+        write_by_date(df, path, column)
+        return
+    before = _days(df.sparkSession, path, None, column)
+    write_by_date(df, path, column, only_given_dates=True)
+    after = _days(df.sparkSession, path, None, column)
+    remove_days(df.sparkSession, path, [d for d in days if d in after and after[d] == before.get(d)], column)
+
+
 def day_marks(spark: SparkSession, path: str, column: str = "date") -> DataFrame:
     """Per day of a stored table: its rows and its newest file's time, which shows late and corrected rows.
 
@@ -82,13 +130,11 @@ def day_marks(spark: SparkSession, path: str, column: str = "date") -> DataFrame
             .groupBy(column).agg(F.count(F.lit(1)).alias("num_rows"), F.max("_t").alias("newest")))
 
 
-def first_changed(before: DataFrame, now: DataFrame, column: str = "date") -> str | None:
-    """The first day whose marks differ, or that only one side has."""
+def changed_days(before: DataFrame, now: DataFrame, column: str = "date") -> list[str]:
+    """Days whose marks differ, or that only one side has."""
     sides = before.select(column, "num_rows", "newest", F.lit(1).alias("_n")).unionByName(
         now.select(column, "num_rows", "newest", F.lit(1).alias("_n")))
-    odd = sides.groupBy(column, "num_rows", "newest").agg(F.sum("_n").alias("_n")).filter("_n = 1")
-    day = odd.agg(F.min(column)).first()[0]
-    return None if day is None else str(day)
+    return days_of(sides.groupBy(column, "num_rows", "newest").agg(F.sum("_n").alias("_n")).filter("_n = 1"), column)
 
 
 def new_dates(source: DataFrame, target: DataFrame, column: str = "date") -> DataFrame:
@@ -134,3 +180,123 @@ def cluster(df: DataFrame, *columns: str) -> DataFrame:
     spread = df.withColumns({"_hash": F.xxhash64(*df.columns), "_part": F.spark_partition_id()})
     ranged = spread.repartitionByRange(*columns, "_hash", "_part")
     return ranged.sortWithinPartitions(*columns).drop("_hash", "_part")
+
+
+def _ordinal(df: DataFrame, column: str) -> Column:
+    """A column as a number in the same order: texts by their first seven bytes."""
+    if isinstance(df.schema[column].dataType, T.StringType):
+        head = F.rpad(F.substring(F.col(column).cast("binary"), 1, 7), 7, F.lit(b"\x00"))
+        return F.conv(F.hex(head), 16, 10).cast("bigint")
+    return F.col(column)
+
+
+def _rank(value: Column, bounds: list) -> Column:
+    """How many of the ordered bounds are at most ``value``, by halving."""
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value >= F.lit(bounds[middle]), among(middle + 1, high)).otherwise(among(low, middle))
+    return F.coalesce(among(0, len(bounds)), F.lit(0)).cast("bigint")
+
+
+def _cells(bits: int) -> list[int]:
+    """Place on the Hilbert curve of each cell of a square grid, row by row: four smaller curves, turned so that ends meet."""
+    if bits == 0:
+        return [0]
+    inner, half = _cells(bits - 1), 1 << (bits - 1)
+    size, quarter = 2 * half, half * half
+    out = [0] * (size * size)
+    for x in range(half):
+        for y in range(half):
+            at = inner[x * half + y]
+            out[y * size + x] = at  # mirrored
+            out[x * size + half + y] = quarter + at
+            out[(half + x) * size + half + y] = 2 * quarter + at
+            out[(size - 1 - y) * size + half - 1 - x] = 3 * quarter + at  # mirrored the other way
+    return out
+
+
+def curve(df: DataFrame, first: str, second: str, bits: int = 6) -> Column:
+    """The place of a row on a Hilbert curve through two columns (starts a job).
+
+    Each column is cut into ``2 ** bits`` ranges of about as many rows, found by one aggregate over all of
+    them. Neighbours on the curve are neighbours in the grid, so a stretch of it is narrow in both columns. NULL is in
+    the first range.
+    """
+    steps = [i / (1 << bits) for i in range(1, 1 << bits)]
+    places = {c: _ordinal(df, c) for c in (first, second)}
+    found = df.agg(*[F.percentile_approx(v, F.array(*map(F.lit, steps)), 10_000).alias(c) for c, v in places.items()]).first()
+    one, other = (_rank(places[c], sorted(set(found[c] or []))) for c in (first, second))
+    table = F.split(F.lit(",".join(map(str, _cells(bits)))), ",").cast("array<int>")
+    return table[(one * (1 << bits) + other).cast("int")]
+
+
+def cluster_by_curve(df: DataFrame, first: str, second: str, files: int | None = None, bits: int = 6) -> DataFrame:
+    """Sort rows into files so that a filter on *either* column skips most of them.
+
+    In a plain sort only the first column does. A cell of the curve that holds more rows than a file takes is cut by a
+    hash of the row, then by the input partition, as in :func:`cluster`.
+    """
+    spread = df.withColumns({"_place": curve(df, first, second, bits), "_hash": F.xxhash64(*df.columns), "_part": F.spark_partition_id()})
+    order = ["_place", "_hash", "_part"]
+    ranged = spread.repartitionByRange(files, *order) if files else spread.repartitionByRange(*order)
+    return ranged.sortWithinPartitions("_place", first, second).drop(*order)
+
+
+JOURNAL = "_compaction"
+
+
+def small_files(spark: SparkSession, path: str, limit: int, column: str = "date") -> dict[str, list[str]]:
+    """Files below half of ``limit`` bytes in each day's folder that has two or more of them."""
+    files, where = _folder(spark, path)
+    if not files.exists(where):
+        return {}
+    found = {}
+    for folder in files.listStatus(where):
+        if folder.isDirectory() and folder.getPath().getName().startswith(f"{column}="):
+            small = sorted(str(f.getPath()) for f in files.listStatus(folder.getPath())
+                           if f.isFile() and f.getPath().getName().endswith(".parquet") and f.getLen() < limit // 2)
+            if len(small) > 1:
+                found[folder.getPath().getName()] = small
+    return found
+
+
+def compact_small(spark: SparkSession, path: str, limit: int, column: str = "date") -> dict[str, int]:
+    """Merge the small files of each day of a table where it lies; returns files removed and added.
+
+    Planned from the file listing: files of half the ``limit`` or more are neither read nor renamed, and
+    days with a single small file are left alone. New files are written aside; a journal then says which come and
+    which go, and is applied file by file. A run that died is finished from its journal first, or,
+    if it died before that, leaves a folder that nothing reads. Readers must not list the table in between.
+    """
+    _apply_journal(spark, path)
+    plan = small_files(spark, path, limit, column)
+    if not plan:
+        return {"removed": 0, "added": 0}
+    aside = f"{path}/{JOURNAL}-new"
+    old = [name for names in plan.values() for name in names]
+    rows = spark.read.option("basePath", path).parquet(*old)
+    rows.hint("rebalance", F.col(column)).write.mode("overwrite").partitionBy(column).parquet(aside)
+    files, _ = _folder(spark, path)
+    new = [(str(f.getPath()), f"{path}/{day}/{f.getPath().getName()}") for day in plan
+           for f in files.listStatus(_folder(spark, f"{aside}/{day}")[1]) if f.getPath().getName().endswith(".parquet")]
+    steps = [("add", a, b) for a, b in new] + [("remove", name, "") for name in old]
+    spark.createDataFrame(steps, "step string, file string, target string").coalesce(1).write.mode("overwrite").json(f"{path}/{JOURNAL}")
+    _apply_journal(spark, path)
+    return {"removed": len(old), "added": len(new)}
+
+
+def _apply_journal(spark: SparkSession, path: str) -> None:
+    """Finish what a journal says; each step may have been done already."""
+    files, journal = _folder(spark, f"{path}/{JOURNAL}")
+    if files.exists(_folder(spark, f"{path}/{JOURNAL}/_SUCCESS")[1]):
+        steps = spark.read.schema("step string, file string, target string").json(f"{path}/{JOURNAL}").collect()
+        for row in sorted(steps, key=lambda r: r.step):  # "add" goes first
+            source = _folder(spark, row.file)[1]
+            if row.step == "add" and files.exists(source):
+                files.rename(source, _folder(spark, row.target)[1])
+            elif row.step == "remove":
+                files.delete(source, False)
+    files.delete(journal, True)
+    remove_table(spark, f"{path}/{JOURNAL}-new")

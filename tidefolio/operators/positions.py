@@ -35,20 +35,13 @@ RUNNING = {
 
 def sign(trades: DataFrame) -> DataFrame:
     """Add signed quantity and cost: a buy counts up, anything else (NULL too) down."""
-    is_buy = F.col("tx_type") == BUY
-
-    def signed(column: str) -> Column:
-        return F.when(is_buy, F.col(column)).otherwise(-F.col(column))
-
-    return trades.withColumns({
-        "signed_quantity": signed("quantity"),
-        "signed_cost": signed("total_value"),
-    })
+    return trades.selectExpr("*", *[f"CASE WHEN tx_type = '{BUY}' THEN {amount} ELSE -{amount} END AS {name}" for name, amount in (
+        ("signed_quantity", "quantity"), ("signed_cost", "total_value"))])
 
 
 def daily_delta(signed: DataFrame) -> DataFrame:
     """Net change of each position per day, as split amounts."""
-    sold = F.when(F.col("tx_type") == SELL, F.col("total_value")).otherwise(F.lit(0.0))
+    sold = f"(CASE WHEN tx_type = '{SELL}' THEN total_value ELSE 0D END)"
     return signed.groupBy(*POSITION, "date").agg(
         split_sum("signed_quantity").alias("daily_net_quantity"),
         split_sum("signed_cost").alias("daily_net_cost"),
@@ -58,10 +51,6 @@ def daily_delta(signed: DataFrame) -> DataFrame:
     )
 
 
-def _in_date_order():
-    return Window.partitionBy(*POSITION).orderBy("date")
-
-
 def cumulative(daily: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     """Running totals of each position up to and including each day, as split amounts.
 
@@ -72,7 +61,7 @@ def cumulative(daily: DataFrame, seed: DataFrame | None = None) -> DataFrame:
     rows = daily.withColumn("_opening", F.lit(False))
     if seed is not None:
         rows = rows.unionByName(_opening_rows(seed, daily.columns))
-    up_to_now = _in_date_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up_to_now = f"PARTITION BY {', '.join(POSITION)} ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
     totals = rows.withColumns({
         total: sum_of_splits(change, up_to_now) for total, change in RUNNING.items()
     })
@@ -88,6 +77,12 @@ def _opening_rows(seed: DataFrame, columns: list[str]) -> DataFrame:
         F.lit(True).alias("_opening"))
 
 
+def differing(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Rows of daily figures that only one side has; every column is part of the comparison."""
+    sides = before.withColumn("_side", F.lit(-1)).unionByName(now.withColumn("_side", F.lit(1)))
+    return sides.groupBy(*before.columns).agg(F.sum("_side").alias("_side")).filter("_side <> 0").drop("_side")
+
+
 def in_doubles(totals: DataFrame) -> DataFrame:
     """The running totals as doubles, with the average cost basis."""
     as_double = totals.withColumns({total: to_double(total) for total in RUNNING})

@@ -216,6 +216,34 @@ def cross_table(fact: DataFrame, raw: DataFrame, measures: Mapping[str, tuple[Co
         "fact_total", "raw_total")
 
 
+def fingerprints(rows: DataFrame, column: str = "date") -> DataFrame:
+    """``column, rows, total, mixed`` of each day: number, sum and exclusive or of the rows' hashes.
+
+    Independent of order and of files; partial aggregates leave one row a day and task. A row that
+    changed, is missing or came twice changes the sum; two rows that swapped a value change both.
+    """
+    names = sorted(rows.columns)
+    hashed = rows.select(column, F.xxhash64(*names).alias("_h"), F.xxhash64(F.lit("again"), *names).alias("_g"))
+    return hashed.groupBy(column).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("_h").cast("decimal(20,0)")).alias("total"),
+                                      F.expr("bit_xor(_g)").alias("mixed"))
+
+
+def same_days(fact: DataFrame, derived: DataFrame, fact_name: str, column: str = "date") -> DataFrame:
+    """Whether a fact table is, day by day, what its inputs give now, as one result row with the differing days."""
+    names = sorted(fact.columns)
+    one, other = (fingerprints(df.select(*names), column).select(
+        F.col(column).alias("_day"), F.struct("rows", "total", "mixed").alias(side)) for df, side in ((fact, "a"), (derived, "b")))
+    odd = F.when(~F.col("a").eqNullSafe(F.col("b")), F.col("_day").cast("string"))
+    both = one.join(other, one["_day"].eqNullSafe(other["_day"]), "full_outer").select(
+        F.coalesce(one["_day"], other["_day"]).alias("_day"), "a", "b")
+    found = both.agg(F.count(odd).alias("value"), F.array_join(F.slice(F.sort_array(F.collect_list(odd)), 1, 10), ", ").alias("days"))
+    return found.select(
+        F.lit(f"fingerprint_{fact_name}").alias("check"), F.lit(fact_name).alias("table"),
+        F.when(F.col("value") == 0, PASS).otherwise(FAIL).alias("status"), "value", F.lit(0).cast("bigint").alias("threshold"),
+        F.when(F.col("value") == 0, "All days as derived").otherwise(
+            F.concat(F.lit("Days that differ: "), F.col("value"), F.lit(", first "), F.col("days"))).alias("details"))
+
+
 def stage(rows: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     """Add ``reasons``: the names of the rules a row breaks, empty for a clean row."""
     broken = [F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items()]

@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefolio.functions import tiers
-from tidefolio.functions.amounts import exact_add, exact_sum, exact_sum_over, split_sum, sum_of_splits, to_double
+from tidefolio.functions.amounts import split_sum, sum_of_splits, to_double, with_exact_sum, with_sums_over
 from tidefolio.functions.keys import surrogate_key
 from tidefolio.operators.positions import BUY
 
@@ -21,23 +21,33 @@ CASHBACK, STAKING = "cashback", "staking"
 USER_DAY = ("user_id", "date")
 
 
-def _rounded_sum(amount: Column | str, digits: int) -> Column:
-    return F.round(exact_sum(amount), digits)
+# Daily figures -> kind of reward, what is summed, digits.
+FIGURES = {
+    "cashback_earned": (CASHBACK, "reward_amount", 4), "cashback_spend": (CASHBACK, "spend_amount", 2),
+    "staking_earned": (STAKING, "reward_amount", 6), "staked_value": (STAKING, "spend_amount", 2),
+}
+COUNTS = {"cashback_count": CASHBACK, "staking_count": STAKING}
 
 
-def _per_user_day(rewards: DataFrame, kind: str, earned: str, digits: int, base: str, count: str) -> DataFrame:
-    return rewards.filter(F.col("reward_type") == kind).groupBy(*USER_DAY).agg(
-        _rounded_sum("reward_amount", digits).alias(earned),
-        _rounded_sum("spend_amount", 2).alias(base),
-        F.count("reward_id").alias(count))
+def _rounded(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
+    """The split sums among the columns of ``df`` as rounded doubles."""
+    return df.select(*[to_double(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+
+
+def _per_user_day(rewards: DataFrame, kind: str) -> DataFrame:
+    own = {name: (amount, digits) for name, (k, amount, digits) in FIGURES.items() if k == kind}
+    sums = rewards.filter(F.col("reward_type") == kind).groupBy(*USER_DAY).agg(
+        *[split_sum(amount).alias(name) for name, (amount, _) in own.items()],
+        *[F.count("reward_id").alias(name) for name, k in COUNTS.items() if k == kind])
+    return _rounded(sums, {name: digits for name, (_, digits) in own.items()})
 
 
 def daily_cashback(rewards: DataFrame) -> DataFrame:
-    return _per_user_day(rewards, CASHBACK, "cashback_earned", 4, "cashback_spend", "cashback_count")
+    return _per_user_day(rewards, CASHBACK)
 
 
 def daily_staking(rewards: DataFrame) -> DataFrame:
-    return _per_user_day(rewards, STAKING, "staking_earned", 6, "staked_value", "staking_count")
+    return _per_user_day(rewards, STAKING)
 
 
 def daily_rewards(rewards: DataFrame) -> DataFrame:
@@ -47,48 +57,38 @@ def daily_rewards(rewards: DataFrame) -> DataFrame:
     :func:`daily_staking`, from one scan and one shuffle. Such a join never
     matches NULL keys, so rows without user or date keep their kind in the key.
     """
-    def only(kind: str, column: str) -> Column:
-        return F.when(F.col("reward_type") == kind, F.col(column))
-
-    keyless = F.col("user_id").isNull() | F.col("date").isNull()
-    sums = (
-        rewards.filter(F.col("reward_type").isin(CASHBACK, STAKING))
-        .withColumn("_alone", F.when(keyless, F.col("reward_type")))
-        .groupBy(*USER_DAY, "_alone")
-        .agg(
-            _rounded_sum(only(CASHBACK, "reward_amount"), 4).alias("cashback_earned"),
-            _rounded_sum(only(CASHBACK, "spend_amount"), 2).alias("cashback_spend"),
-            F.count(only(CASHBACK, "reward_id")).alias("cashback_count"),
-            _rounded_sum(only(STAKING, "reward_amount"), 6).alias("staking_earned"),
-            _rounded_sum(only(STAKING, "spend_amount"), 2).alias("staked_value"),
-            F.count(only(STAKING, "reward_id")).alias("staking_count"),
-        )
-        .drop("_alone")
-    )
-    money = ("cashback_earned", "cashback_spend", "staking_earned", "staked_value")
-    total = exact_add(F.col("cashback_earned"), F.col("staking_earned"))
-    return sums.fillna(0.0, subset=list(money)).withColumn("total_reward_value", F.round(total, 4))
+    keyless = "user_id IS NULL OR date IS NULL"
+    own = rewards.filter(F.col("reward_type").isin(CASHBACK, STAKING)).selectExpr(
+        *USER_DAY, f"CASE WHEN {keyless} THEN reward_type END AS _alone",
+        *[f"CASE WHEN reward_type = '{kind}' THEN {amount} END AS {name}" for name, (kind, amount, _) in FIGURES.items()],
+        *[f"CASE WHEN reward_type = '{kind}' THEN reward_id END AS {name}" for name, kind in COUNTS.items()])
+    sums = own.groupBy(*USER_DAY, "_alone").agg(
+        *[split_sum(name).alias(name) for name in FIGURES], *[F.count(name).alias(name) for name in COUNTS]).drop("_alone")
+    daily = _rounded(sums, {name: digits for name, (*_, digits) in FIGURES.items()}).fillna(0.0, subset=list(FIGURES))
+    whole = with_exact_sum(daily, "total_reward_value", "cashback_earned", "staking_earned", 4)
+    return whole.select(*USER_DAY, "cashback_earned", "cashback_spend", "cashback_count", "staking_earned", "staked_value",
+                        "staking_count", "total_reward_value")
 
 
 def daily_buy_spend(trades: DataFrame) -> DataFrame:
-    return trades.filter(F.col("tx_type") == BUY).groupBy(*USER_DAY).agg(
-        _rounded_sum("total_value", 2).alias("daily_buy_spend"))
+    bought = trades.filter(F.col("tx_type") == BUY).groupBy(*USER_DAY).agg(split_sum("total_value").alias("daily_buy_spend"))
+    return _rounded(bought, {"daily_buy_spend": 2})
 
 
-def trailing_days(days: int, keys: tuple[str, ...] = ("user_id",)):
-    """Window over the calendar days ``[d - days, d]`` of each key."""
-    by_day = Window.partitionBy(*keys).orderBy(F.unix_date("date"))
-    return by_day.rangeBetween(-days, Window.currentRow)
+def _running(days: int, keys: tuple[str, ...]) -> tuple[str, str]:
+    """Windows over all days up to this one, and over those more than ``days`` before it."""
+    by_day = f"PARTITION BY {', '.join(keys)} ORDER BY unix_date(date) RANGE BETWEEN UNBOUNDED PRECEDING AND "
+    return by_day + "CURRENT ROW", by_day + f"{days + 1} PRECEDING"
 
 
 def rolling(daily: DataFrame, value: str, name: str, days: int = 30, digits: int = 2,
             keys: tuple[str, ...] = ("user_id",)) -> DataFrame:
-    """Add the sum of ``value`` over the last ``days`` days and the day itself.
+    """Add the sum of ``value``, rounded to 8 digits or fewer, over the last ``days`` days and the day itself.
 
     ``daily`` holds one row per key and day, so a key's window is bounded by the
     calendar and not by its number of events.
     """
-    return daily.withColumn(name, F.round(exact_sum_over(value, trailing_days(days, keys)), digits))
+    return with_sums_over(daily, {name: (value, digits, *_running(days, keys))})
 
 
 def lifetime(daily: DataFrame, value: str, name: str, digits: int = 2,
@@ -98,7 +98,7 @@ def lifetime(daily: DataFrame, value: str, name: str, digits: int = 2,
     What existing reports show under their "30 day" columns: their window key
     is NULL on every row, so all days of a user are peers.
     """
-    return daily.withColumn(name, F.round(exact_sum_over(value, Window.partitionBy(*keys)), digits))
+    return with_sums_over(daily, {name: (value, digits, f"PARTITION BY {', '.join(keys)}", None)})
 
 
 def with_spend(daily: DataFrame, spend: DataFrame) -> DataFrame:
@@ -127,6 +127,7 @@ def upgrade(rows: DataFrame, order: str = "ordinal") -> DataFrame:
     return rows.withColumn("tier_upgrade_eligible", flag)
 
 
+# Columns of the fact table, in order.
 SUMMARY_COLUMNS = (
     "reward_summary_id", "user_id", "user_tier", "country", "date",
     "cashback_earned", "cashback_spend", "cashback_count",
@@ -154,17 +155,18 @@ def summary(rewards: DataFrame, trades: DataFrame, users: DataFrame, days: int =
     stacked = daily_rewards(rewards).withColumn("_reward", F.lit(True)).unionByName(
         daily_buy_spend(trades).filter(keyed), allowMissingColumns=True)
 
-    window, same_day = trailing_days(days), trailing_days(0)
-    bought = F.when(keyed, exact_sum_over("daily_buy_spend", same_day))
-    spent = F.when(keyed, F.round(exact_sum_over("daily_buy_spend", window), 2))
+    now, before = _running(days, ("user_id",))
+    _, until_yesterday = _running(0, ("user_id",))
+    summed = with_sums_over(stacked, {
+        "_bought": ("daily_buy_spend", 2, now, until_yesterday),
+        "_spent": ("daily_buy_spend", 2, now, before),
+        "rolling_30d_rewards": ("total_reward_value", 4, now, before),
+    }).filter(F.col("_reward"))
+    bought, spent = (F.when(keyed, F.col(c)) for c in ("_bought", "_spent"))
     if spend_on == "buy_day":
         spent = F.when(bought.isNotNull(), spent)
-    rows = stacked.select(
-        *[c for c in stacked.columns if c != "daily_buy_spend"],
-        F.coalesce(bought, F.lit(0.0)).alias("daily_buy_spend"),
-        F.coalesce(spent, F.lit(0.0)).alias("rolling_30d_spend"),
-        F.round(exact_sum_over("total_reward_value", window), 4).alias("rolling_30d_rewards"),
-    ).filter(F.col("_reward"))
+    rows = summed.withColumns({"daily_buy_spend": F.coalesce(bought, F.lit(0.0)), "rolling_30d_spend": F.coalesce(spent, F.lit(0.0))}) \
+        .drop("_bought", "_spent")
     facts = upgrade(suggest_tier(with_user(rows, users)), order)
     return facts.withColumn("reward_summary_id", surrogate_key(*USER_DAY)).select(*SUMMARY_COLUMNS)
 
@@ -176,11 +178,10 @@ def by_tier(summary: DataFrame) -> DataFrame:
     """
     per_user = summary.groupBy("user_tier", "user_id").agg(
         split_sum("cashback_earned").alias("cashback"), split_sum("staking_earned").alias("staking"))
-    return per_user.groupBy("user_tier").agg(
-        F.round(to_double(sum_of_splits("cashback")), 2).alias("total_cashback"),
-        F.round(to_double(sum_of_splits("staking")), 2).alias("total_staking"),
-        F.count("user_id").alias("unique_users"),
-    ).orderBy("user_tier")
+    totals = per_user.groupBy("user_tier").agg(
+        sum_of_splits("cashback").alias("total_cashback"), sum_of_splits("staking").alias("total_staking"),
+        F.count("user_id").alias("unique_users"))
+    return _rounded(totals, {"total_cashback": 2, "total_staking": 2}).orderBy("user_tier")
 
 
 def upgrade_eligible_users(summary: DataFrame) -> DataFrame:

@@ -6,18 +6,22 @@ import argparse
 import sys
 from datetime import date
 
+from tidefolio.operators import layout
 from tidefolio.plans import portfolio, quality, realtime, reconciliation, rewards
-from tidefolio.session import session
+from tidefolio.plans.lake import Lake
+from tidefolio.session import TASK_BYTES, session
 
 
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidefolio")
-    parser.add_argument("job", choices=["portfolio", "rewards", "quality", "reconciliation", "realtime"])
+    parser.add_argument("job", choices=["portfolio", "rewards", "quality", "reconciliation", "realtime", "compact"])
     parser.add_argument("--base", required=True, help="folder with raw/, warehouse/ and so on")
     parser.add_argument("--incremental", action="store_true", help="portfolio: new days only")
     parser.add_argument("--since", help="first day to compute again")
     parser.add_argument("--realtime-log", help="reconciliation: log of position changes, if not the lake's own")
     parser.add_argument("--as-of", help="quality: day on which tables should be fresh (default: today)")
+    parser.add_argument("--derive", action="store_true", help="quality: derive both fact tables again and compare every row")
+    parser.add_argument("--limit", type=int, default=TASK_BYTES, help="compact: size in bytes that files should have")
     parser.add_argument("--every", help="realtime: keep running, with this trigger interval")
     given = parser.parse_args(arguments)
     spark = session(f"tidefolio {given.job}")
@@ -27,7 +31,10 @@ def main(arguments: list[str] | None = None) -> int:
         elif given.job == "rewards":
             print(rewards.run(spark, given.base, since=given.since))
         elif given.job == "quality":
-            print(quality.run(spark, given.base, as_of=given.as_of or str(date.today())))
+            print(quality.run(spark, given.base, as_of=given.as_of or str(date.today()), derive=given.derive))
+        elif given.job == "compact":
+            for path in Lake(given.base).dated_tables():
+                print(path, layout.compact_small(spark, path, given.limit))
         elif given.job == "realtime":
             realtime.run(spark, given.base, given.every)
             if given.every:

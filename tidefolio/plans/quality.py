@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidefolio.functions.amounts import exact_sum
-from tidefolio.operators import quality
+from tidefolio.operators import positions, quality, rewards
+from tidefolio.plans import portfolio, staging
 from tidefolio.plans.lake import Lake
 from tidefolio.sources.tables import scan_if_present, why_not
+from tidefolio.storage import written
 
 DATED = ("fact_portfolio_daily", "fact_reward_daily", "raw_transactions", "raw_prices", "raw_rewards")
 
@@ -25,9 +28,9 @@ def reward_measures() -> dict[str, tuple[Column, Column]]:
         return F.when(F.col("reward_type") == kind, F.col(column))
 
     return {
-        "cashback_earned": (exact_sum("cashback_earned"), exact_sum(only("cashback", "reward_amount"))),
+        "cashback_earned": (exact_sum("cashback_earned"), exact_sum("CASE WHEN reward_type = 'cashback' THEN reward_amount END")),
         "cashback_count": (F.sum("cashback_count"), F.count(only("cashback", "reward_id"))),
-        "staking_earned": (exact_sum("staking_earned"), exact_sum(only("staking", "reward_amount"))),
+        "staking_earned": (exact_sum("staking_earned"), exact_sum("CASE WHEN reward_type = 'staking' THEN reward_amount END")),
         "staking_count": (F.sum("staking_count"), F.count(only("staking", "reward_id"))),
     }
 
@@ -43,10 +46,25 @@ def _consistency(tables: dict[str, DataFrame | None]) -> DataFrame | None:
     return found.select("check", "table", "status", none.alias("value"), none.alias("threshold"), gap.alias("details"))
 
 
+def _derived(spark: SparkSession, lake: Lake, tables: dict[str, DataFrame | None]) -> DataFrame | None:
+    """Fingerprints of both fact tables against the same rows derived from the staged events again, as result rows."""
+    found = []
+    if tables["fact_portfolio_daily"] is not None:
+        again = positions.snapshot(staging.rows(spark, lake, "transactions"), written(portfolio.daily_prices(spark, lake), "prices"))
+        found.append(quality.same_days(tables["fact_portfolio_daily"], again, "fact_portfolio_daily"))
+    if tables["fact_reward_daily"] is not None and tables["dim_user"] is not None:
+        again = rewards.summary(staging.rows(spark, lake, "rewards"), staging.rows(spark, lake, "transactions"), tables["dim_user"])
+        found.append(quality.same_days(tables["fact_reward_daily"], again, "fact_reward_daily"))
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
 def run(spark: SparkSession, base: str, run_name: str | None = None, as_of: str | None = None,
-        max_age_days: int = 1, **bounds) -> dict:
+        max_age_days: int = 1, derive: bool = False, **bounds) -> dict:
     """Write ``checks``, ``summary`` and ``not_loaded`` as JSON; raise if a check failed.
 
+    With ``derive`` both fact tables are derived from the staged events again and compared with what is stored,
+    every row and column of every day: as dear as a full run.
+
     ``as_of`` adds the age of each dated table on that day. Tables that cannot be opened fail
     their checks, and their reasons are in ``not_loaded``. The checks run once: the summary
     reads the rows just written.
@@ -61,6 +79,9 @@ def run(spark: SparkSession, base: str, run_name: str | None = None, as_of: str
     consistency = _consistency(tables)
     if consistency is not None:
         results = results.unionByName(consistency)
+    derived = _derived(spark, lake, tables) if derive else None
+    if derived is not None:
+        results = results.unionByName(derived)
     if as_of is not None:
         results = results.unionByName(quality.freshness(spark, {t: tables[t] for t in DATED}, as_of, max_age_days))
     results.coalesce(1).write.mode("overwrite").json(f"{folder}/checks")

@@ -40,6 +40,7 @@ def views(ticks: DataFrame, trades: DataFrame) -> tuple[dict[str, DataFrame], di
         "ohlcv_1m": windows.ohlcv(ticks, "1 minute"),
         "ohlcv_5m": windows.ohlcv(ticks, "5 minutes"),
         "reward_tier": tiers.reward_tier(of_type(soon, "tx_type", positions.BUY)),
+        "reward_tier_now": tiers.reward_tier_now(of_type(soon, "tx_type", positions.BUY)),
     }
     return appended, {
         "ohlcv_1m_updates": windows.ohlcv(ticks, "1 minute"),
@@ -55,6 +56,11 @@ def portfolio_pnl(spark: SparkSession, base: str) -> DataFrame:
     return live_pnl.valued(live_pnl.positions_of(read(lake.realtime("position_changes"))), read(lake.realtime("quotes")))
 
 
+def tiers_now(spark: SparkSession, base: str) -> DataFrame:
+    """Every user's rolling spend and tier now, those who went quiet included."""
+    return tiers.current(spark.read.parquet(Lake(base).realtime("reward_tier_now")))
+
+
 def run(spark: SparkSession, base: str, every: str | None = None) -> list[StreamingQuery]:
     """Land what came in, then bring the views up to date.
 

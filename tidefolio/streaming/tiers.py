@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidefolio.functions import amounts, tiers
 from tidefolio.functions.amounts import exact_sum
+from tidefolio.operators.serving import latest_view
 from tidefolio.streaming.windows import LATENESS, watermarked
 
 
@@ -57,13 +58,16 @@ def _day_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield sums[rows.columns]
 
 
-def _follow(days: int):
+def _follow(days: int, remembered: int):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         known, today, version = {}, None, 0
         if state.exists:
             held, *sums, today, version = state.get
             known = dict(zip(held, zip(*sums)))
         if state.hasTimedOut:
+            if not known:  # nothing for so long that a new start is on a later date in any case
+                state.remove()
+                return
             today = state.getCurrentWatermarkMs() // DAY_MS
         else:
             for rows in batches:
@@ -74,35 +78,42 @@ def _follow(days: int):
         known = {d: a for d, a in known.items() if d >= today - days}
         total = [sum(a[i] for a in known.values()) for i in range(len(PARTS))]
         version += 1
-        if known:
-            order = sorted(known)
-            state.update((order, *([known[d][i] for d in order] for i in range(len(PARTS))), today, version))
-            falls = (order[0] + days + 1) * DAY_MS  # the first moment at which the oldest day no longer counts
-            state.setTimeoutTimestamp(max(falls, state.getCurrentWatermarkMs() + 1))
-        else:
-            state.remove()
+        order = sorted(known)
+        state.update((order, *([known[d][i] for d in order] for i in range(len(PARTS))), today, version))
+        # the first moment at which the oldest day no longer counts, or at which the mere version may go
+        until = (order[0] + days + 1) * DAY_MS if known else (today + days + remembered) * DAY_MS
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "day": [today], **{p: [v] for p, v in zip(PARTS, total)}, "version": [version]})
 
     return step
 
 
 def reward_tier_now(spend: DataFrame, days: int = 30, delay: str = LATENESS,
-                    ladder: Mapping[str, float] = tiers.LADDER, time: str = "ts") -> DataFrame:
+                    ladder: Mapping[str, float] = tiers.LADDER, time: str = "ts", remembered: int = 365) -> DataFrame:
     """Rolling spend and tier of a user today: a row for each micro-batch with purchases, and when spend falls out.
 
     State is at most ``days + 1`` day sums per user; a timer in event time gives the row of a
-    user who went quiet, and removes the state when nothing counts any more. The newest
-    ``version`` of a user wins; a user whose state was removed starts again at 1, on a later date.
+    user who went quiet. When nothing counts any more, date and version alone stay for another
+    ``remembered`` days, so that a returning user's rows follow the earlier ones. The newest row of a
+    user by (date, version) wins, see :func:`current`. Purchases of an Arrow batch are summed
+    before the shuffle, unless the stream has a watermark from an operator before, which would be lost there.
     """
+    marked = "spark.watermarkDelayMs" in spend.schema[time].metadata
     rows = spend.select("user_id", F.unix_date(F.to_date(time)).alias("day"),
-                        *[p.alias(n) for p, n in zip(amounts.parts(F.col("total_value").cast("double")), PARTS)],
-                        F.col(time).cast("timestamp").alias("ts")).filter(F.col("whole").isNotNull() & F.col("ts").isNotNull())
-    reduced = rows.mapInPandas(_day_sums, rows.schema).withWatermark("ts", delay)
+                        *[F.expr(p).alias(n) for p, n in zip(amounts.parts("total_value"), PARTS)],
+                        (F.col(time) if marked else F.col(time).cast("timestamp")).alias("ts")).filter(
+        F.col("whole").isNotNull() & F.col("ts").isNotNull())
+    reduced = rows if marked else rows.mapInPandas(_day_sums, rows.schema).withWatermark("ts", delay)
     user = spend.schema["user_id"].dataType.simpleString()
     sums = ", ".join(f"{p} bigint" for p in PARTS)
     state = "days array<int>, " + ", ".join(f"{p} array<bigint>" for p in PARTS) + ", today int, version bigint"
     out = reduced.groupBy("user_id").applyInPandasWithState(
-        _follow(days), f"user_id {user}, day int, {sums}, version bigint", state, "append", "EventTimeTimeout")
-    spent = F.round(amounts.to_double(amounts.split(*map(F.col, PARTS))), 2)
+        _follow(days, remembered), f"user_id {user}, day int, {sums}, version bigint", state, "append", "EventTimeTimeout")
+    spent = amounts.to_double(f"named_struct({', '.join(f"'{p}', {p}" for p in PARTS)})", 2)
     return out.select("user_id", F.date_from_unix_date("day").alias("date"), spent.alias("rolling_spend"), "version").withColumn(
         "tier", tiers.suggested_tier(F.col("rolling_spend"), ladder))
+
+
+def current(log: DataFrame) -> DataFrame:
+    """Each user's tier now, from the rows of :func:`reward_tier_now`."""
+    return latest_view(log, ["user_id"], ["date", "version"])
