@@ -160,7 +160,7 @@ def test_a_compaction_that_died_is_finished(spark, monkeypatch):
     for i in range(3):
         spark.range(20).select((F.col("id") + 20 * i).alias("x"), F.lit("2024-01-01").cast("date").alias("date")).coalesce(1) \
             .write.mode("append").partitionBy("date").parquet(path)
-    apply, calls = layout._apply_journal, []
+    apply, calls = layout.finish, []
 
     def once(*given):
         calls.append(given)
@@ -168,7 +168,7 @@ def test_a_compaction_that_died_is_finished(spark, monkeypatch):
             raise RuntimeError("lost")
         apply(*given)
     with monkeypatch.context() as patch:
-        patch.setattr(layout, "_apply_journal", once)
+        patch.setattr(layout, "finish", once)
         with pytest.raises(RuntimeError):
             layout.compact_small(spark, path, 10 ** 6)
     assert layout.compact_small(spark, path, 10 ** 6) == {"removed": 0, "added": 0}

@@ -223,3 +223,44 @@ def test_correlation_of_pegged_prices(spark):
                                 for i, c in enumerate(cs)], "symbol string, date date, close double")
     a, b = (np.diff(c) / c[:-1] for c in closes.values())
     assert market.asset_correlation(df).first()["correlation"] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-3)
+
+
+def test_a_user_who_returns_after_a_pause_has_the_new_tier(spark):
+    batches = [spend(spark, ("a", "2024-01-01 10:00:00", 300)), spend(spark, ("b", "2024-02-20 10:00:00", 1)),
+               spend(spark, ("b", "2024-02-25 10:00:00", 1)), spend(spark, ("a", "2024-03-01 10:00:00", 60000))]
+    log = sinks.replayed(batches, tiers.reward_tier_now, "tiers")
+    a = [(r["version"], r["rolling_spend"]) for r in rows(log.filter("user_id = 'a'"), "version")]
+    assert a[0] == (1, 300.0) and a[1] == (2, 0.0) and a[-1] == (len(a), 60000.0)
+    now = {r["user_id"]: (str(r["date"]), r["rolling_spend"], r["tier"]) for r in rows(tiers.current(log))}
+    assert now["a"] == ("2024-03-01", 60000.0, "diamond")
+
+
+def test_a_folded_log_shows_the_same_view(spark):
+    """Folded between arrivals, with a version that is not finished yet; the stream goes on as if nothing had been."""
+    from tidefolio.operators import layout, serving
+    from tidefolio.sources.streams import stream
+    path = new_path(spark, "fold")
+    schema = "user_id string, kind string, n long"
+
+    def arrive(*given):
+        spark.createDataFrame(given, schema).write.mode("append").parquet(f"{path}/in")
+        counted = stream(spark, f"{path}/in", spark.createDataFrame([], schema).schema).groupBy("user_id").agg(
+            F.sum("n").alias("n"), F.max("kind").alias("kind"))
+        sinks.land_changes(counted, f"{path}/log", f"{path}/checkpoint").awaitTermination()
+
+    def view():
+        log = spark.read.parquet(f"{path}/log")
+        return sorted((r["user_id"], r["n"], r["kind"]) for r in rows(serving.latest_view(log, ["user_id"], ["version"])))
+    for i in range(3):
+        arrive(*[(f"u{k}", "x", 1 + i) for k in range(4 + i)])
+    before = view()
+    spark.createDataFrame([("u0", 999, "z")], "user_id string, n long, kind string").write.parquet(f"{path}/log/version=7")  # not committed
+    assert sinks.fold(spark, f"{path}/log", f"{path}/checkpoint", ["user_id"]) == {"versions": 3, "rows": 6}
+    assert layout.stored_days(spark, f"{path}/log", "version") == ["2", "7"]
+    assert [r for r in view() if r[0] != "u0"] == [r for r in before if r[0] != "u0"] and ("u0", 999, "z") in view()
+    layout.remove_days(spark, f"{path}/log", ["7"], "version")
+    assert view() == before and spark.read.parquet(f"{path}/log").count() == 6
+    arrive(("u0", "y", 10), ("new", "x", 1))
+    assert view() == sorted([("u0", 16, "y"), ("new", 1, "x"), *before[1:]])
+    assert sinks.fold(spark, f"{path}/log", f"{path}/checkpoint", ["user_id"])["rows"] == 7
+    assert sinks.fold(spark, f"{path}/log", f"{path}/checkpoint", ["user_id"]) == {"versions": 0, "rows": 0}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,8 +37,8 @@ def last_of_each(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFra
 
     Hash aggregates only. Columns of fixed width (and structs of such) are carried
     through the aggregate. If there are others, as texts, the aggregate finds the
-    largest order of each key and the rows are joined back to it; then rows of a key
-    that are equal in ``order`` all stay.
+    largest order of each key and the rows are joined back to it; of rows of a key
+    that are equal in ``order`` the one with the least hash stays.
     """
     others = [f for f in rows.schema.fields if f.name not in keys]
     if all(_in_place(f.dataType) for f in others):
@@ -55,4 +55,6 @@ def last_of_each(rows: DataFrame, keys: Sequence[str], order: Column) -> DataFra
     same = (F.col("r._order") == F.col("t._top"))
     for k in keys:
         same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}"))
-    return ordered.alias("r").join(top.alias("t"), same).select(*[F.col(f"r.{c}") for c in rows.columns])
+    last = ordered.alias("r").join(top.alias("t"), same).select(*[F.col(f"r.{c}") for c in rows.columns])
+    ties = Window.partitionBy(*keys).orderBy(F.xxhash64(*rows.columns))
+    return last.withColumn("_tie", F.row_number().over(ties)).filter("_tie = 1").drop("_tie")

@@ -270,7 +270,7 @@ def compact_small(spark: SparkSession, path: str, limit: int, column: str = "dat
     which go, and is applied file by file. A run that died is finished from its journal first, or,
     if it died before that, leaves a folder that nothing reads. Readers must not list the table in between.
     """
-    _apply_journal(spark, path)
+    finish(spark, path)
     plan = small_files(spark, path, limit, column)
     if not plan:
         return {"removed": 0, "added": 0}
@@ -281,13 +281,24 @@ def compact_small(spark: SparkSession, path: str, limit: int, column: str = "dat
     files, _ = _folder(spark, path)
     new = [(str(f.getPath()), f"{path}/{day}/{f.getPath().getName()}") for day in plan
            for f in files.listStatus(_folder(spark, f"{aside}/{day}")[1]) if f.getPath().getName().endswith(".parquet")]
+    replace_files(spark, path, new, old)
+    return {"removed": len(old), "added": len(new)}
+
+
+def files_of(spark: SparkSession, folder: str) -> list[str]:
+    """Parquet files right in a folder."""
+    files, where = _folder(spark, folder)
+    return sorted(str(f.getPath()) for f in files.listStatus(where) if f.getPath().getName().endswith(".parquet")) if files.exists(where) else []
+
+
+def replace_files(spark: SparkSession, path: str, new: list[tuple[str, str]], old: list[str]) -> None:
+    """Move new files to their targets, then remove old ones, by a journal in ``path`` that a later call finishes."""
     steps = [("add", a, b) for a, b in new] + [("remove", name, "") for name in old]
     spark.createDataFrame(steps, "step string, file string, target string").coalesce(1).write.mode("overwrite").json(f"{path}/{JOURNAL}")
-    _apply_journal(spark, path)
-    return {"removed": len(old), "added": len(new)}
+    finish(spark, path)
 
 
-def _apply_journal(spark: SparkSession, path: str) -> None:
+def finish(spark: SparkSession, path: str) -> None:
     """Finish what a journal says; each step may have been done already."""
     files, journal = _folder(spark, f"{path}/{JOURNAL}")
     if files.exists(_folder(spark, f"{path}/{JOURNAL}/_SUCCESS")[1]):

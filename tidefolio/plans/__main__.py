@@ -14,7 +14,7 @@ from tidefolio.session import TASK_BYTES, session
 
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidefolio")
-    parser.add_argument("job", choices=["portfolio", "rewards", "quality", "reconciliation", "realtime", "compact"])
+    parser.add_argument("job", choices=["portfolio", "rewards", "quality", "reconciliation", "realtime", "compact", "fold"])
     parser.add_argument("--base", required=True, help="folder with raw/, warehouse/ and so on")
     parser.add_argument("--incremental", action="store_true", help="portfolio: new days only")
     parser.add_argument("--since", help="first day to compute again")
@@ -32,6 +32,8 @@ def main(arguments: list[str] | None = None) -> int:
             print(rewards.run(spark, given.base, since=given.since))
         elif given.job == "quality":
             print(quality.run(spark, given.base, as_of=given.as_of or str(date.today()), derive=given.derive))
+        elif given.job == "fold":
+            print(realtime.fold(spark, given.base))
         elif given.job == "compact":
             for path in Lake(given.base).dated_tables():
                 print(path, layout.compact_small(spark, path, given.limit))

@@ -61,6 +61,16 @@ def tiers_now(spark: SparkSession, base: str) -> DataFrame:
     return tiers.current(spark.read.parquet(Lake(base).realtime("reward_tier_now")))
 
 
+# Change log -> the keys of its rows.
+LOGS = {"ohlcv_1m_updates": ("symbol", "window_start"), "position_changes": ("user_id", "symbol", "date"), "quotes": ("symbol",)}
+
+
+def fold(spark: SparkSession, base: str) -> dict[str, dict[str, int]]:
+    """Fold the logs of changes, while no stream of theirs runs or while it does: unfinished versions are left alone."""
+    lake = Lake(base)
+    return {name: sinks.fold(spark, lake.realtime(name), lake.checkpoint(name), keys) for name, keys in LOGS.items()}
+
+
 def run(spark: SparkSession, base: str, every: str | None = None) -> list[StreamingQuery]:
     """Land what came in, then bring the views up to date.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tidefolio.operators import layout
+from tidefolio.operators.keysets import last_of_each
 from tidefolio.sources.streams import stream
 from tidefolio.storage import new_path
 
@@ -48,6 +50,38 @@ def changes(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.schema(schema).parquet(path)
 
 
+def committed(spark: SparkSession, checkpoint: str) -> int | None:
+    """The last micro-batch that a stream has finished, from its checkpoint."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint}/commits")
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+    return max((int(n) for n in names if n.isdigit()), default=None)
+
+
+def fold(spark: SparkSession, path: str, checkpoint: str, keys: Sequence[str]) -> dict[str, int]:
+    """Fold the finished versions of a change log into the last of them, one row a key; returns versions folded and rows left.
+
+    The newest row of each key carries the number of the last finished batch afterwards, which later versions
+    exceed as before, so readers need not know. New files come before old ones go: in between a key's newest row is there
+    twice, which a view of the newest row does not show. The log is then as long as its keys, and what came since. Readers that
+    listed the old files must list again.
+    """
+    layout.finish(spark, path)
+    last = committed(spark, checkpoint)
+    versions = sorted(int(v) for v in layout.stored_days(spark, path, "version") if last is not None and int(v) <= last)
+    if len(versions) < 2:
+        return {"versions": 0, "rows": 0}
+    folders = [f"{path}/version={v}" for v in versions]
+    rows = spark.read.option("basePath", path).parquet(*folders)
+    aside = f"{path}/{layout.JOURNAL}-new"
+    last_of_each(rows, keys, F.col("version").cast("bigint")).drop("version").write.mode("overwrite").parquet(aside)
+    left = spark.read.parquet(aside).count()
+    new = [(name, f"{folders[-1]}/folded-{name.rpartition('/')[2]}") for name in layout.files_of(spark, aside)]
+    layout.replace_files(spark, path, new, [name for folder in folders for name in layout.files_of(spark, folder)])
+    layout.remove_days(spark, path, [str(v) for v in versions[:-1]], "version")
+    return {"versions": len(versions), "rows": left}
+
+
 def drained(rows: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Run a stream over all available input and return the table it wrote."""
     path = new_path(rows.sparkSession, label)
