@@ -231,6 +231,17 @@ def asset_correlation(t: TestTables) -> DataFrame:
     return pairs.withColumn("correlation", F.round("correlation", 6))
 
 
+@query
+def correlation_by_runs(t: TestTables) -> DataFrame:
+    """The same from stored co-moments, which the last two years join later."""
+    path, prices = new_path(t.spark, "moments"), written(t.prices(), "prices")
+    last = prices.agg(F.max("date")).first()[0]
+    since = f"{last.year - 1}-01-01"
+    market.grow_moments(prices.filter(F.col("date") < F.lit(since).cast("date")), path, blocks=2)
+    grown = market.correlation_of(market.grow_moments(prices, path, since, blocks=2))
+    return grown.withColumn("correlation", F.round("correlation", 6))
+
+
 @query
 def ohlcv_batch(t: TestTables) -> DataFrame:
     return market.candles(t.ticks(), "5 minutes")
