@@ -264,3 +264,24 @@ def test_a_folded_log_shows_the_same_view(spark):
     assert view() == sorted([("u0", 16, "y"), ("new", 1, "x"), *before[1:]])
     assert sinks.fold(spark, f"{path}/log", f"{path}/checkpoint", ["user_id"])["rows"] == 7
     assert sinks.fold(spark, f"{path}/log", f"{path}/checkpoint", ["user_id"]) == {"versions": 0, "rows": 0}
+
+
+def test_views_are_published_on_demand(spark, monkeypatch):
+    from tidefolio.plans import realtime
+    from tidefolio.plans.lake import Lake
+
+    class Done:
+        def awaitTermination(self):
+            pass
+    sent, lake = [], Lake(new_path(spark, "publish"))
+    for table in ("ticks", "transactions"):
+        spark.createDataFrame([], f"{realtime.INCOMING[table][0]}, date date").write.parquet(lake.raw(table))
+    monkeypatch.setattr(realtime, "_landing", lambda *given: [])
+    for name in ("land", "land_changes"):
+        monkeypatch.setattr(sinks, name, lambda *given, **named: Done())
+    monkeypatch.setattr(sinks, "publish", lambda rows, *given: sent.append((rows.isStreaming, *given)) or Done())
+    realtime.run(spark, lake.base)
+    assert sent == []
+    realtime.run(spark, lake.base, servers="broker:9092")
+    assert [(s[0], s[1], s[2], s[3]) for s in sent] == [(True, key, "broker:9092", name) for name, key in realtime.PUBLISHED.items()]
+    assert len({s[4] for s in sent}) == 3

@@ -584,3 +584,4 @@ ORACLES["fingerprint_check"] = sql("cashback", """
            count(DISTINCT date) FILTER (WHERE user_id = (SELECT min(user_id) FROM cashback)) AS value FROM cashback""")
 ORACLES["trades_once"] = sql("transactions", "SELECT * EXCLUDE (tx_id) FROM (SELECT DISTINCT * FROM transactions)")
 ORACLES["correlation_by_runs"] = ORACLES["asset_correlation"]
+ORACLES["messages_of_candles"] = f"SELECT symbol AS key, * FROM ({ORACLES['ohlcv_batch']})"

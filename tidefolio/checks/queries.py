@@ -587,6 +587,14 @@ def reconciliation(t: TestTables) -> DataFrame:
     return serving.reconcile(batch, realtime, keys, "total_value")
 
 
+@query
+def messages_of_candles(t: TestTables) -> DataFrame:
+    """Candlesticks as messages, read back."""
+    bars = market.candles(t.ticks(), "5 minutes")
+    sent = sinks.to_messages(bars, "symbol")
+    return sent.select("key", F.from_json("value", bars.schema).alias("v")).select("key", "v.*")
+
+
 @query
 def latest_view_upsert(t: TestTables) -> DataFrame:
     changes = t.stream("events").select("user_id", "event_id", "event_type", "value", "ts")

@@ -20,6 +20,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--since", help="first day to compute again")
     parser.add_argument("--realtime-log", help="reconciliation: log of position changes, if not the lake's own")
     parser.add_argument("--as-of", help="quality: day on which tables should be fresh (default: today)")
+    parser.add_argument("--publish-to", help="realtime: Kafka servers that get the views that append")
     parser.add_argument("--derive", action="store_true", help="quality: derive both fact tables again and compare every row")
     parser.add_argument("--limit", type=int, default=TASK_BYTES, help="compact: size in bytes that files should have")
     parser.add_argument("--every", help="realtime: keep running, with this trigger interval")
@@ -38,7 +39,7 @@ def main(arguments: list[str] | None = None) -> int:
             for path in Lake(given.base).dated_tables():
                 print(path, layout.compact_small(spark, path, given.limit))
         elif given.job == "realtime":
-            realtime.run(spark, given.base, given.every)
+            realtime.run(spark, given.base, given.every, given.publish_to)
             if given.every:
                 spark.streams.awaitAnyTermination()
         else:

@@ -71,9 +71,15 @@ def fold(spark: SparkSession, base: str) -> dict[str, dict[str, int]]:
     return {name: sinks.fold(spark, lake.realtime(name), lake.checkpoint(name), keys) for name, keys in LOGS.items()}
 
 
-def run(spark: SparkSession, base: str, every: str | None = None) -> list[StreamingQuery]:
+# View -> the column that keys its messages.
+PUBLISHED = {"ohlcv_1m": "symbol", "ohlcv_5m": "symbol", "reward_tier": "user_id"}
+
+
+def run(spark: SparkSession, base: str, every: str | None = None, servers: str | None = None) -> list[StreamingQuery]:
     """Land what came in, then bring the views up to date.
 
+    With ``servers`` the views that append are also sent to Kafka, each to the topic of its name.
+
     Without ``every`` each stream stops when it has used up its input. With it,
     for example ``"60 seconds"``, all keep running and are returned.
     """
@@ -86,6 +92,9 @@ def run(spark: SparkSession, base: str, every: str | None = None) -> list[Stream
                 for name, rows in appended.items()]
     running += [sinks.land_changes(rows, lake.realtime(name), lake.checkpoint(name), every)
                 for name, rows in changed.items()]
+    if servers is not None:
+        running += [sinks.publish(appended[name], key, servers, name, lake.checkpoint(f"published_{name}"), every)
+                    for name, key in PUBLISHED.items()]
     if every is None:
         _finish(running)
     return running

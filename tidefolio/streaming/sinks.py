@@ -113,8 +113,11 @@ def to_messages(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*rows.columns)).alias("value"))
 
 
-def publish(rows: DataFrame, key: str, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
-    """Send a stream to a Kafka topic (needs the Kafka connector on the class path)."""
-    return (to_messages(rows, key).writeStream.format("kafka")
-            .option("kafka.bootstrap.servers", servers).option("topic", topic)
-            .option("checkpointLocation", checkpoint).start())
+def publish(rows: DataFrame, key: str, servers: str, topic: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Send a stream to a Kafka topic (needs the Kafka connector on the class path).
+
+    Runs until the available input is used up, or each ``every`` for good.
+    """
+    writer = (to_messages(rows, key).writeStream.format("kafka")
+              .option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint))
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
