@@ -67,6 +67,28 @@ def test_minhash_dedup_equals_comparing_all_pairs(spark):
     assert all(r.kept == (r.class_id == i) and r.class_size == want.count(r.class_id) for i, r in got.items())
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_texts_that_share_an_id_are_judged_by_themselves(spark, turned):
+    """Ids 5 and 5: one text is near that of 3, the other near that of 7; neither order of rows mixes them up."""
+    near = lambda text: " ".join([*text.split()[:-1], "other"])
+    a, b, c = prose(1, 120), prose(2, 120), prose(3, 120)
+    rows = [(3, a), (5, near(a)), (5, b), (7, near(b)), (5, c), (9, c)]
+    rows = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text_sha256): (r.class_id, r.class_size, r.kept) for r in minhash_dedup.near_duplicates(rows).collect()}
+    assert got == {(3, sha(a)): (3, 2, True), (5, sha(near(a))): (3, 2, False), (5, sha(b)): (5, 2, True), (7, sha(near(b))): (5, 2, False),
+                   (5, sha(c)): (5, 2, True), (9, sha(c)): (5, 2, False)}
+
+
+def test_very_long_near_copies_are_compared_in_bounded_memory(spark):
+    long = prose(4, 150_000)
+    rows = spark.createDataFrame([(i, long + f" end {i}") for i in range(6)] + [(9, prose(8, 150_000))], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.class_id for r in minhash_dedup.near_duplicates(rows, tile_rows=2).collect()} == {**dict.fromkeys(range(6), 0), 9: 9}
+    held = minhash_dedup.Bags(5, most=200_000)
+    for i in range(4):
+        held.of(i, long)
+    assert len(held.known) == 1 and minhash_dedup.likeness(held.of(3, long), held.of(3, long)) == 1.0
+
+
 def test_buckets_with_several_classes_are_compared_across(spark):
     """A chain: neighbours are near, the ends are not, and the smallest id is at one end."""
     words = prose(5, 200).split()

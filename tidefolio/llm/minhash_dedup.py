@@ -19,8 +19,8 @@ are verified on the bags themselves; no group is emitted as pairs.
 
 Defined results: null counts as empty text; texts without words are near-duplicates of
 equal texts only; 1 to 4 words are one shingle. Rows with a null id belong to no class
-(class null, kept). Rows that share an id count as one document. Other columns are ignored;
-an empty table gives no rows.
+(class null, kept). Rows that share an id are judged by their own texts, each in the class of its text,
+whose id is the smallest of its rows. Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ from tidefolio.llm.words import mix, shingle_hashes, slices, text_bytes, word_ha
 
 SIZE, ROWS = 128, 4
 SHINGLE, SIMILARITY = 5, 0.8
+TILE_BYTES = 32 << 20  # text of one side of a tile
 
 
 def bags(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,21 +144,28 @@ def overlap(a: Counter, b: Counter) -> float:
 
 
 class Bags:
-    """The bags of the texts seen last."""
+    """The bags of the texts seen last, as sorted elements; at most ``most`` of them in all, beside one text."""
 
-    def __init__(self, size: int, keep: int = 64):
-        self.size, self.keep, self.known = size, keep, OrderedDict()
+    def __init__(self, size: int, most: int = 8_000_000):
+        self.size, self.most, self.held, self.known = size, most, 0, OrderedDict()
 
-    def of(self, key: int, text: str) -> Counter:
+    def of(self, key: int, text: str) -> np.ndarray:
         if key in self.known:
             self.known.move_to_end(key)
         else:
-            self.known[key] = bag(text, self.size)
-            if len(self.known) > self.keep:
-                self.known.popitem(last=False)
+            self.known[key] = np.sort(elements(pa.array([text], pa.large_string()), self.size)[0])
+            self.held += len(self.known[key])
+            while self.held > self.most and len(self.known) > 1:
+                self.held -= len(self.known.popitem(last=False)[1])
         return self.known[key]
 
 
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two bags given as elements."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
 def elements(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """Each bag as a set: the k-th occurrence of a shingle is an element of its own."""
     shingles, counts, text = bags(texts, size)
@@ -213,14 +222,16 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
                 buckets = bands(times)
                 lists = pa.array([list(b) if w else [] for b, w in zip(buckets.tolist(), words)], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), lists, pa.array([r.tobytes() for r in short(times)], pa.binary())],
-                    names=["id", "sha", "bands", "sig"])
+                    [batch.column(0), batch.column(1), lists, pa.array([r.tobytes() for r in short(times)], pa.binary()),
+                     pc.cast(pc.binary_length(batch.column(2)), pa.int64())],
+                    names=["id", "sha", "bands", "sig", "n_bytes"])
 
     signed = stored(docs.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
-                    .mapInArrow(sign, "id long, sha string, bands array<long>, sig binary"), "signed")
-    reps = signed.groupBy("sha").agg(F.min("id").alias("rep"))
-    chosen = stored(signed.join(reps, (signed["sha"] == reps["sha"]) & (signed["id"] == reps["rep"]))
-                    .select("id", "bands", "sig").dropDuplicates(["id"]), "chosen")
+                    .mapInArrow(sign, "id long, sha string, bands array<long>, sig binary, n_bytes long"), "signed")
+    # from here on the node of a text, not its id: two texts may share one
+    reps = stored(signed.groupBy("sha").agg(F.min("id").alias("rep")).withColumn("node", F.monotonically_increasing_id()), "reps")
+    chosen = stored(signed.join(reps, (signed["sha"] == reps["sha"]) & (signed["id"] == reps["rep"])).select(
+        F.col("node").alias("id"), reps["sha"], "rep", "bands", "sig", "n_bytes").dropDuplicates(["id"]), "chosen")
 
     keys = chosen.select("id", F.explode("bands").alias("bucket"))
     buckets = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).filter("n > 1")
@@ -228,7 +239,9 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
     first = stored(members.filter("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(),
                    "pivots")
     concerned = members.select("id").distinct()
-    texts = stored(docs.join(concerned, "id").dropDuplicates(["id"]), "texts")
+    wanted = chosen.join(concerned, "id").select("id", "sha", "rep")
+    texts = stored(docs.select(F.col("id").alias("rep"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
+                   .join(wanted, ["rep", "sha"]).select("id", "text").dropDuplicates(["id"]), "texts")
     sigs = stored(chosen.join(concerned, "id").select("id", "sig"), "sigs")
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +254,7 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
         for batch in batches:
             linked = []
             for a, b, x, y in zip(*(batch.column(i) for i in range(4))):
-                linked.append(overlap(known.of(a.as_py(), x.as_py()), known.of(b.as_py(), y.as_py())) >= similarity)
+                linked.append(likeness(known.of(a.as_py(), x.as_py()), known.of(b.as_py(), y.as_py())) >= similarity)
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
     def both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
@@ -260,22 +273,26 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
     # buckets that still span components: rows of different components meet tile by tile
     part = components(links)
     labelled = members.join(part, members["id"] == part["node"], "left").select(
-        "bucket", "id", F.coalesce("component", "id").alias("part"))
+        "bucket", "id", F.coalesce("component", "id").alias("part")).join(chosen.select("id", "n_bytes"), "id")
     labelled = stored(labelled, "labelled")
     mixed = (labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high"),
-                                            F.count("*").alias("n")).filter("low < high AND n > 2")
-             .select("bucket", F.ceil(F.col("n") / tile_rows).cast("int").alias("k")))
+                                            F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).filter("low < high AND n > 2")
+             .select("bucket", F.ceil(F.greatest(F.col("n") / tile_rows, F.col("bytes") / TILE_BYTES)).cast("int").alias("k")))
     mixed = stored(mixed, "mixed")
+    labelled = labelled.select("bucket", "id", "part")
     steps = F.sequence(F.lit(0), F.col("k") - 1)
     pair = F.transform(steps, lambda o: F.struct(F.least(o, F.col("chunk")).alias("i"), F.greatest(o, F.col("chunk")).alias("j")))
 
-    def in_tiles(rows: DataFrame, held: DataFrame, work, schema: str, at_once: int) -> DataFrame:
+    def in_tiles(rows: DataFrame, held: DataFrame, work, schema: str, at_once: int, texts_held: bool = False) -> DataFrame:
         """``work`` on rows (bucket, i, j, chunk, id, part, ...) of many tiles at a time, each tile whole.
 
-        What ``held`` has of each id is joined to the rows that are already in their tiles.
+        What ``held`` has of each id is joined to the rows that are already in their tiles. Groups of tiles
+        are cut by rows and, where whole texts are held, by bytes.
         """
         rows = rows.join(mixed, "bucket").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-        groups = max(1, -(-int(rows.agg(F.sum("k")).first()[0] or 0) // at_once))
+        sizes = rows.join(chosen.select("id", "n_bytes"), "id") if texts_held else rows.withColumn("n_bytes", F.lit(0))
+        n, size = sizes.agg(F.sum("k"), F.sum(F.col("k") * F.col("n_bytes"))).first()
+        groups = max(1, -(-int(n or 0) // at_once), -(-int(size or 0) // (4 * TILE_BYTES)))
         rows = rows.withColumn("tile", F.explode(pair)).select("bucket", "id", "part", "chunk", "tile.*").join(held, "id")
         return rows.groupBy(F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)).alias("g")).applyInArrow(work, schema)
 
@@ -334,18 +351,19 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY, shingl
     release(spark)
     held = texts.join(paired.select("id").distinct(), "id").select("id", "text").mapInArrow(bagged, "id long, bag binary")
     held = stored(held.join(sigs, "id"), "bags")
-    more = stored(in_tiles(paired, held, verify, "a long, b long", group_rows // 8).distinct(), "across")
+    more = stored(in_tiles(paired, held, verify, "a long, b long", group_rows // 8, True).distinct(), "across")
     discard(texts, sigs, held, labelled, members)
     release(spark)
     links = links.unionByName(more)
 
     whole = components(links)
-    named = stored(reps.join(whole, reps["rep"] == whole["node"], "left").select(
-        "sha", F.col("rep").alias("text_id"), F.coalesce("component", "rep").alias("class_id")), "classes")
+    placed = reps.join(whole, "node", "left").select("sha", "rep", F.coalesce("component", "node").alias("component"))
+    heads = placed.groupBy("component").agg(F.min("rep").alias("class_id"))
+    named = stored(placed.join(heads, "component").select("sha", F.col("rep").alias("text_id"), "component", "class_id"), "classes")
     rows = stored(signed.select("id", "sha").join(named, "sha"), "classed")
     classed = rows.filter("id IS NOT NULL")
-    sizes = classed.groupBy("class_id").agg(F.count("*").alias("class_size"))
-    out = classed.join(sizes, "class_id").select(
+    sizes = classed.groupBy("component").agg(F.count("*").alias("class_size"))
+    out = classed.join(sizes, "component").select(
         F.col("id").alias(key), "text_id", "class_id", "class_size", (F.col("id") == F.col("class_id")).alias("kept"),
         F.col("sha").alias("text_sha256"))
     none = F.lit(None).cast("long")
