@@ -166,13 +166,54 @@ def test_mixture_meets_its_targets(spark):
     assert {r.doc_id for r in repeated.collect()} == set(range(200))
 
 
+def test_what_cannot_be_met_is_left_unmet(spark):
+    """A domain without labelled documents gets no documents and no copies; bounded rates stop short, and say so."""
+    docs = two_languages(spark, [(900, "", "en", "s", 1.0), (901, "...", "de", "s", 1.0)])
+    english = spark.createDataFrame([(i, 1) for i in range(200) if i % 4], "doc_id long, quality int")
+    targets = {"de": 1, "en": 1, "fr": 2}
+    got = mixing.mix(docs.filter("lang = 'en'"), english, targets, budget=0, least=1.0).collect()
+    assert all(r.p_de == r.p_fr == 0 and r.copies == 1 for r in got)
+    both = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    bounded = mixing.mix(docs, both, {"de": 9, "en": 1}, budget=0, least=1.0, most=3.0)
+    rows = bounded.collect()
+    assert max(r.rate for r in rows) == 3.0 and min(r.rate for r in rows) == 1.0
+    assert {r.doc_id: (r.p_de, r.p_en, r.rate) for r in rows if r.doc_id >= 900} == {900: (0.0, 0.0, 1.0), 901: (0.0, 0.0, 1.0)}
+    left = {r.domain: r for r in mixing.achieved(bounded, {"de": 9, "en": 1}).collect()}
+    tokens = {k: sum(r.rate * r.tokens * r[f"p_{k}"] for r in rows) for k in ("de", "en")}
+    assert left["de"].expected_tokens == pytest.approx(tokens["de"]) and left["de"].residual < -0.2
+    assert left["de"].share + left["en"].share == pytest.approx(1) and left["de"].target == 0.9
+
+
+def test_posteriors_equal_a_plain_version(spark):
+    docs = two_languages(spark, [(300, "der of zzz", "de", "s", 1.0), (300, "the", "en", "s", 1.0), (301, "zzz", "en", "s", 1.0)])
+    labelled = [i for i in range(0, 200, 3)]
+    got = {r.doc_id: r for r in mixing.mix(docs, spark.createDataFrame([(i,) for i in labelled], "doc_id long"), {"de": 1, "en": 1}).collect()}
+    texts, langs = {}, {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, []).extend(r.text.lower().split())
+        langs[r.doc_id] = r.lang
+    counts = {k: {} for k in ("de", "en")}
+    for i in labelled:
+        for w in texts[i]:
+            counts[langs[i]][w] = counts[langs[i]].get(w, 0) + 1
+    seen = {k: sum(langs[i] == k for i in labelled) for k in counts}
+    known = set(counts["de"]) | set(counts["en"])
+    for i, words in texts.items():
+        log = {k: np.log((seen[k] + 1) / (len(labelled) + 2)) + sum(np.log(
+            (counts[k].get(w, 0) + 0.5) / (sum(counts[k].values()) + 0.5 * mixing.VOCABULARY)) for w in words if w in known) for k in counts}
+        top = max(log.values())
+        want = np.exp(log["de"] - top) / sum(np.exp(x - top) for x in log.values()) if known & set(words) else 0.0
+        assert got[i].p_de == pytest.approx(want, abs=1e-9) and got[i].tokens == len(words)
+
+
 def test_mixture_of_odd_rows(odd_documents, no_documents, odd_labels, no_labels):
     targets = {"en": 0.5, "de": 0.5}
     ids = {r.doc_id for r in odd_documents.select("doc_id").collect()}
     for labels in (odd_labels, no_labels):
         got = mixing.mix(odd_documents, labels, targets).collect()
         assert {r.doc_id for r in got} == ids and len(got) == len(ids)
-        assert all(r.rate >= 0 and abs(r.p_en + r.p_de - 1) < 1e-9 for r in got)
+        # all, or nothing where no word of the model is known or no domain is labelled
+        assert all(r.rate >= 0 and min(abs(r.p_en + r.p_de - x) for x in (0, 1)) < 1e-9 for r in got)
         rows = mixing.mixed(odd_documents, labels, targets, budget=0, least=1.0)
         assert rows.columns == odd_documents.columns and rows.count() >= odd_documents.count()
     assert mixing.mix(no_documents, odd_labels, targets).count() == 0

@@ -13,10 +13,12 @@ id hash) and ``vocabulary`` words, those whose counts differ most between domain
 it may be broadcast. Texts are read once to score them. A document's words stay in the task
 that reads it and combine there; everything later is narrow rows.
 
-Defined results: null text is empty, and has the prior as posterior; rows that share an id,
-null ids too, are one document whose words add up; labelled rows of other domains teach
-nothing; without labelled rows all posteriors are equal. Extra columns do not matter; an
-empty table gives no rows. A target that no document can serve stays unmet (least squares).
+Defined results: null text is empty; rows that share an id, null ids too, are one document whose
+words add up; labelled rows of other domains teach nothing. A document without a word of the model
+belongs to no domain: its posteriors are 0, its rate is ``least`` or 1, whichever is more. A domain of which no
+document is labelled cannot be recognised: its posteriors are 0, its target stays unmet, and the others
+share its part. A target that the documents cannot serve below the rate ``most`` stays unmet too (least squares);
+``achieved`` says by how much. Extra columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ VOCABULARY = 2_000
 STEPS = 60  # aggregates over all documents
 ENDED, LONGEST = 1e-3, 1e10  # part of the error that counts as none; longest step, in parts of the tokens
 PRIOR_WORD = ""
+UNSEEN = -1e300  # log prior of a domain without labelled documents
 
 
 def words_of(text: Column) -> Column:
@@ -65,7 +68,7 @@ def word_model(documents: DataFrame, labelled: DataFrame, domains: list[str], ke
                                     for i, t in enumerate(totals)))
     found = docs.agg(*(F.sum(F.when(F.col("_k") == k, 1).otherwise(0)) for k in domains)).first()
     seen = [float(n or 0) for n in found]
-    prior = [float(np.log((n + 1) / (sum(seen) + len(domains)))) for n in seen]
+    prior = [float(np.log((n + 1) / (sum(seen) + len(domains)))) if n else UNSEEN for n in seen]
     first = documents.sparkSession.range(1).select(
         F.lit(PRIOR_WORD).alias("word"), *(F.lit(x).alias(f"w_{i}") for i, x in enumerate(prior)))
     return stored(weights.unionByName(first).coalesce(1), "model")
@@ -79,16 +82,19 @@ def posteriors(documents: DataFrame, model: DataFrame, domains: list[str], key:
     each = each.select("_id", F.size("_words").alias("_n"), F.explode(F.concat(F.array(F.lit(PRIOR_WORD)), "_words")).alias("word"))
     sums = (each.join(F.broadcast(model), "word").groupBy("_id")
             .agg(F.sum(F.when(F.col("word") == PRIOR_WORD, F.col("_n"))).cast("long").alias("_n"),
+                 F.count(F.when(F.col("word") != PRIOR_WORD, 1)).alias("_known"),
                  *(F.sum(f"w_{i}").alias(f"w_{i}") for i in range(len(domains)))))
     top = F.greatest(*(F.col(f"w_{i}") for i in range(len(domains)))) if len(domains) > 1 else F.col("w_0")
     odds = [F.exp(F.col(f"w_{i}") - top) for i in range(len(domains))]
-    return sums.select("_id", "_n", *((o / sum(odds, F.lit(0.0))).alias(f"p_{i}") for i, o in enumerate(odds)))
+    member = (F.col("_known") > 0) & (top > UNSEEN / 2)
+    return sums.select("_id", "_n", *(F.when(member, o / sum(odds, F.lit(0.0))).otherwise(0.0).alias(f"p_{i}") for i, o in enumerate(odds)))
 
 
-def fit_rates(rows: DataFrame, shares: list[float], budget: float | None = None, least: float = 0.0,
+def fit_rates(rows: DataFrame, shares: list[float], budget: float | None = None, least: float = 0.0, most: float | None = None,
               steps: int = STEPS, tolerance: float = 1e-7) -> DataFrame:
     """``rows`` with their ``rate``. ``budget`` None: as many tokens as there are; 0: the smallest that cuts no domain.
 
+    Rates are between ``least`` and ``most`` (None: unbounded). Domains to which no token belongs are left out: the others share their part.
     A document's gradient is its posteriors times the error of each domain. The projected step
     ``rate = max(least, start - p * push)`` is taken at the error where it ends, ``push = length * error``, so that no
     length is too long: ``push`` minimises a convex function of K numbers, by Newton's method with a line search.
@@ -98,6 +104,8 @@ def fit_rates(rows: DataFrame, shares: list[float], budget: float | None = None,
     p = [F.col(f"p_{i}") for i in range(size)]
     totals = [float(x or 0) for x in rows.agg(*(F.sum(F.col("_n") * x) for x in p)).first()]
     whole = max(sum(totals), 1.0)
+    served = sum(s for t, s in zip(totals, shares) if t > 0) or 1.0
+    shares = [s / served if t > 0 else 0.0 for t, s in zip(totals, shares)]
     if budget is None:
         budget = sum(totals)
     elif budget == 0:
@@ -105,13 +113,17 @@ def fit_rates(rows: DataFrame, shares: list[float], budget: float | None = None,
     goal = np.array(shares) * budget
 
     def rate(pull: Column) -> Column:
-        return F.greatest(F.lit(least), F.lit(start) - pull)
+        bounded = F.lit(start) - pull if most is None else F.least(F.lit(float(most)), F.lit(start) - pull)
+        return F.greatest(F.lit(least), bounded)
 
     def look(push: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Value of the convex function without its last term, error, and curvature over the rates that may move."""
         pull = sum((F.lit(float(y)) * x for x, y in zip(p, push)), F.lit(0.0))
-        free, room = F.col("_pull") < start - least, start - least
-        value = F.when(free, (F.col("_pull") / 2 - start) * F.col("_pull")).otherwise(-least * F.col("_pull") - room * room / 2)
+        room, gap = start - least, (most or 0.0) - start
+        above = F.lit(False) if most is None else F.col("_pull") < -gap
+        free = (F.col("_pull") < room) & ~above
+        value = (F.when(free, (F.col("_pull") / 2 - start) * F.col("_pull")).when(above, -(most or 0.0) * F.col("_pull") - gap * gap / 2)
+                 .otherwise(-least * F.col("_pull") - room * room / 2))
         moves = F.when(free, F.col("_n")).otherwise(0.0)
         got = rows.withColumn("_pull", pull).agg(
             F.sum(F.col("_n") * value), *(F.sum(F.col("_n") * rate(F.col("_pull")) * x) for x in p),
@@ -153,19 +165,30 @@ def copies_of(rate: Column, key: Column) -> Column:
 
 
 def mix(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float], budget: float | None = None,
-        least: float = 0.0, key: str = "doc_id", text: str = "text", domain: str = "lang",
+        least: float = 0.0, most: float | None = None, key: str = "doc_id", text: str = "text", domain: str = "lang",
         max_labelled: int = MAX_LABELLED, vocabulary: int = VOCABULARY) -> DataFrame:
     """``key, tokens, p_<domain> .., rate, copies`` for every document; starts jobs."""
     domains = sorted(targets)
     whole = sum(targets.values())
     model = word_model(documents, labelled, domains, key, text, domain, max_labelled, vocabulary)
     rows = stored(posteriors(documents, model, domains, key, text), "posteriors")
-    rated = fit_rates(rows, [targets[k] / whole for k in domains], budget, least)
+    rated = fit_rates(rows, [targets[k] / whole for k in domains], budget, least, most)
     return rated.select(F.col("_id").alias(key), F.col("_n").alias("tokens"),
                         *(F.col(f"p_{i}").alias(f"p_{k}") for i, k in enumerate(domains)), "rate",
                         copies_of(F.col("rate"), F.col("_id")).alias("copies"))
 
 
+def achieved(mixture: DataFrame, targets: Mapping[str, float]) -> DataFrame:
+    """``domain, target, expected_tokens, share, residual``: what the rates of :func:`mix` come to, as shares of all member tokens."""
+    whole = sum(targets.values())
+    sums = mixture.agg(*(F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p_{k}")), F.lit(0.0)).alias(k) for k in targets))
+    every = sum((F.col(k) for k in targets), F.lit(0.0))
+    share = lambda k: F.when(every > 0, F.col(k) / every).otherwise(0.0)
+    return sums.select(F.inline(F.array(*(F.struct(
+        F.lit(k).alias("domain"), F.lit(t / whole).alias("target"), F.col(k).alias("expected_tokens"), share(k).alias("share"),
+        (share(k) - t / whole).alias("residual")) for k, t in targets.items()))))
+
+
 def mixed(documents: DataFrame, labelled: DataFrame, targets: Mapping[str, float], key: str = "doc_id",
           **options) -> DataFrame:
     """The documents with the columns they came with, each as often as its ``copies`` say."""
