@@ -6,7 +6,10 @@ all of them. All languages' log probabilities lie in one sorted hash array, so a
 is looked up once. The language with the lowest cross-entropy per symbol is chosen. Its score is a
 softmax over the languages' cross-entropies times a temperature and the square root of the
 length; the temperature is the one of a fixed grid under which the learned rows' own languages
-are likeliest. Below ``reject`` the answer is ``und``.
+are likeliest. Rejection is calibrated on the learned rows too: a prediction is marked ``rejected`` below the
+least score from which on they are wrong at most ``error`` of the time, and beyond the cross-entropy
+that all but ``error`` of them keep to, which no text in a language that was not learned does.
+Below ``reject`` the answer is ``und``.
 
 Scale: two reads of the texts, and counts of at most 64**4 four-grams a language in between:
 that bounds what is gathered and sent to the tasks, whatever the corpus. Memory in a task
@@ -119,20 +122,20 @@ def entropies(texts: list[str], models: Models) -> tuple[np.ndarray, np.ndarray,
         edges = np.column_stack([begin[rows], end[rows]]).ravel()
         logs = np.vstack([logs, np.zeros((1, logs.shape[1]), logs.dtype)])
         out[rows] = -np.add.reduceat(logs, edges, axis=0, dtype=np.float64)[::2] / size[rows][:, None]
-    letters = np.concatenate([[0], np.cumsum((code > 0) & (code != 27))])
-    return out, size, letters[end] > letters[begin]
+    # marks count as letters in the model, but a text of marks alone has none
+    return out, size, np.array([any(map(str.isalpha, t)) for t in texts], bool)
 
 
 def identify(documents: DataFrame, learned: Column, held_out: Column, reject: float = 0.0, key: str = "doc_id",
-             text: str = "text", lang: str = "lang") -> DataFrame:
-    """``key, held_out, lang_pred, score, cross_entropy`` for every row; starts jobs.
+             text: str = "text", lang: str = "lang", error: float = 0.001) -> DataFrame:
+    """``key, held_out, lang_pred, score, cross_entropy, rejected`` for every row; starts jobs.
 
     ``learned`` says which rows teach; no other use is made of ``lang`` or the id.
     """
     langs, models = learn(documents.filter(learned), lang, text)
     if models is None:
         return documents.select(key, held_out.alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"),
-                                F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"))
+                                F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(True).alias("rejected"))
     sent = documents.sparkSession.sparkContext.broadcast(models)
 
     @F.arrow_udf("struct<h:array<double>,n:int>")
@@ -162,5 +165,22 @@ def identify(documents: DataFrame, learned: Column, held_out: Column, reject: fl
     score = F.when(F.col("n") > 0, top(chosen)).otherwise(0.0)
     named = F.element_at(F.array(*map(F.lit, langs)), F.array_position("h", best).cast("int"))
     known = (F.col("n") > 0) & (score >= reject)
-    return rows.select(F.col("_id").alias(key), "held_out", F.when(known, named).otherwise(UNKNOWN).alias("lang_pred"),
-                       score.alias("score"), F.when(F.col("n") > 0, best).alias("cross_entropy"))
+    out = rows.select(F.col("_id").alias(key), "held_out", F.when(known, named).otherwise(UNKNOWN).alias("lang_pred"),
+                      score.alias("score"), F.when(F.col("n") > 0, best).alias("cross_entropy"), "_learned", "_lang", "n")
+    floor, ceiling = _calibrated(out.filter(F.col("_learned") & F.col("_lang").isNotNull() & (F.col("n") > 0)), error)
+    rejected = (F.col("n") == 0) | (F.col("score") < floor) | (F.col("cross_entropy") > ceiling)
+    return out.select(key, "held_out", "lang_pred", "score", "cross_entropy", F.coalesce(rejected, F.lit(True)).alias("rejected"))
+
+
+GRID = tuple(i / 100 for i in range(100))
+LEAST_SYMBOLS = 100  # shorter texts vary too much to set the bound of the cross-entropy
+
+
+def _calibrated(taught: DataFrame, error: float) -> tuple[float, float]:
+    """The least score from which on learned rows are wrong at most ``error`` of the time, and the cross-entropy all but ``error`` keep to."""
+    wrong = F.col("lang_pred") != F.col("_lang")
+    row = taught.agg(F.percentile_approx(F.when(F.col("n") >= LEAST_SYMBOLS, F.col("cross_entropy")), 1 - error, 100_000).alias("ceiling"),
+                     *(F.count_if(F.col("score") >= g).alias(f"n{i}") for i, g in enumerate(GRID)),
+                     *(F.count_if((F.col("score") >= g) & wrong).alias(f"w{i}") for i, g in enumerate(GRID))).first()
+    good = [g for i, g in enumerate(GRID) if row[f"w{i}"] <= error * row[f"n{i}"]]
+    return min(good, default=1.0), float("inf") if row.ceiling is None else float(row.ceiling)
