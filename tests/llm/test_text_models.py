@@ -54,7 +54,8 @@ def test_kneser_ney_sums_to_one_and_matches_a_direct_version():
 def test_symbols_keep_texts_apart():
     code, begin, end = charlm.symbols(["Ab  c!", "", "é1", "  x"])
     parts = [code[a:b].tolist() for a, b in zip(begin, end)]
-    assert parts == [[1, 2, 0, 3, 0], [], [28 + ord("é") % 36, 27], [0, 24]]
+    # a run of others counts once, also the one that a text begins with after the break before it
+    assert parts == [[1, 2, 0, 3, 0], [], [28 + ord("é") % 36, 27], [24]]
     assert all(code[a - 3:a].tolist() == [0, 0, 0] for a in begin)
 
 
@@ -70,6 +71,13 @@ def test_language_id_on_held_out_rows(spark):
     assert all(got[i].lang_pred == ("de" if i % 2 else "en") and 0 < got[i].score <= 1 for i in range(120))
     assert [got[i].lang_pred for i in (500, 501, 502, 503, 504)] == ["und", "und", "und", "de", "en"]
     assert got[500].score == 0 and not got[None].held_out and got[None].lang_pred == "en"
+    # nothing in a language that was not learned, and nothing without letters, is accepted; what was learned is
+    assert all(got[i].rejected for i in (500, 501, 502)) and sum(got[i].rejected for i in range(120)) <= 2
+    alien = spark.createDataFrame([(1, "zzz qqq xxw wqx " * 30, "x"), (2, "\u0301\u0302 \u0303", "x")], "doc_id long, text string, lang string")
+    far = language_id.identify(docs.select("doc_id", "text", "lang").unionByName(alien.withColumn("doc_id", F.col("doc_id") + 7000)),
+                               F.col("doc_id") < 500, F.lit(False))
+    found = {r.doc_id: r for r in far.collect()}
+    assert found[7001].rejected and (found[7002].lang_pred, found[7002].score) == ("und", 0.0)
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i in range(120))
     strict = language_id.identify(docs, ~held, held, reject=1.01)
     assert {r.lang_pred for r in strict.collect()} == {"und"}
@@ -145,19 +153,50 @@ def junk(i):
     return kinds[i % 4]
 
 
+def posteriors_by_hand(sites, evidence):
+    """Path means without the row itself, shrunk toward the host, shrunk toward all; strengths by the method of moments."""
+    def strength(groups, parents):
+        n = np.array([len(g) for g in groups])
+        if n.sum() <= len(n) or len(n) < 2:
+            return 10.0
+        within = max(sum(((g - g.mean()) ** 2).sum() for g in groups) / (n.sum() - len(n)), 1e-9)
+        between = sum(len(g) * (g.mean() - p) ** 2 for g, p in zip(groups, parents)) - (len(n) - 1) * within
+        between = max(between / (n.sum() - (n * n).sum() / n.sum()), 1e-9)
+        return min(max(within / between, 1.0), 1e6)
+
+    def grouped(key):
+        held = {}
+        for i, site in sites.items():
+            held.setdefault(key(site), []).append(evidence[i])
+        return {k: np.array(v) for k, v in held.items()}
+    hosts, paths = grouped(lambda s: s[0]), grouped(lambda s: s)
+    mean = np.mean(list(evidence.values()))
+    strong = strength(list(hosts.values()), [mean] * len(hosts))
+    above = {h: (g.sum() + strong * mean) / (len(g) + strong) for h, g in hosts.items()}
+    below = strength(list(paths.values()), [above[s[0]] for s in paths])
+    logit = lambda p: np.log(p / (1 - p))
+    out = {}
+    for i, s in sites.items():
+        path = (paths[s].sum() - evidence[i] + below * above[s[0]]) / (len(paths[s]) - 1 + below)
+        out[i] = above[s[0]], path, 1 / (1 + np.exp(-(logit(evidence[i]) - logit(mean) + logit(path))))
+    return out
+
+
 def test_quality_keeps_clean_documents_and_shrinks_sparse_sites(spark):
     rows = [(i, junk(i) if i % 5 == 0 else prose(i, 50 + i % 40) + ".", "en", f"h{i % 3}/p{i % 2}") for i in range(400)]
     rows += [(900 + i, junk(i), "en", "bad") for i in range(40)] + [(990, prose(7, 70) + ".", "en", "new")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(0, 400, 2)], "doc_id long, quality int")
+    # a third of the rows: 0, 15, 30 and 45 show each kind of junk
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(0, 400, 3)], "doc_id long, quality int")
     site = quality.site_of(docs["source"], docs["lang"])
     got = {r.doc_id: r for r in quality.classify(docs, labels, *site).collect()}
     assert len(got) == len(rows)
     assert all(got[i].kept == (i % 5 > 0) for i in range(400)) and got[990].kept
     assert not any(got[900 + i].kept for i in range(40))
-    # posteriors by hand: path means without the row itself, shrunk toward the host, shrunk toward all
     evidence = {i: r.evidence for i, r in got.items()}
     bad = [evidence[900 + i] for i in range(40)]
+    for i, (host, path, value) in posteriors_by_hand({r[0]: (r[3].split("/")[0], r[3]) for r in rows}, evidence).items():
+        assert (got[i].host_posterior, got[i].path_posterior, got[i].score) == pytest.approx((host, path, value), abs=1e-9)
     assert got[900].path_posterior < 0.3 < got[990].path_posterior
     assert min(bad) <= got[900].host_posterior + 0.1
     kept = quality.accepted(docs, labels, *site)
