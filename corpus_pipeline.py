@@ -18,6 +18,8 @@ from tidefolio.storage import new_path
 
 # SQL cannot express trained classifiers, MinHash, fitted rates or a tokenizer; tests compare with brute force.
 ORACLE_SQL = None
+# A document takes part in the mixture at most so often, even if its language stays short.
+EPOCHS = 4.0
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated until the targets are met; none is dropped, so the budget is what the scarcest domain needs."""
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"), TARGETS, budget=0, least=1.0)
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), TARGETS, budget=0, least=1.0, most=EPOCHS)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
