@@ -14,7 +14,8 @@ documents, each left out of its own words' counts.
 Scale: the character model counts whole texts of all documents (at most 64**4 four-grams).
 Word odds come from the ``max_labelled`` labelled rows of smallest id hash and keep the
 ``max_evidence`` strongest keys, so what goes to the tasks is bounded by parameters.
-Texts are read three times and never shuffled. Decoded spans are remembered up to a bound.
+Texts are read twice and never shuffled; labelled ones are restored once and stored. Distinct spans of a batch are
+decoded together, and remembered up to a bound by the Python process, over all its tasks.
 
 Defined results: null is empty text; an empty text has the score of a document without any
 evidence; if the labels are of one kind only, scores are 0. Labels that disagree count as
@@ -24,10 +25,12 @@ toxic. Repeated rows are scored alike; extra columns do not matter; an empty tab
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +44,7 @@ MAX_EVIDENCE = 50_000
 BEGINNINGS = (4, 5, 6)
 REMEMBERED = 200_000
 LONGEST_SPAN = 200  # bytes of one lattice; a longer run of signs is decoded in several
+FEW_PATHS = 128  # lattices with at most so many readings are scored path by path
 KEYS_HELD = 400_000
 CERTAINTY = 3.0  # standard deviations of the lower bound
 
@@ -64,6 +68,7 @@ _GAP[[ord(c) for c in ".-_*"]] = True
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = re.compile(r"^(?:[^\w@$!|+(€]|_)+|(?:[^\w@$!|+(€]|_)+$")
 _BLANKS = re.compile(r"\s{2,}")
+_CHOICE = re.compile(r"(?<=([a-z]))\1|[^a-z]")  # in lower-case ASCII: where more than the letter itself can be meant
 
 
 def suspects(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,15 +106,14 @@ def spans(data: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
     found, last = [], -1
     raw = data.tobytes()
     n = len(raw)
-    for place in places.tolist():
+    blanks = np.concatenate([[-1], np.flatnonzero(_BLANK[data]), [n]])
+    before = blanks[np.searchsorted(blanks, places) - 1] + 1
+    after = blanks[np.searchsorted(blanks, places, "right")]
+    low_of = np.maximum(before, places - LONGEST_SPAN)
+    high_of = np.maximum(np.minimum(after, low_of + LONGEST_SPAN), places + 1)
+    for place, low, high in zip(places.tolist(), low_of.tolist(), high_of.tolist()):
         if place < last:
             continue
-        low = place
-        while low > 0 and not _BLANK[raw[low - 1]] and place - low < LONGEST_SPAN:
-            low -= 1
-        high = place + 1
-        while high < n and not _BLANK[raw[high]] and high - low < LONGEST_SPAN:
-            high += 1
         if high - low <= 2:  # spaced letters: go on while tokens of one letter follow
             letters = 1
             while letters < LONGEST_SPAN:
@@ -137,63 +141,135 @@ def spans(data: np.ndarray, places: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def _choices(c: str, before: str, lettered: bool, inside: bool) -> list[tuple[str | None, float]]:
+    """What a character may stand for, at which cost; None is nothing."""
+    if c.isalpha():
+        return [(c, 0.0), (None, COST_REPEAT)] if c == before else [(c, 0.0)]
+    if c in SIGNS:
+        letters: list[tuple[str | None, float]] = [(x, COST_SIGN) for x in SIGNS[c]]
+        if not lettered or inside:
+            letters += [(None, COST_REPEAT if c == before else COST_DROP), (" ", COST_BREAK)]
+        return letters
+    if c in SEPARATORS or c.isspace():
+        return [(None, COST_SEPARATOR), (" ", COST_BREAK)]
+    return [(" ", 0.0)]
+
+
+def _paths(text: str, lettered: bool) -> list[tuple[str, float]] | None:
+    """All paths through a lattice as (reading, cost), or None if there are more than ``FEW_PATHS``."""
+    paths, end, plain = [("", 0.0)], len(text) - 1, 0
+    for place in ([m.start() for m in _CHOICE.finditer(text)] if text.isascii() else
+                  [i for i, c in enumerate(text) if not c.isalpha() or (i and c == text[i - 1])]):
+        choices = _choices(text[place], text[place - 1] if place else "", lettered, 0 < place < end)
+        if len(paths) * len(choices) > FEW_PATHS:
+            return None
+        fixed, grown = text[plain:place], []
+        for reading, cost in paths:
+            reading += fixed
+            for letter, more in choices:
+                if letter is None or (letter == " " and (not reading or reading[-1] == " ")):
+                    grown.append((reading, cost + more))
+                else:
+                    grown.append((reading + letter, cost + more))
+        paths, plain = grown, place + 1
+    return [(reading + text[plain:], cost) for reading, cost in paths]
+
+
 class Decoder:
     """Likeliest readings under a character model."""
 
     def __init__(self, models: Models):
-        self.models, self.known, self.grams = models, {}, {}
+        self.models, self.known, self.older, self.grams = models, {}, {}, {}
         self.symbol = symbol_table()
 
-    def _log(self, gram: int) -> float:
-        found = self.grams.get(gram)
-        if found is None:
-            if len(self.grams) > REMEMBERED:
-                self.grams.clear()
-            self.grams[gram] = found = float(self.models.log_probabilities(np.array([gram], np.uint32))[0, 0])
-        return found
+    def _fetch(self, grams: set[int]) -> None:
+        """Look up the log probabilities of several four-grams at once."""
+        lacking = [g for g in grams if g not in self.grams]
+        if lacking:
+            logs = self.models.log_probabilities(np.array(lacking, np.uint32))[:, 0].tolist()
+            self.grams.update(zip(lacking, logs))
 
     def _code(self, letter: str) -> int:
         point = ord(letter)
         return int(self.symbol[point]) if point < 65536 else 28 + point % 36
 
     def read(self, span: str) -> str:
-        span = _BLANKS.sub(" ", span)
-        found = self.known.get(span)
-        if found is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known[span] = found = self._read(span)
-        return found
-
-    def _read(self, span: str) -> str:
-        text = _EDGE.sub("", span.lower())
-        if not any(c.isalpha() for c in text):
-            return span
-        likeliest = self._decode(text)
-        if text[0] not in SIGNS and text[-1] not in SIGNS:
-            return likeliest
-        # at an end a sign may as well be punctuation: both readings count
-        lettered = self._decode(text, True)
-        return likeliest if lettered == likeliest else f"{likeliest} {lettered}"
+        span = span if span.isalnum() else _BLANKS.sub(" ", span)
+        if span not in self.known:
+            self.prepare([span])
+        return self.known[span]
+
+    def prepare(self, spans: Iterable[str]) -> None:
+        """Decode what is not known yet, all at once: the following ``read`` of these spans looks them up."""
+        spans = {s if s.isalnum() else _BLANKS.sub(" ", s) for s in set(spans)}
+        if len(self.known) > REMEMBERED:  # what was not asked for since the last such moment is forgotten
+            self.older, self.known = self.known, {}
+        self.known.update((s, self.older[s]) for s in spans if s in self.older)
+        texts = {s: s.lower() if s.isalnum() else _EDGE.sub("", s.lower()) for s in spans if s not in self.known}
+        wanted = {(t, False) for t in texts.values()} | {(t, True) for t in texts.values() if t and (t[0] in SIGNS or t[-1] in SIGNS)}
+        decoded = self.decode_all([w for w in wanted if any(c.isalpha() for c in w[0])])
+        for span, text in texts.items():
+            likeliest = decoded.get((text, False), span)
+            # at an end a sign may as well be punctuation: both readings count
+            lettered = decoded.get((text, True), likeliest)
+            self.known[span] = likeliest if lettered == likeliest else f"{likeliest} {lettered}"
+
+    def decode_all(self, wanted: list[tuple[str, bool]]) -> dict[tuple[str, bool], str]:
+        """Likeliest reading of each (text, lettered): few paths are scored one by one, in one go, many by Viterbi search."""
+        paths, owners, costs, out = [], [], [], {}
+        for w in wanted:
+            found = _paths(*w)
+            if found is None:
+                out[w] = self._decode(*w)
+            else:
+                for reading, cost in found:
+                    paths.append(reading)
+                    owners.append(w)
+                    costs.append(cost)
+        best: dict[tuple[str, bool], tuple[float, str]] = {}
+        for w, total in zip(owners, zip((self._scores(paths) - np.array(costs)).tolist(), paths)):
+            if w not in best or best[w] < total:
+                best[w] = total
+        out.update((w, reading) for w, (_, reading) in best.items())
+        return out
+
+    def _scores(self, paths: list[str]) -> np.ndarray:
+        """Log probability of each reading, with the end of its last word."""
+        if not paths:
+            return np.zeros(0)
+        points = np.frombuffer("".join(paths).encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(p) for p in paths])
+        code = self.symbol[np.minimum(points, 65535)].astype(np.uint32)
+        code[points == 32] = 0
+        rare = np.flatnonzero(points > 65535)
+        code[rare] = 28 + points[rare] % 36
+        # each reading after three zeros and before one
+        begin = np.cumsum(sizes + 4) - sizes - 1
+        at = np.arange(len(code)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+        line = np.zeros(int((sizes + 4).sum()), np.uint32)
+        line[at] = code
+        gram = line.copy()
+        for k in range(1, 4):
+            gram[k:] |= line[:-k] << np.uint32(BITS * k)
+        scored = np.zeros(len(line), bool)
+        scored[at] = True
+        last = begin + sizes
+        scored[last] = line[last - 1] > 0
+        keys, inverse = np.unique(gram[scored], return_inverse=True)
+        logs = np.zeros(len(line) + 1)
+        logs[np.flatnonzero(scored)] = self.models.log_probabilities(keys)[:, 0].astype(np.float64)[inverse]
+        return np.add.reduceat(logs, np.column_stack([begin, last + 1]).ravel())[::2]
 
     def _decode(self, text: str, lettered: bool = False) -> str:
+        if len(self.grams) > REMEMBERED:
+            self.grams.clear()
         states = {(0, ""): (0.0, "")}  # every state: last three symbols and last letter -> log probability, reading
         before = ""
         for place, c in enumerate(text):
-            choices: list[tuple[str | None, float]] = []
-            if c.isalpha():
-                choices.append((c, 0.0))
-                if c == before:
-                    choices.append((None, COST_REPEAT))
-            elif c in SIGNS:
-                choices += [(x, COST_SIGN) for x in SIGNS[c]]
-                if not lettered or 0 < place < len(text) - 1:
-                    choices += [(None, COST_REPEAT if c == before else COST_DROP), (" ", COST_BREAK)]
-            elif c in SEPARATORS or c.isspace():
-                choices += [(None, COST_SEPARATOR), (" ", COST_BREAK)]
-            else:
-                choices.append((" ", 0.0))
+            choices = _choices(c, before, lettered, 0 < place < len(text) - 1)
             before = c
+            codes = [0 if x == " " else self._code(x) for x, _ in choices if x is not None]
+            self._fetch({(context << BITS) | code for context, _ in states for code in codes})
             following: dict[tuple[int, str], tuple[float, str]] = {}
             for (context, last), (score, reading) in states.items():
                 for letter, cost in choices:
@@ -203,31 +279,52 @@ class Decoder:
                         code = 0 if letter == " " else self._code(letter)
                         gram = (context << BITS) | code
                         state = (gram & ((1 << 3 * BITS) - 1), letter)
-                        total, out = score - cost + self._log(gram), reading + letter
+                        total, out = score - cost + self.grams[gram], reading + letter
                     if state not in following or following[state][0] < total:
                         following[state] = (total, out)
             states = following
-        return max(((score + (self._log(context << BITS) if context & 63 else 0.0), out)
+        self._fetch({context << BITS for context, _ in states})
+        return max(((score + (self.grams[context << BITS] if context & 63 else 0.0), out)
                     for (context, _), (score, out) in states.items()))[1]
 
 
-def restored(texts: list[str], decoder: Decoder) -> list[str]:
-    """The texts with disguised places replaced by their readings, or with readings beside them."""
+_decoders: dict[str, Decoder] = {}
+
+
+def decoder_of(run: str, models: Broadcast[Models]) -> Decoder:
+    """The decoder that this Python process has for a run: tasks that follow each other share what it remembers."""
+    if run not in _decoders:
+        _decoders.clear()
+        _decoders[run] = Decoder(models.value)
+    return _decoders[run]
+
+
+def disguises(texts: list[str]) -> list[tuple[int, bytes, list[tuple[int, int, bool, str]]]]:
+    """Number and bytes of each text with suspicious places, and their spans with whether a hint there is sure."""
     data, offsets = text_bytes(pa.array([t + "\n" for t in texts], pa.string()))
     places, sure = suspects(data)
+    found_in: list[tuple[int, bytes, list[tuple[int, int, bool, str]]]] = []
     if not len(places):
-        return texts
-    out = list(texts)
+        return found_in
     at, sures = np.searchsorted(places, offsets), np.concatenate([[0], np.cumsum(sure)])
     for i in np.flatnonzero(np.diff(at)).tolist():
         own, here = data[offsets[i]:offsets[i + 1] - 1], places[at[i]:at[i + 1]] - offsets[i]
         found = spans(own, here)
         bounds = sures[at[i] + np.searchsorted(here, np.array(found, np.int64).reshape(-1, 2))].tolist()
-        parts, last, raw = [], 0, own.tobytes()
-        for (low, high), (before, within) in zip(found, bounds):
-            span = raw[low:high].decode("utf-8", "replace")
+        raw = own.tobytes()
+        found_in.append((i, raw, [(low, high, within > before, raw[low:high].decode("utf-8", "replace"))
+                                  for (low, high), (before, within) in zip(found, bounds)]))
+    return found_in
+
+
+def restored(texts: list[str], decoder: Decoder, found: list | None = None) -> list[str]:
+    """The texts with disguised places (``disguises``) replaced by their readings, or with readings beside them."""
+    out = list(texts)
+    for i, raw, places in disguises(texts) if found is None else found:
+        parts, last = [], 0
+        for low, high, sure, span in places:
             reading = decoder.read(span)
-            if within == before and reading != span:
+            if not sure and reading != span:
                 reading = f"{span} {reading} "
             parts += [raw[last:low].decode("utf-8", "replace"), reading]
             last = high
@@ -237,6 +334,8 @@ def restored(texts: list[str], decoder: Decoder) -> list[str]:
 
 def word_keys(word: str) -> list[str]:
     """The word itself and its beginnings, marked so that they differ from whole words."""
+    if len(word) < BEGINNINGS[0]:
+        return [word]
     return [word, *(word[:n] + "-" for n in BEGINNINGS if len(word) >= n)]
 
 
@@ -248,32 +347,41 @@ class Evidence:
     """
 
     def __init__(self, table: dict[str, tuple[int, int]], toxic: int, other: int):
-        self.table, self.known = table, {}
-        self.base = float(np.log(toxic / other))
-
-    def strength(self, a: int, b: int) -> float:
-        if a <= 0:
-            return 0.0
-        n, z = a + b, CERTAINTY
-        p = a / n
+        a, b = (np.array([v[i] for v in table.values()], np.float64) for i in (0, 1))
+        base = float(np.log(toxic / other))
+        # as counted, and less one document without or with the label
+        columns = [self.lower(a, b, base), self.lower(a, b - 1, base), self.lower(a - 1, b, base)]
+        self.table = {k: v for k, v in zip(table, zip(*(c.tolist() for c in columns))) if max(v) > 0}
+        self.seen, self.strong = set(), {}
+
+    @staticmethod
+    def lower(a: np.ndarray, b: np.ndarray, base: float) -> np.ndarray:
+        """Strength of keys that ``a`` toxic and ``b`` other documents have; 0 where it is not above that of all."""
+        n, z = np.maximum(a + b, 1), CERTAINTY
+        p = np.clip(a / n, 0, 1)
         low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-        return max(0.0, float(np.log(low / (1 - low))) - self.base) if low > 0 else 0.0
+        odds = np.log(np.maximum(low, 1e-300) / (1 - low)) - base
+        return np.where((a > 0) & (low > 0), np.maximum(odds, 0.0), 0.0)
 
     def of(self, word: str, own: int | None = None) -> float:
-        if own is None and word in self.known:
-            return self.known[word]
-        counts = [self.table[k] for k in word_keys(word) if k in self.table]
-        found = max([self.strength(a - (own == 1), b - (own == 0)) for a, b in counts], default=0.0)
-        if own is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        which, table = 0 if own is None else 1 + own, self.table
+        return max((table[k][which] for k in word_keys(word) if k in table), default=0.0)
+
+    def strengths(self, words: set[str], own: int | None) -> list[float]:
+        """Of the words that have any; words are looked at once, unless a label is left out of their counts."""
+        if own is not None:
+            return [e for e in (self.of(w, own) for w in words) if e > 0]
+        if len(self.seen) > REMEMBERED:
+            self.seen, self.strong = set(), {}
+        new = words - self.seen
+        self.strong.update((w, e) for w, e in ((w, self.of(w)) for w in new) if e > 0)
+        self.seen |= new
+        return [self.strong[w] for w in words & self.strong.keys()]
 
     def features(self, text: str, own: int | None = None) -> tuple[float, float, float, float]:
         """``own``: the label, if the text is one of those counted."""
         words = set(_WORD.findall(text.lower()))
-        strong = sorted((e for e in (self.of(w, own) for w in words) if e > 0), reverse=True)
+        strong = sorted(self.strengths(words, own), reverse=True)
         return (strong[0] if strong else 0.0, strong[1] if len(strong) > 1 else 0.0,
                 float(np.log1p(sum(strong))), float(np.log1p(len(words))))
 
@@ -293,7 +401,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 def _texts(batches: Iterator[pa.RecordBatch], column: int, decoder: Decoder):
     for whole in batches:
         for batch in slices(whole, column):
-            yield batch, restored([t or "" for t in batch.column(column).to_pylist()], decoder)
+            texts = [t or "" for t in batch.column(column).to_pylist()]
+            found = disguises(texts)
+            decoder.prepare(span for _, _, places in found for *_, span in places)
+            yield batch, restored(texts, decoder, found)
 
 
 def score(documents: DataFrame, labels: DataFrame, learned: Column, held_out: Column, key: str = "doc_id",
@@ -301,9 +412,12 @@ def score(documents: DataFrame, labels: DataFrame, learned: Column, held_out: Co
           max_evidence: int = MAX_EVIDENCE) -> DataFrame:
     """``key, held_out, score, predicted`` for every row; starts jobs. ``learned`` says whose labels may be used."""
     context = documents.sparkSession.sparkContext
+    # extra columns, whatever their names, play no part from here on
+    documents = documents.select(F.col(key), F.col(text), learned.alias("_learned"), held_out.alias("_held"))
+    learned, held_out = F.col("_learned"), F.col("_held")
     counts = stored(gram_counts(documents.select(F.lit(0).alias("_all"), text).filter(F.col(text).isNotNull()),
                                 "_all", text), "grams").toArrow().sort_by("gram")
-    decoder = context.broadcast(Models([KneserNey(counts.column("gram").to_numpy(), counts.column("n").to_numpy())]))
+    run, models = uuid.uuid4().hex, context.broadcast(Models([KneserNey(counts.column("gram").to_numpy(), counts.column("n").to_numpy())]))
 
     known = (labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y")).dropna()
              .groupBy("_id").agg(F.max("_y").alias("_y")))
@@ -315,16 +429,22 @@ def score(documents: DataFrame, labels: DataFrame, learned: Column, held_out: Co
     taught = (documents.filter(learned).join(F.broadcast(chosen), documents[key] == chosen["_id"])
               .select("_y", F.col(text).alias("_t")))
 
+    def undone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _texts(batches, 1, decoder_of(run, models)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["_y", "_t"])
+
+    taught = stored(taught.mapInArrow(undone, "_y int, _t string"), "restored")  # a bounded sample, read twice
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, held = Decoder(decoder.value), {}
+        held: dict[str, list[int]] = {}
 
         def rows():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(held)), pa.array([v[1] for v in held.values()], pa.int64()),
                  pa.array([v[0] for v in held.values()], pa.int64())], names=["key", "toxic", "other"])
             held.clear()
-        for batch, texts in _texts(batches, 1, own):
-            for y, t in zip(batch.column(0).to_pylist(), texts):
+        for batch in batches:
+            for y, t in zip(*(c.to_pylist() for c in batch.columns)):
                 for k in {k for w in set(_WORD.findall(t.lower())) for k in word_keys(w)}:
                     held.setdefault(k, [0, 0])[y] += 1
             if len(held) > KEYS_HELD:
@@ -340,9 +460,9 @@ def score(documents: DataFrame, labels: DataFrame, learned: Column, held_out: Co
     evidence = context.broadcast(Evidence(dict(zip(counted.column("key").to_pylist(), pairs)), sizes[1], sizes[0]))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = Decoder(decoder.value), evidence.value
-        for batch, texts in _texts(batches, 1, own):
-            x = np.array([table.features(t, y) for y, t in zip(batch.column(0).to_pylist(), texts)]).reshape(-1, 4)
+        table = evidence.value
+        for batch in batches:
+            x = np.array([table.features(t, y) for y, t in zip(*(c.to_pylist() for c in batch.columns))]).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)],
                                              names=["y", "x0", "x1", "x2", "x3"])
 
@@ -351,7 +471,7 @@ def score(documents: DataFrame, labels: DataFrame, learned: Column, held_out: Co
 
     @F.arrow_udf("double")
     def scored(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own, table = Decoder(decoder.value), evidence.value
+        own, table = decoder_of(run, models), evidence.value
         for array in arrays:
             parts = []
             for _, texts in _texts([pa.RecordBatch.from_arrays([array], names=["t"])], 0, own):
