@@ -141,6 +141,49 @@ def test_every_place_of_a_disguise_is_decoded():
         assert read == forms
 
 
+def test_scored_paths_give_the_readings_of_the_search():
+    """Lattices with few paths are scored path by path: the same readings as Viterbi search finds."""
+    rng = np.random.default_rng(8)
+    model = charlm.KneserNey(*charlm.counted(language_id.text_grams([line(ENGLISH, i) for i in range(40)] + [line(GERMAN, 3), "été naïve Öl"])))
+    decoder = toxicity.Decoder(charlm.Models([model]))
+    spans = ["".join(rng.choice(list("abeelost0113$@.-_ é\U0001F642"), rng.integers(1, 12))) for _ in range(600)] + ["losser", "foo1", "1d10t", "ttthhhee"]
+    wanted = [(t, end) for t in (toxicity._EDGE.sub("", s.lower()) for s in spans) if any(c.isalpha() for c in t) for end in (False, True)]
+    few = [w for w in wanted if toxicity._paths(*w) is not None]
+    assert 0.5 * len(wanted) < len(few) < len(wanted)
+    scores = lambda reading, w: dict(toxicity._paths(*w))[reading]
+    for w, reading in decoder.decode_all(wanted).items():
+        other = decoder._decode(*w)
+        if reading != other:  # only where both are equally likely
+            total = [float(decoder._scores([r])[0]) - scores(r, w) for r in (reading, other)]
+            assert total[0] == pytest.approx(total[1], abs=1e-6), (w, reading, other)
+    decoder.prepare(spans)
+    assert all(decoder.read(s) == toxicity.Decoder(decoder.models).read(s) for s in spans[:40])
+
+
+def test_strengths_are_those_of_single_counts():
+    table = {f"w{i}": (1 + i % 7, i % 5) for i in range(60)}
+    evidence = toxicity.Evidence(table, 30, 90)
+
+    def lower(a, b):
+        n, z = a + b, toxicity.CERTAINTY
+        if a <= 0:
+            return 0.0
+        p = a / n
+        low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        return max(0.0, np.log(low / (1 - low)) - np.log(30 / 90)) if low > 0 else 0.0
+    for word, (a, b) in table.items():
+        assert evidence.of(word) == pytest.approx(lower(a, b)) and evidence.of(word, 1) == pytest.approx(lower(a - 1, b))
+        if b:
+            assert evidence.of(word, 0) == pytest.approx(lower(a, b - 1))
+    assert sorted(evidence.strengths({"w3", "w6", "zzz"}, None)) == sorted(e for e in map(evidence.of, ("w3", "w6")) if e > 0)
+
+
+def test_toxicity_ignores_columns_with_inner_names(spark, odd_documents, odd_labels):
+    more = odd_documents.withColumns({c: F.lit("x") for c in ("_y", "_id", "_t", "_learned", "_held", "score", "toxic")})
+    plain = toxicity.score(odd_documents, odd_labels, F.lit(True), F.lit(False)).collect()
+    assert sorted(map(tuple, toxicity.score(more, odd_labels, F.lit(True), F.lit(False)).collect()), key=repr) == sorted(map(tuple, plain), key=repr)
+
+
 def test_toxicity_of_odd_rows(odd_documents, no_documents, odd_labels, no_labels):
     every, none = F.lit(True), F.lit(False)
     assert toxicity.score(odd_documents, odd_labels, every, none).count() == odd_documents.count()
