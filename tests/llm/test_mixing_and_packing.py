@@ -188,8 +188,9 @@ def test_posteriors_equal_a_plain_version(spark):
     docs = two_languages(spark, [(300, "der of zzz", "de", "s", 1.0), (300, "the", "en", "s", 1.0), (301, "zzz", "en", "s", 1.0)])
     labelled = [i for i in range(0, 200, 3)]
     got = {r.doc_id: r for r in mixing.mix(docs, spark.createDataFrame([(i,) for i in labelled], "doc_id long"), {"de": 1, "en": 1}).collect()}
-    texts, langs = {}, {}
+    texts, langs, times = {}, {}, {}
     for r in docs.collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
         texts.setdefault(r.doc_id, []).extend(r.text.lower().split())
         langs[r.doc_id] = r.lang
     counts = {k: {} for k in ("de", "en")}
@@ -199,7 +200,7 @@ def test_posteriors_equal_a_plain_version(spark):
     seen = {k: sum(langs[i] == k for i in labelled) for k in counts}
     known = set(counts["de"]) | set(counts["en"])
     for i, words in texts.items():
-        log = {k: np.log((seen[k] + 1) / (len(labelled) + 2)) + sum(np.log(
+        log = {k: times[i] * np.log((seen[k] + 1) / (len(labelled) + 2)) + sum(np.log(
             (counts[k].get(w, 0) + 0.5) / (sum(counts[k].values()) + 0.5 * mixing.VOCABULARY)) for w in words if w in known) for k in counts}
         top = max(log.values())
         want = np.exp(log["de"] - top) / sum(np.exp(x - top) for x in log.values()) if known & set(words) else 0.0

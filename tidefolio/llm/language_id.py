@@ -7,8 +7,9 @@ is looked up once. The language with the lowest cross-entropy per symbol is chos
 softmax over the languages' cross-entropies times a temperature and the square root of the
 length; the temperature is the one of a fixed grid under which the learned rows' own languages
 are likeliest. Rejection is calibrated on the learned rows too: a prediction is marked ``rejected`` below the
-least score from which on they are wrong at most ``error`` of the time, and beyond the cross-entropy
-that all but ``error`` of them keep to, which no text in a language that was not learned does.
+least score from which on they are wrong at most ``error`` of the time, and where its cross-entropy is more than
+a quarter above what all but ``error`` of them keep to (they surprise the models they taught less than others
+do), as that of texts in languages that were not learned is.
 Below ``reject`` the answer is ``und``.
 
 Scale: two reads of the texts, and counts of at most 64**4 four-grams a language in between:
@@ -173,14 +174,15 @@ def identify(documents: DataFrame, learned: Column, held_out: Column, reject: fl
 
 
 GRID = tuple(i / 100 for i in range(100))
+MARGIN = 1.25
 LEAST_SYMBOLS = 100  # shorter texts vary too much to set the bound of the cross-entropy
 
 
 def _calibrated(taught: DataFrame, error: float) -> tuple[float, float]:
-    """The least score from which on learned rows are wrong at most ``error`` of the time, and the cross-entropy all but ``error`` keep to."""
+    """The least score from which on learned rows are wrong at most ``error`` of the time, and the bound of the cross-entropy."""
     wrong = F.col("lang_pred") != F.col("_lang")
     row = taught.agg(F.percentile_approx(F.when(F.col("n") >= LEAST_SYMBOLS, F.col("cross_entropy")), 1 - error, 100_000).alias("ceiling"),
                      *(F.count_if(F.col("score") >= g).alias(f"n{i}") for i, g in enumerate(GRID)),
                      *(F.count_if((F.col("score") >= g) & wrong).alias(f"w{i}") for i, g in enumerate(GRID))).first()
     good = [g for i, g in enumerate(GRID) if row[f"w{i}"] <= error * row[f"n{i}"]]
-    return min(good, default=1.0), float("inf") if row.ceiling is None else float(row.ceiling)
+    return min(good, default=1.0), float("inf") if row.ceiling is None else MARGIN * float(row.ceiling)

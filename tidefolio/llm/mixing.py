@@ -14,7 +14,7 @@ it may be broadcast. Texts are read once to score them. A document's words stay
 that reads it and combine there; everything later is narrow rows.
 
 Defined results: null text is empty; rows that share an id, null ids too, are one document whose
-words add up; labelled rows of other domains teach nothing. A document without a word of the model
+words add up (and the prior, once a row); labelled rows of other domains teach nothing. A document without a word of the model
 belongs to no domain: its posteriors are 0, its rate is ``least`` or 1, whichever is more. A domain of which no
 document is labelled cannot be recognised: its posteriors are 0, its target stays unmet, and the others
 share its part. A target that the documents cannot serve below the rate ``most`` stays unmet too (least squares);
