@@ -1,10 +1,12 @@
 import duckdb
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from compare import frame
 from llm_fixtures import union_find
 from tidefolio.llm import minhash_dedup, packing
 from tidefolio.llm.queries import ORACLES, QUERIES, tokenizer_files
@@ -16,14 +18,10 @@ SMALL = "/root/testdata/sf0.001"
 def test_queries_agree_with_their_sql_or_return_every_row(spark, name):
     got = QUERIES[name](spark, SMALL).toPandas()
     db = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     if name in ORACLES:
-        want = db.sql(ORACLES[name]).df()[list(got.columns)]
-        key = got.columns[0]
-        assert got.sort_values(key, ignore_index=True).astype(object).equals(want.sort_values(key, ignore_index=True).astype(object)) \
-            or [tuple(map(str, r)) for r in got.sort_values(key).itertuples(index=False)] == \
-            [tuple(map(str, r)) for r in want.sort_values(key).itertuples(index=False)]
+        pd.testing.assert_frame_equal(frame(got), frame(db.sql(ORACLES[name]).df()), check_dtype=False, check_exact=True)
         return
     source, key = ("embeddings", "vec_id") if "vec_id" in got.columns else ("documents", "doc_id")
     ids = pq.read_table(f"{SMALL}/{source}.parquet").column(key).to_pylist()
