@@ -6,12 +6,12 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
-from tests.conftest import day, plan_of, rows
+from tests.conftest import day, plan_of, rows, settings
 
 from tidefolio.operators import layout, repeats
 from tidefolio.plans import portfolio, rewards, staging
 from tidefolio.plans.lake import Lake
-from tidefolio.storage import new_path
+from tidefolio.storage import new_path, written
 
 TRADE = ("tx_id string, user_id string, symbol string, tx_type string, quantity double, price double, total_value double, "
          "fee double, date date")
@@ -87,6 +87,37 @@ def test_once_keeps_one_of_a_much_repeated_event(spark):
     assert got.filter("k IS NOT NULL").count() == df.select("k").distinct().count() and got.filter("k IS NULL").count() == 2
 
 
+def test_many_repeated_ids_are_one_shuffle(spark, monkeypatch):
+    """Too many for a broadcast: one window over all rows, not two joins that shuffle them; each task sends one row an id."""
+    df = spark.range(3000).select((F.col("id") % 1000).cast("string").alias("k"),
+                                  F.date_add(F.lit(day("2024-01-01")), (F.col("id") % 7).cast("int")).alias("date"), F.lit("text").alias("t"))
+    own, others = (written(df.filter(f"date {sign} '2024-01-04'"), "part") for sign in (">=", "<"))
+
+    def plain(rows):
+        return sorted(rows.groupBy("k").agg(F.min("date").alias("date")).collect())
+
+    few = sorted(repeats.once(own, "k", others).select("k", "date").collect())
+    monkeypatch.setattr(repeats, "FEW_IDS", 10)
+    with settings(spark, **{"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        plan = plan_of(repeats.once(written(df, "all"), "k"))
+        tree = plan.split("\n\n")[0]
+        assert "Join" not in tree and tree.count("WindowGroupLimit") == 2
+        assert sorted(repeats.once(df, "k").select("k", "date").collect()) == plain(df)
+        assert sorted(repeats.once(own, "k", others).select("k", "date").collect()) == few == [
+            r for r in plain(df) if r.date >= day("2024-01-04")]
+
+
+def test_equal_rows_are_found_by_their_hashes(spark):
+    """Whole rows are shuffled only where a hash occurs twice; nulls and both zeros as in ``distinct``."""
+    df = written(spark.createDataFrame([("a", None, 0.0), ("a", None, -0.0), (None, "a", 1.0), ("b", "c", float("nan")),
+                                        ("b", "c", float("nan")), (None, None, None), (None, None, None), ("d", "e", 2.0)],
+                                       "x string, y string, v double"), "rows")
+    got = repeats.equal_once(df)
+    assert got.count() == df.distinct().count() == 5
+    assert sorted(map(str, got.select("x", "y").collect())) == sorted(map(str, df.distinct().select("x", "y").collect()))
+    assert "LeftAnti" in plan_of(got)
+
+
 def test_a_late_trade_rewrites_its_position_only(spark):
     """The days on which the position trades are written again; the others keep their files."""
     lake = Lake(new_path(spark, "late"))
