@@ -4,9 +4,9 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
-from tests.conftest import at, day, rows
+from tests.conftest import at, day, rows, settings
 
-from tidefolio.operators import layout, quality, serving
+from tidefolio.operators import layout, positions, quality, serving
 from tidefolio.plans import __main__ as command
 from tidefolio.plans import portfolio, quality as quality_job, realtime, reconciliation, rewards
 from tidefolio.plans.lake import Lake
@@ -248,3 +248,19 @@ def test_bad_trades_are_quarantined(spark):
     assert portfolio.run(spark, lake.base)["quarantined"] == 2
     assert [(r["quantity_held"], r["market_price"]) for r in rows(facts(spark, lake))] == [(1.0, 4.0)]
     assert spark.read.parquet(lake.staging("quarantine_transactions")).count() == 2
+
+
+def test_facts_are_made_in_methods_the_jvm_compiles(spark):
+    """The JVM interprets methods of more than 8000 bytes; ids are made after the rows of a day have met."""
+    trades = spark.createDataFrame([("t", "u", "A", "buy", 2.0, 3.0, 6.0, 0.1, day("2024-01-01"))], (
+        "tx_id string, user_id string, symbol string, tx_type string, quantity double, price double, total_value double, fee double, date date"))
+    prices = spark.createDataFrame([("A", day("2024-01-01"), 4.0)], "symbol string, date date, close double")
+    totals = positions.positions(trades).localCheckpoint()
+    with settings(spark, **{"spark.sql.adaptive.enabled": "false"}):
+        made = positions.as_snapshot(portfolio._valued(totals, prices).hint("rebalance", F.col("date")))
+        stages = made._jdf.queryExecution().debug().codegenToSeq()
+        assert stages.size() > 1
+        assert all(stages.apply(i)._3().maxMethodCodeSize() < 8000 for i in range(stages.size()))
+    path = new_path(spark, "facts")
+    layout.write_by_date(portfolio._valued(totals, prices), path, finish=positions.as_snapshot)
+    assert rows(spark.read.parquet(path).select(*made.columns)) == rows(positions.snapshot(trades, prices))
