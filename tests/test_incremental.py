@@ -1,8 +1,10 @@
 """Staging by changed days, positions continued one by one."""
 
 import datetime as dt
+import os
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tests.conftest import day, plan_of, rows, settings
 from tidefolio.operators import layout, repeats
 from tidefolio.plans import portfolio, rewards, staging
 from tidefolio.plans.lake import Lake
-from tidefolio.storage import new_path, written
+from tidefolio.storage import new_path, scratch, written
 
 TRADE = ("tx_id string, user_id string, symbol string, tx_type string, quantity double, price double, total_value double, "
          "fee double, date date")
@@ -185,3 +187,100 @@ def test_rewards_read_staged_trades(spark):
     rewards.run(spark, lake.base)
     fact = rows(spark.read.parquet(lake.warehouse("fact_reward_daily")))
     assert [(r["cashback_count"], r["daily_buy_spend"]) for r in fact] == [(1, 200.0)]
+
+
+def some_days(spark, lake, prices=True):
+    days = [str(dt.date(2024, 1, 1) + dt.timedelta(i)) for i in range(6)]
+    land(spark, lake, *[trade(f"{u}{s}{i}", u, s, 1 + i, d) for i, d in enumerate(days) for u, s in (("u", "A"), ("v", "A"), ("w", "B"))])
+    if prices:
+        quote(spark, lake, *[(s, 5 + i, d) for i, d in enumerate(days) for s in "AB"])
+    return days
+
+
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle")}
+
+
+def test_jobs_leave_no_tables_between_and_no_shuffle_files(spark):
+    lake = Lake(new_path(spark, "lean"))
+    days = some_days(spark, lake)
+    shared, shuffled = set(os.listdir(os.path.dirname(lake.base))), shuffle_files(spark)
+    codec = spark.conf.get("spark.sql.parquet.compression.codec")
+    for late in (None, ("late", "w", "B", 7, days[2]), ("later", "u", "A", 7, days[1])):
+        if late is not None:
+            land(spark, lake, trade(*late))
+        portfolio.run(spark, lake.base, incremental=True)
+        assert set(os.listdir(os.path.dirname(lake.base))) == shared
+        for _ in range(50):  # blocks are removed in the background
+            if shuffle_files(spark) <= shuffled:
+                break
+            time.sleep(0.1)
+        assert shuffle_files(spark) <= shuffled
+    assert spark.conf.get("spark.sql.parquet.compression.codec") == codec
+    assert facts(spark, lake) == in_full(spark, lake)
+
+
+def test_scratch_removes_its_tables_after_an_error(spark):
+    outer = written(spark.range(3), "outer")
+    with pytest.raises(RuntimeError), scratch(spark):
+        inner = written(spark.range(4), "inner")
+        with scratch(spark):
+            innermost = written(spark.range(5), "innermost")
+        assert inner.count() == 4 and not os.path.exists(innermost.inputFiles()[0].removeprefix("file://"))
+        raise RuntimeError
+    assert outer.count() == 3 and not os.path.exists(inner.inputFiles()[0].removeprefix("file://"))
+
+
+def test_ids_and_rows_that_repeat_alone_are_moved(spark):
+    """With what repeats known, the index and the rows are the same as from all rows; those that are alone take no shuffle."""
+    df = written(spark.createDataFrame([("a", 1, day("2024-01-03")), ("a", 1, day("2024-01-03")), ("a", 2, day("2024-01-01")), ("b", 3, day("2024-01-02")),
+                                        (None, 4, day("2024-01-02")), (None, 4, day("2024-01-02")), (None, 5, day("2024-01-02"))], "k string, n int, date date"), "ids")
+    shared = repeats.shared_ids(df, "k")
+    ids = repeats.day_ids(df, "k", shared=shared)
+    assert sorted(ids.collect()) == sorted(repeats.day_ids(df, "k").collect()) and ids.count() == 3
+    order = lambda rows: sorted(rows.collect(), key=str)
+    assert order(repeats.once(df, "k", shared=shared, gather=True)) == order(repeats.once(df, "k"))
+    assert len(order(repeats.once(df, "k"))) == 4
+    alone = written(df.filter("k = 'b'"), "alone")
+    shared = repeats.shared_ids(alone, "k")
+    lines = plan_of(repeats.day_ids(alone, "k", shared=shared)).split("\n\n")[0]
+    assert lines.count("BroadcastExchange") == 2 and lines.count("HashAggregate") == 2  # one branch has no aggregate
+
+
+def test_raw_days_of_few_files_are_staged_as_they_lie_others_gathered(spark):
+    few, many = Lake(new_path(spark, "few")), Lake(new_path(spark, "many"))
+    rows_ = [trade(f"t{i}", "u", "A", 1, f"2024-01-0{1 + i % 2}") for i in range(60)]
+    land(spark, few, *rows_, rows_[0])
+    spark.createDataFrame(rows_, TRADE).repartition(20).write.partitionBy("date").parquet(many.raw("transactions"))
+    for lake, gathered in ((few, True), (many, False)):
+        assert layout.lies_gathered(spark, lake.raw("transactions")) == gathered
+        staging.refresh(spark, lake, "transactions")
+        assert staged(spark, lake) == sorted((r[0], str(r[-1])) for r in rows_)
+    assert [len(names) for names in layout._days(spark, many.staging("transactions"), None, "date").values()] == [1, 1]
+
+
+def test_facts_are_the_same_with_more_prices_than_a_broadcast_holds(spark, monkeypatch):
+    lake = Lake(new_path(spark, "prices"))
+    days = some_days(spark, lake)
+    monkeypatch.setattr(portfolio, "FEW_PRICES", 1)
+    for late in (None, ("late", "w", "B", 7, days[2])):
+        if late is not None:
+            land(spark, lake, trade(*late))
+        portfolio.run(spark, lake.base, incremental=True)
+    monkeypatch.undo()
+    assert facts(spark, lake) == in_full(spark, lake) != []
+
+
+def test_facts_are_written_where_totals_lie(spark):
+    """One file a day, and no shuffle but those of the totals: positions without prices leave no facts."""
+    lake = Lake(new_path(spark, "lie"))
+    days = some_days(spark, lake)
+    portfolio.run(spark, lake.base)
+    assert {d: len(names) for d, names in layout._days(spark, lake.warehouse("fact_portfolio_daily"), None, "date").items()} == dict.fromkeys(days, 1)
+    bare = Lake(new_path(spark, "bare"))
+    some_days(spark, bare, prices=False)
+    quote(spark, bare, ("Z", 1, days[0]))
+    assert portfolio.run(spark, bare.base)["rows"] == 0
+    land(spark, bare, trade("late", "w", "B", 7, days[2]))
+    assert portfolio.run(spark, bare.base, incremental=True)["rows"] == 0
