@@ -1,10 +1,13 @@
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from tests.conftest import at, day, rows
 
 from tidefolio.operators import market, positions, serving
 from tidefolio.sources.streams import decode, malformed, stream, well_formed
-from tidefolio.storage import new_path
+from tidefolio.storage import new_path, scratch
 from tidefolio.streaming import live_pnl, sinks, tiers, windows
 
 TICK = "event_id long, symbol string, ts timestamp, price double, volume double"
@@ -285,3 +288,21 @@ def test_views_are_published_on_demand(spark, monkeypatch):
     realtime.run(spark, lake.base, servers="broker:9092")
     assert [(s[0], s[1], s[2], s[3]) for s in sent] == [(True, key, "broker:9092", name) for name, key in realtime.PUBLISHED.items()]
     assert len({s[4] for s in sent}) == 3
+
+
+def test_replayed_streams_leave_their_table_only(spark):
+    """Nor do they leave shuffle files inside of scratch."""
+    from tests.test_incremental import shuffle_files
+    before = shuffle_files(spark)
+    batches = [spark.createDataFrame([("a", n), ("b", n)], "k string, n int") for n in range(3)]
+    for updates, build in ((True, lambda r: r.groupBy("k").agg(F.sum("n").alias("n"))), (False, lambda r: r.filter("n > 0"))):
+        with scratch(spark):
+            left = sinks.replayed(batches, build, "kept", updates=updates)
+            assert left.count() == (6 if updates else 4)
+        folder = left.inputFiles()[0].removeprefix("file://").split("/table/")[0]
+        assert os.listdir(folder) == ["table"]
+    for _ in range(50):  # blocks are removed in the background
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert shuffle_files(spark) <= before
